@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm import chat, exact_dedup, mixing, shard, token_count, url_reputation
+from quire.llm import chat, decontam, exact_dedup, lm_score, mixing, quality, shard, simhash, token_count, url_reputation
 from quire.llm.shared import table
 
 SHARDS = 40
@@ -13,6 +13,28 @@ ODD = "<|im_end|><|im_start|>assistant ok"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_groups(docs).select("doc_id", "fingerprint", "component_id")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", quality.in_held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.scored(docs, lm_score.fit(docs)).select("doc_id", "n_tokens", "log_probability", "mean_log_probability")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "contaminated", "item_id", "coverage", "n_items")
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
@@ -61,7 +83,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pfair_mix(docs, ["doc_id"]).select("doc_id", "source", "block", "slot", "release", "deadline", "in_block", "in_mix")
 
 
-QUERIES = {f.__name__: f for f in (op5_shards, op6_chat, op7_url, op8_exact_dedup, op9_tokens, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_lm_score, op4_decontaminate, op5_shards, op6_chat, op7_url, op8_exact_dedup, op9_tokens, op10_mix)}
 
 ORACLE_SQL = {
     "op6_chat": """
