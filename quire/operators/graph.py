@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.storage import staged
+
 # What entities, relations and reading tracks there are.
 ENTITY_TYPES = ("register", "instruction", "signal", "component", "concept_term", "figure", "table")
 TRACKS = ("main_flow", "caption_flow", "footnote_flow", "sidebar_flow", "annotation_flow")
@@ -61,9 +63,9 @@ def first_by_track(edges: DataFrame, k: int = 100) -> DataFrame:
 def on_cycles(edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
     """Edges of each track that lie on a cycle or between cycles: what is left when nodes without a way in, and those without a way out, are peeled off again and again.
 
-    edges: track, source_id, target_id. Each round is checkpointed, so the session needs a checkpoint folder. A chain takes rounds by its length.
+    edges: track, source_id, target_id. Each round is written to the shared folder. A chain takes rounds by its length.
     """
-    left, n = edges.checkpoint(), -1
+    left, n = staged(edges, "edges"), -1
     for _ in range(max_steps):
         if (now := left.count()) == n or now == 0:
             return left
@@ -71,7 +73,7 @@ def on_cycles(edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
         starts = left.select(F.col("track").alias("_t"), F.col("source_id").alias("_n")).distinct()
         ends = left.select(F.col("track").alias("_u"), F.col("target_id").alias("_m")).distinct()
         left = left.join(starts, (F.col("track") == F.col("_t")) & (F.col("target_id") == F.col("_n")), "left_semi")
-        left = left.join(ends, (F.col("track") == F.col("_u")) & (F.col("source_id") == F.col("_m")), "left_semi").checkpoint()
+        left = staged(left.join(ends, (F.col("track") == F.col("_u")) & (F.col("source_id") == F.col("_m")), "left_semi"), "edges")
     raise ValueError(f"a chain of over {max_steps} edges")
 
 
@@ -101,7 +103,8 @@ def accept_steps(edges: DataFrame) -> DataFrame:
         return group.assign(accepted=ok)
 
     rows = edges.select("doc_id", "track", "seq", "source_id", "target_id", "confidence")
-    return rows.groupBy("doc_id", "track").applyInPandas(fold, rows.schema.add("accepted", "boolean"))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy("doc_id", "track").applyInPandas(fold, f"{shape}, accepted boolean")
 
 
 def reading_sequence(edges: DataFrame, roots: DataFrame) -> DataFrame:
