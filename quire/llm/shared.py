@@ -1,45 +1,15 @@
-"""Tables written to the folder that the driver and all executors share, and small column helpers."""
+"""Column and table helpers of the operators; tables that cut the lineage go to the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="quire-")
-
+from quire.storage import staged
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a temporary folder if Spark runs in this process, else an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_folder()
+__all__ = ["UPPER", "ascii_lower", "put", "staged", "table"]
 
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that nothing has used; it goes when the driver ends."""
-    path = f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: it cuts the lineage, and lost executors don't lose it."""
-    spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, label))
-    return spark.read.schema(df.schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(text: Column) -> Column:
