@@ -19,7 +19,7 @@ from quire.llm.simhash import word_pieces
 
 STATS = ("log_words", "word_length", "upper", "symbols", "exclaims", "bars", "digits", "stops", "distinct", "repeats", "breaks", "word_ends", "short_words", "long_words")
 SAMPLE, HELD_OUT, THRESHOLD = 20_000, 5, 0.3
-TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.1
+TREES, DEPTH, BINS, RATE, LEAF = 40, 3, 32, 0.1, 4
 PENALTIES, STEPS = (0.01, 0.003, 0.001), 400
 WINDOW = 256  # words over which distinct words are counted
 
@@ -76,7 +76,7 @@ def _holds(rule: Rule, x: dict[str, np.ndarray]) -> np.ndarray:
 def _grow(x: dict[str, np.ndarray], residual: np.ndarray, rows: np.ndarray, names: list[str], bounds: dict, path: Rule, out: list, depth: int) -> np.ndarray:
     """Adds the rules of a tree to `out`; returns the tree's value for the rows."""
     value = np.full(len(rows), residual[rows].mean())
-    if depth == 0 or len(rows) < 40:
+    if depth == 0 or len(rows) < 2 * LEAF:
         return value
     best = (1e-9, None, 0.0)
     total, r = residual[rows].sum(), residual[rows]
@@ -84,7 +84,7 @@ def _grow(x: dict[str, np.ndarray], residual: np.ndarray, rows: np.ndarray, name
         cuts = bounds[s]
         at = np.searchsorted(cuts, x[s][rows], side="left")
         n, t = np.bincount(at, minlength=len(cuts) + 1).cumsum()[:-1], np.bincount(at, weights=r, minlength=len(cuts) + 1).cumsum()[:-1]
-        ok = (n >= 10) & (len(rows) - n >= 10)
+        ok = (n >= LEAF) & (len(rows) - n >= LEAF)
         gain = np.where(ok, t**2 / np.maximum(n, 1) + (total - t) ** 2 / np.maximum(len(rows) - n, 1) - total**2 / len(rows), 0)
         if len(gain) and gain.max() > best[0]:
             best = (gain.max(), s, float(cuts[gain.argmax()]))
@@ -142,10 +142,10 @@ class RuleEnsemble:
     @classmethod
     def fit(cls, x: dict[str, np.ndarray], y: np.ndarray, seed: int = 42) -> RuleEnsemble:
         """The penalty is the one with the least log loss on a fifth of the rows left out. With one class or no rows: no rule, the smoothed share of 1."""
-        if len(y) < 50 or y.min() == y.max():
+        rules = paths_of_trees(x, y, seed) if len(y) >= 50 and y.min() < y.max() else []
+        if not rules:
             p = (y.sum() + 1) / (len(y) + 2)
             return cls([], float(np.log(p / (1 - p))))
-        rules = paths_of_trees(x, y, seed)
         z = np.stack([_holds(r, x) for r in rules], axis=1).astype(np.float64)
         out = np.random.default_rng(seed).random(len(y)) < 0.2
         if out.all() or not out.any():
