@@ -61,6 +61,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     alone = put(rows.filter(~F.col("_maybe")), keep_id=F.col(id_col), group_size=F.lit(1).cast("long"), kept=F.lit(True))
     again = rows.filter("_maybe")
     groups = again.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max(F.struct(F.col(id_col).alias("id"), "_tag")).alias("_top"), F.count("*").alias("_n"))
+    groups = staged(groups, "groups")  # read anew, so that the join has shuffles of its own, of which a hot group's can be split
     again = again.join(groups, F.col("text_sha256") == F.col("_sha"))
     again = put(again, keep_id=F.col("_top.id"), group_size=F.col("_n"), kept=F.col("_tag") == F.col("_top._tag"))
     return alone.unionByName(again.drop("_sha", "_top", "_n")).drop("_h0", "_h1", "_tag", "_maybe")
