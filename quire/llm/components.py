@@ -11,6 +11,7 @@ from quire.llm.shared import staged
 def _star(links: DataFrame) -> DataFrame:
     """links: u, v. Each u hands its smallest neighbour, or itself, on to the neighbours above that."""
     low = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("u", "m").alias("m"))
+    low = staged(low, "lowest")  # read anew, so that the join has shuffles of its own, of which a hub's can be split
     return links.join(low, F.col("u") == F.col("lu"))
 
 
