@@ -29,20 +29,25 @@ def for_job(events: DataFrame, job_id: str) -> DataFrame:
     return events.filter(F.col("job_id") == job_id)
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need timestamps of the session's time zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes", slide: str | None = None, kind: str = "event_type") -> DataFrame:
     """start, end, kind, n, value of event-time windows; events later than `late` are dropped by the watermark. An extension."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("value")).select("w.start", "w.end", kind, "n", "value")
+    return _timed(events).withWatermark("ts", late).groupBy(w.alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("value")).select("w.start", "w.end", kind, "n", "value")
 
 
 def once(events: DataFrame, key: str, late: str = "10 minutes") -> DataFrame:
     """The first event of each key within the watermark. An extension."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
 def busy_sessions(events: DataFrame, key: str = "user_id", idle: str = IDLE, late: str = "10 minutes") -> DataFrame:
     """key, start, end, n: spells of activity; a runner goes down at the end of one."""
-    return events.withWatermark("ts", late).groupBy(key, F.session_window("ts", idle).alias("s")).agg(F.count("*").alias("n")).select(key, "s.start", "s.end", "n")
+    return _timed(events).withWatermark("ts", late).groupBy(key, F.session_window("ts", idle).alias("s")).agg(F.count("*").alias("n")).select(key, "s.start", "s.end", "n")
 
 
 def runner_states(events: DataFrame) -> DataFrame:
