@@ -199,7 +199,7 @@ ORACLE_SQL = {
     "nearest_vectors": f"WITH {RANKED} SELECT query_id, item_id, rank FROM r WHERE rank <= 10",
     "link_quality": """WITH e AS (SELECT DISTINCT l_orderkey % 50 AS sample_id, l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 3), f AS (SELECT DISTINCT l_orderkey % 50 AS sample_id, l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 20),
             j AS (SELECT coalesce(e.sample_id, f.sample_id) AS sample_id, count(e.l_orderkey) AS want, count(f.l_orderkey) AS got, count(*) FILTER (e.l_orderkey IS NOT NULL AND f.l_orderkey IS NOT NULL) AS hit FROM e FULL JOIN f USING (sample_id, l_orderkey, l_partkey) GROUP BY 1),
-            m AS (SELECT sample_id, CASE WHEN got > 0 THEN hit / got::DOUBLE ELSE 0 END AS p, CASE WHEN want > 0 THEN hit / want::DOUBLE ELSE 0 END AS r FROM j)
+            m AS (SELECT sample_id, CASE WHEN got > 0 THEN hit / got::DOUBLE ELSE 0 END AS p, CASE WHEN want > 0 THEN hit / want::DOUBLE ELSE 1 END AS r FROM j)
         SELECT sample_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m""",
     "sample_verdicts": r"""WITH w AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 0::DOUBLE ELSE round(1 / len(regexp_split_to_array(trim(text), '\s+'))::DOUBLE, 6) END AS wer FROM benchmark) SELECT item_id AS sample_id, wer, 1::DOUBLE AS teds, 1::DOUBLE AS f1, wer <= 0.05 AS passed FROM w""",
     "hitl_queue": f"WITH {CONF} SELECT doc_id, n::INT AS n, round(conf, 6) AS conf, 'pending' AS status FROM f WHERE conf < 0.8::DOUBLE",

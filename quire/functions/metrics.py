@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import clamp, words
+from quire.functions.text import clamp, strip, words
 
 TEDS_BAR, LINK_BAR, WER_BAR = 0.95, 0.90, 0.05
 
@@ -39,7 +39,7 @@ def cer(reference: Column, hypothesis: Column) -> Column:
 
 def grid_tags(grid: Column) -> Column:
     """The tokens of a nested list: an opening mark, the values in order and a closing mark a list."""
-    row = lambda r: F.concat(F.array(F.lit("list_start")), F.transform(r, lambda v: F.concat(F.lit("v:"), F.coalesce(v, F.lit("null")))), F.array(F.lit("list_end")))
+    row = lambda r: F.concat(F.array(F.lit("list_start")), F.transform(r, lambda v: F.concat(F.lit("v:"), strip(F.coalesce(v, F.lit("None"))))), F.array(F.lit("list_end")))
     return F.concat(F.array(F.lit("list_start")), F.flatten(F.transform(grid, row)), F.array(F.lit("list_end")))
 
 

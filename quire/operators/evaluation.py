@@ -12,12 +12,12 @@ BLOCKING = ("critical", "blocker")
 
 
 def link_f1(expected: DataFrame, found: DataFrame, by: str) -> DataFrame:
-    """by, precision, recall, f1 over distinct (source_id, target_id, relation). Both empty: all 1; one empty: all 0."""
+    """by, precision, recall, f1 over distinct (source_id, target_id, relation). Nothing found: all 0; nothing expected: recall 1, the others 0. A `by` without any link has no row."""
     edge = [by, "source_id", "target_id", "relation"]
     both = expected.select(*edge).distinct().withColumn("e", F.lit(1)).unionByName(found.select(*edge).distinct().withColumn("e", F.lit(2)))
     sides = both.groupBy(*edge).agg(F.sum("e").alias("side"))
     n = sides.groupBy(by).agg(F.count_if(F.col("side") == 3).cast("double").alias("hit"), F.count_if(F.col("side").isin(1, 3)).alias("want"), F.count_if(F.col("side").isin(2, 3)).alias("got"))
-    p, r = F.when(F.col("got") > 0, F.col("hit") / F.col("got")).otherwise(0.0), F.when(F.col("want") > 0, F.col("hit") / F.col("want")).otherwise(0.0)
+    p, r = F.when(F.col("got") > 0, F.col("hit") / F.col("got")).otherwise(0.0), F.when(F.col("want") > 0, F.col("hit") / F.col("want")).otherwise(1.0)
     n = n.withColumn("precision", p).withColumn("recall", r)
     return n.select(by, "precision", "recall", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0).alias("f1"))
 
@@ -31,7 +31,8 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Da
 
 
 def calibration_bins(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
-    """bin, n, mean_conf, accuracy of every bin, empty ones 0. p = 1 is in the last bin."""
+    """bin, n, mean_conf, accuracy of every bin, empty ones 0. p = 1 is in the last bin; p beyond 0 and 1 counts as these."""
+    df = df.withColumn(p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p))))
     at = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
     seen = df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_conf"), F.avg(F.col(y).cast("double")).alias("accuracy"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
