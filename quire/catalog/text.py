@@ -135,6 +135,12 @@ def toc_entries(spark, sf_dir):
     return rows.select("doc_id", "n", markers.looks_like_toc(F.col("line")).alias("is_toc"), F.sha2("e.text", 256).alias("text_hash"), "e.number", "e.page")
 
 
+def glued_toc_lines(spark, sf_dir):
+    line = F.concat(F.lit("Section 2 "), F.left("line", F.lit(12)), F.lit(" .... 12 2."), (F.col("n") + 1).cast("string"), F.lit(" Second 15 Appendix A Tables xii"))
+    rows = lines(spark, sf_dir).select("doc_id", "n", F.posexplode(markers.toc_lines(line)).alias("k", "part")).withColumn("e", markers.toc_line(F.col("part")))
+    return rows.select("doc_id", "n", "k", "e.level", "e.number", "e.page", F.sha2("e.display", 256).alias("display_hash"))
+
+
 def formula_lines(spark, sf_dir):
     line = F.when(F.col("n") % 3 == 0, F.concat(F.lit("x_1 = (a + 2) * "), F.col("n").cast("string"), F.lit(" (2."), F.col("n").cast("string"), F.lit(")"))).when(F.col("n") % 3 == 1, F.lit("∑∫ α → β")).otherwise(F.col("line"))
     rows = lines(spark, sf_dir).withColumn("f", markers.formula(line, F.when(F.col("n") % 7 == 0, "CMMI10").otherwise("Times"))).filter("f is not null")
@@ -226,7 +232,7 @@ def taxonomy_report(spark, sf_dir):
     return evaluation.taxonomy_report(errors, ["lang"]).select("lang", "total", "blocking", F.to_json("counts").alias("counts"))
 
 
-QUERIES = {f.__name__: f for f in (block_review_load, normalize_blocks, token_estimate, extraction_confidence, classification_confidence, ocr_garbage_rate, entity_registry, entity_mentions, script_share_report, latex_escaped, list_markers, callout_labels, footnote_markers, caption_labels, bib_entries, toc_entries, formula_lines, artifact_dedup, gc_candidates, cache_key, calibration_bins, calibration_ece, cer_of_passages, wer_of_passages, teds_of_grids, skill_matches, profile_recipes, page_issues, page_report, taxonomy_report)}
+QUERIES = {f.__name__: f for f in (block_review_load, normalize_blocks, token_estimate, extraction_confidence, classification_confidence, ocr_garbage_rate, entity_registry, entity_mentions, script_share_report, latex_escaped, list_markers, callout_labels, footnote_markers, caption_labels, bib_entries, toc_entries, glued_toc_lines, formula_lines, artifact_dedup, gc_candidates, cache_key, calibration_bins, calibration_ece, cer_of_passages, wer_of_passages, teds_of_grids, skill_matches, profile_recipes, page_issues, page_report, taxonomy_report)}
 
 WORD = "MOV|ADD|SUB|MUL|DIV|LDR|STR|CMP|BNE|BEQ|BGT|BLT|BGE|BLE|AND|ORR|EOR|LSL|LSR|ASR|NOP|SWI|SVC|BL|BX|PUSH|POP|LDM|STM"
 # RE2 has ASCII word ends; text is padded so that letters like É count as letters of a word.

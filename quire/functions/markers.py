@@ -144,6 +144,31 @@ def toc_entry(c: Column) -> Column:
     return F.struct(left.alias("text"), found.alias("number"), (page.try_cast("int") - 1).alias("page"))
 
 
+TOC_KINDS = "Section|Chapter|Appendix|Part|Глава|Раздел|Приложение"
+
+
+def toc_lines(c: Column) -> Column:
+    """The entries of a line into which a scanner has glued several: cut before a section word or a number with a dot."""
+    parts = F.split(strip(c), rf"(?iuU)\s+(?=(?:{TOC_KINDS})\b|\d+\.\d)")
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
+
+
+def toc_line(c: Column) -> Column:
+    """level, number, title, page, display of one such entry; its page is printed, from 1, and null if roman. The level is one more than the number has dots."""
+    text = strip(c)
+    pattern = rf"(?iuU)^({TOC_KINDS})?\s*([A-Z0-9]+(?:\.\d+)*)?\s*(.*?)(?:\s*[.\s]{{2,}}\s*|\s+)(\d{{1,4}}|[ivxlcdm]+)?\s*$"
+    kind, number, title, last = (F.regexp_extract(text, pattern, k) for k in (1, 2, 3, 4))
+    title = F.regexp_replace(F.regexp_replace(title, r"^[ .·—-]+|[ .·—-]+$", ""), r"(?U)^\s+|\s+$", "")
+    page = last.try_cast("int")
+    prefix = F.array_join(F.filter(F.array(kind, number), lambda x: x != ""), " ")
+    shown = F.when((prefix != "") & (title != ""), F.concat(prefix, F.lit(". "), title)).when(prefix != "", prefix).when(title != "", title).otherwise(text)
+    shown = F.when(page.isNotNull(), F.concat(shown, F.lit(" … "), page.cast("string"))).otherwise(shown)
+    level = F.char_length(F.regexp_replace(number, r"[^.]", "")) + 1
+    found = F.struct(level.alias("level"), F.nullif(prefix, F.lit("")).alias("number"), title.alias("title"), page.alias("page"), shown.alias("display"))
+    bare = F.struct(F.lit(1).alias("level"), F.lit(None).cast("string").alias("number"), text.alias("title"), F.lit(None).cast("int").alias("page"), text.alias("display"))
+    return F.when(text.rlike(pattern), found).otherwise(bare)
+
+
 def caption(c: Column) -> Column:
     """target (figure, table, example), label, rest."""
     pattern = r"(?iu)^(Figure|Fig\.|Table|Example|Пример|Таблица|Рис\.)\s+(\d+[-–.]\d+|\d+)\s*(.*)"

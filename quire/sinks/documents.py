@@ -25,6 +25,18 @@ def read_document_json(docs: DataFrame) -> DataFrame:
     return rows.select(*(fill.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in NODE))
 
 
+def full_text(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text: a document's title, its containers' titles and its blocks' texts in order, blank lines between; tombstoned nodes count too. docs: doc_id, title."""
+    a = F.col("attrs")
+    cells = F.array_join(F.transform(F.from_json(a["grid"], "array<array<string>>"), lambda r: F.array_join(r, " ")), "\n")
+    own = F.array_join(F.filter(F.coalesce("spans", F.array().cast("array<string>")), lambda x: x != ""), "\n")
+    text = F.when(F.col("kind") == CONTAINER, F.col("title")).otherwise(F.coalesce(a["code_text"], a["latex_expression"], a["raw_text"], a["entry_text"], cells, own))
+    rows = nodes.select("doc_id", "path", text.alias("t")).filter("t <> ''")
+    body = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "t"))), lambda x: x["t"]).alias("_t"))
+    title = F.filter(F.array("title"), lambda t: t.isNotNull() & (t != ""))
+    return docs.join(body, "doc_id", "left").select("doc_id", F.array_join(F.concat(title, F.coalesce("_t", F.array().cast("array<string>"))), "\n\n").alias("text"))
+
+
 #: The commands of heading levels.
 COMMANDS = {1: "chapter", 2: "section", 3: "subsection", 4: "subsubsection"}
 PREAMBLE = "\\documentclass[12pt]{report}\n\\usepackage{fontspec,amsmath,mdframed,enumitem,graphicx}\n\\begin{document}\n"

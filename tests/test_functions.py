@@ -99,6 +99,13 @@ def test_bibliography_and_toc(spark):
     assert [g[0] for g in values(spark, ["Registers 45", "45", "A b 45", "No page here", "x" * 130 + " 4"], m=markers.looks_like_toc(C()))] == [True, False, False, False, False]
 
 
+def test_glued_contents_lines(spark):
+    got = values(spark, ["Section 2 Addressing .... 12 2.1 Modes 15 Appendix A Tables xii"], parts=markers.toc_lines(C()))
+    assert got == [(["Section 2 Addressing .... 12", "2.1 Modes 15", "Appendix A Tables xii"],)]
+    got = [tuple(g[0]) for g in values(spark, got[0][0] + ["alone"], m=markers.toc_line(C()))]
+    assert got == [(1, "Section 2", "Addressing", 12, "Section 2. Addressing … 12"), (2, "2.1", "Modes", 15, "2.1. Modes … 15"), (1, "Appendix A", "Tables", None, "Appendix A. Tables"), (1, None, "alone", None, "alone")]
+
+
 def test_mentions(spark):
     (got,) = values(spark, ["MOV R1, #0xFF then R16 movR2 ADD"], m=markers.mentions(C()))
     assert [tuple(x) for x in got[0]] == [("register", "R1"), ("instruction", "MOV"), ("instruction", "ADD"), ("concept_term", "0xFF")]
