@@ -1,13 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling (operator 10).
 
-The documents of a source, in the order of a seeded hash, form blocks. With weight w, block i of a source has the release
-time floor(i / w) and the deadline ceil((i + 1) / w), in slots of one block. In each slot the released block with the earliest deadline
-goes next. Weights are whole parts of a period of slots and sum up to 1, so every block meets its window, a source is never a block or more from its target
-at any time, and the schedule repeats with the period: it's worked out once for a period, from the weights alone, and
-block i takes its slot from place i mod (blocks a period) of it.
-
-The mix ends at the first slot whose source has no full block left. Up to there the shares are those of the targets; what lies beyond is
-in the result with in_mix false.
+The documents of a source, in the order of a seeded hash, form blocks; the last one may be smaller. Block i of a source with weight w has the release
+time floor(i / w) and the deadline ceil((i + 1) / w), in slots of one block, as long as all sources have blocks. When a source runs out, the weights of the others grow by the same
+factor, to a sum of 1 again, and the times of their blocks from there on follow these weights. In each slot the released block with the earliest deadline
+goes next. The weights are exact fractions and sum up to 1, so every block meets its window and a source is never a block or more from its target
+at any time. Every slot has a block, and every block a slot.
+
+The slots are worked out on the driver, from the weights and the numbers of blocks alone, and go to the shared folder by pieces of PIECE blocks.
 """
 
 from __future__ import annotations
@@ -15,13 +14,19 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import put
+from quire.llm.shared import put, staged
 
 SEED = 42
+PIECE, BROADCAST = 500_000, 2_000_000  # blocks of a piece of the plan; blocks of a plan that is broadcast, at most
 
 
 def units_of(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -34,29 +39,72 @@ def units_of(weights: dict[str, float], period: int) -> dict[str, int]:
     return units
 
 
-def schedule(units: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block of the period, slot, release, deadline): earliest deadline first among the released blocks."""
-    period = sum(units.values())
-    waiting = [(0, k, 0) for k in sorted(units)]  # release, source, block
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = {k: Fraction(v) for k, v in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {k: int(x * scale) for k, x in exact.items()}
+
+
+def schedule(units: dict[str, int], blocks: dict[str, int] | None = None) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) by slot: earliest deadline first among the released blocks. units: the weights in any whole unit; blocks: how
+    many each source has, None for as many as units.
+
+    Shared out evenly, each source has u * v blocks at a time v of its own, or all it has. So block i is due while v goes from i / u to (i + 1) / u, and the slot
+    of a v is the sum of what the sources have by then."""
+    blocks = units if blocks is None else blocks
+    ends = sorted(((blocks[k], units[k]) for k in units), key=lambda e: Fraction(*e))  # a source ends at v = blocks / unit
+    done, left = [0], [sum(units.values())]  # after so many ends: blocks of the sources that ended, units of the others
+    for n, u in ends:
+        done.append(done[-1] + n)
+        left.append(left[-1] - u)
+    ended = dict.fromkeys(units, 0)
+
+    def slot_of(k: str, i: int) -> tuple[int, int]:
+        """The slot of v = i / u, as a fraction. i never falls."""
+        u, e = units[k], ended[k]
+        if e < len(ends) and ends[e][0] * u < i * ends[e][1]:
+            e = ended[k] = bisect_right(ends, 0, e, key=lambda x: x[0] * u - i * x[1] + 1)
+        return done[e] * u + left[e] * i, u
+
+    def first(k: str, i: int) -> tuple[int, str, int]:
+        x, u = slot_of(k, i)
+        return x // u, k, i
+
+    waiting = [first(k, 0) for k in sorted(units) if blocks[k]]  # release, source, block
+    heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(period):
+    for slot in range(sum(blocks.values())):
         while waiting and waiting[0][0] <= slot:
             release, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // units[k]), k, i, release))
+            x, u = slot_of(k, i + 1)
+            heapq.heappush(ready, (-(-x // u), k, i, release))
         deadline, k, i, release = heapq.heappop(ready)
-        out.append((k, i, slot, release, deadline))
-        if i + 1 < units[k]:
-            heapq.heappush(waiting, ((i + 1) * period // units[k], k, i + 1))
+        yield k, i, slot, release, deadline
+        if i + 1 < blocks[k]:
+            heapq.heappush(waiting, first(k, i + 1))
+
+
+def _plan(spark, number: dict[str, int], slots: Iterator[tuple[str, int, int, int, int]]) -> DataFrame:
+    """_k (the source's number), _i, _s, _r, _d of the schedule."""
+    schema, pieces = pa.schema([("_k", pa.int32()), ("_i", pa.int32()), ("_s", pa.int64()), ("_r", pa.int64()), ("_d", pa.int64())]), []
+    while (piece := list(islice(slots, PIECE))) or not pieces:
+        columns = list(zip(*((number[k], *x) for k, *x in piece))) or [()] * 5
+        made = staged(spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)), "slots")
+        pieces.append(made)
+    out = pieces[0]
+    for made in pieces[1:]:
+        out = out.unionByName(made)
     return out
 
 
-def pfair_mix(df: DataFrame, keys: list[str], source_col: str = "source", weights: dict[str, float] | None = None, temper: float = 0.7, block_rows: int = 16, period: int = 1000, max_sources: int = 10_000) -> DataFrame:
+def pfair_mix(df: DataFrame, keys: list[str], source_col: str = "source", weights: dict[str, float] | None = None, temper: float = 0.7, block_rows: int = 16, period: int | None = None, max_sources: int = 10_000) -> DataFrame:
     """df with block, slot, release, deadline, in_block and in_mix; by (slot, in_block) it's in the order of the mix.
 
     weights: target of each source, in any unit; None takes each source's number of rows to the power `temper`. Sources without a weight
     are left out of the mix (in_mix false, the other new columns null); null is a source, named None. keys: the columns that order a
-    source's rows. Over max_sources sources is an error: the schedule is made for all of them on the driver.
+    source's rows. Over max_sources sources is an error: the schedule is made for all of them on the driver. period: None follows the weights exactly, and all rows of the
+    sources with a weight are in the mix; a number rounds the weights to whole parts of so many slots, and in_mix is true only as long as each source has full blocks for them.
     Columns of df with the names of the new ones make way. An empty table gives no rows.
     """
     spark = df.sparkSession
@@ -70,15 +118,15 @@ def pfair_mix(df: DataFrame, keys: list[str], source_col: str = "source", weight
     else:
         named = {("n" if k is None else f"s{k}"): w for k, w in weights.items()}
         target = {k: named[k] for k in count if named.get(k, 0) > 0}
-    units = units_of(target, max(period, 10 * len(target))) if target else {}
-    slots = schedule(units)
-    length = sum(units.values())
-    by_place = {(k, i): slot for k, i, slot, _, _ in slots}
-    horizon = min((full // units[k] * length + by_place[k, full % units[k]] for k in units for full in [count[k] // block_rows]), default=0)
-    shape = "array<struct<_k:string,_i:bigint,_s:bigint,_r:bigint,_d:bigint,_u:bigint>>"
-    plan = json.dumps([{"_k": k, "_i": i, "_s": s, "_r": r, "_d": d, "_u": units[k]} for k, i, s, r, d in slots])
-    plan = spark.range(1).select(F.explode(F.from_json(F.lit(plan), shape)).alias("p")).select("p.*")
-    each = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"_k": k, "_u": u} for k, u in units.items()])), "array<struct<_k:string,_u:bigint>>")).alias("p")).select(F.col("p._k").alias("_ku"), F.col("p._u").alias("_units"))
+    if period and target:
+        target = units_of(target, max(period, 10 * len(target)))
+    units = whole(target)
+    blocks = {k: -(-count[k] // block_rows) for k in units}
+    number = {k: n for n, k in enumerate(sorted(units))}
+    plan = _plan(spark, number, schedule(units, blocks))
+    plan = F.broadcast(plan) if sum(blocks.values()) <= BROADCAST else plan
+    horizon = min((count[k] // block_rows * sum(units.values()) // u for k, u in units.items()), default=0) if period else sum(blocks.values())
+    each = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"_k": k, "_n": n} for k, n in number.items()])), "array<struct<_k:string,_n:int>>")).alias("p")).select(F.col("p._k").alias("_ku"), F.col("p._n").alias("_no"))
 
     n_sub = max(256, math.ceil(sum(count.values()) / 500_000))  # a large source is numbered in so many parts
     rows = rows.withColumn("_sub", F.pmod("_key", F.lit(n_sub)))
@@ -88,17 +136,16 @@ def pfair_mix(df: DataFrame, keys: list[str], source_col: str = "source", weight
     placed = rows.withColumn("_n", place).join(starts, (F.col("_src") == F.col("_s0")) & (F.col("_sub") == F.col("_b0")))
     placed = placed.join(F.broadcast(each), F.col("_src") == F.col("_ku"), "left")
     nth = F.col("_start") + F.col("_n") - 1
-    placed = placed.withColumn("_at", F.floor(nth / block_rows)).withColumn("_in", nth % block_rows).withColumn("_turn", F.floor(F.col("_at") / F.col("_units")))
-    placed = placed.withColumn("_place", F.col("_at") % F.col("_units")).join(F.broadcast(plan), (F.col("_src") == F.col("_k")) & (F.col("_place") == F.col("_i")), "left")
-    shift = F.col("_turn") * length
+    placed = placed.withColumn("_at", F.floor(nth / block_rows)).withColumn("_in", nth % block_rows)
+    placed = placed.join(plan, (F.col("_no") == F.col("_k")) & (F.col("_at").cast("int") == F.col("_i")), "left")
     due = F.col("_k").isNotNull()
     out = put(
         placed,
         block=F.when(due, F.col("_at")),
-        slot=shift + F.col("_s"),
-        release=shift + F.col("_r"),
-        deadline=shift + F.col("_d"),
+        slot=F.col("_s"),
+        release=F.col("_r"),
+        deadline=F.col("_d"),
         in_block=F.when(due, F.col("_in")),
-        in_mix=F.coalesce(shift + F.col("_s") < horizon, F.lit(False)),
+        in_mix=F.coalesce(F.col("_s") < horizon, F.lit(False)),
     )
-    return out.drop("_src", "_key", "_sub", "_n", "_s0", "_b0", "_start", "_ku", "_units", "_at", "_in", "_turn", "_place", "_k", "_i", "_s", "_r", "_d", "_u")
+    return out.drop("_src", "_key", "_sub", "_n", "_s0", "_b0", "_start", "_ku", "_no", "_at", "_in", "_k", "_i", "_s", "_r", "_d", "_u")

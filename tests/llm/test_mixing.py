@@ -69,3 +69,32 @@ def test_empty_table_and_too_many_sources(spark):
     assert out.count() == 0 and {"doc_id", "source", "slot", "in_mix"} <= set(out.columns)
     with pytest.raises(ValueError):
         mixing.pfair_mix(frame(spark), ["doc_id"], max_sources=2)
+
+
+def test_mix_keeps_all_rows_when_sources_run_out(spark):
+    sizes = {"a": 330, "b": 330, "c": 95, "tiny": 5, None: 1}
+    df = spark.createDataFrame([(i, k) for k, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    rows = mixing.pfair_mix(df, ["doc_id"]).collect()
+    assert len(rows) == sum(sizes.values()) and all(r.in_mix and r.release <= r.slot < r.deadline for r in rows)
+    source = {r.slot: r.source for r in rows}
+    assert sorted(source) == list(range(sum(-(-n // 16) for n in sizes.values())))
+    assert len({(r.slot, r.in_block) for r in rows}) == len(rows)
+    fluid, done, goal = Counter(), Counter(), {k: n**0.7 for k, n in sizes.items()}
+    for slot in sorted(source):  # each slot is shared out among the sources that have blocks left
+        room = 1.0
+        while room > 1e-9:
+            alive = {k: w for k, w in goal.items() if -(-sizes[k] // 16) - fluid[k] > 1e-9}
+            step = min(room, *((-(-sizes[k] // 16) - fluid[k]) * sum(alive.values()) / w for k, w in alive.items()))
+            for k, w in alive.items():
+                fluid[k] += step * w / sum(alive.values())
+            room -= step
+        done[source[slot]] += 1
+        assert all(abs(done[k] - fluid[k]) < 1 + 1e-6 for k in sizes)
+
+
+def test_pipeline_stage_loses_no_document(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(i, "x", "big" if i % 2 else "large") for i in range(400)] + [(400 + i, "y", "tiny") for i in range(10)], "doc_id long, text string, source string")
+    out = corpus_pipeline.mix_sources(spark, df, "")
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == list(range(410))
