@@ -98,3 +98,29 @@ def test_pipeline_stage_loses_no_document(spark):
     df = spark.createDataFrame([(i, "x", "big" if i % 2 else "large") for i in range(400)] + [(400 + i, "y", "tiny") for i in range(10)], "doc_id long, text string, source string")
     out = corpus_pipeline.mix_sources(spark, df, "")
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == list(range(410))
+
+
+@pytest.mark.parametrize("goal", [{"big": 0.5, **{f"s{k:02d}": 0.5 / 19 for k in range(19)}}, {"big": 1.0, "rare": 1e-5}, {f"s{k:03d}": 1.0 + k for k in range(120)}])
+def test_whole_mix_stays_within_a_block_of_the_given_weights(goal):
+    total, n = sum(goal.values()), 20_000
+    units = mixing.whole(goal)
+    done, seen = Counter(), 0
+    for k, i, slot, release, deadline in mixing.schedule(units, dict.fromkeys(goal, n)):
+        if slot >= n:  # no source runs out before
+            break
+        assert i == done[k] and release <= slot < deadline
+        done[k] += 1
+        seen += 1
+        if slot % 97 == 0 or slot == n - 1:
+            assert all(abs(done[s] - (slot + 1) * w / total) < 1 + 1e-6 for s, w in goal.items())
+    assert seen == n
+
+
+def test_rows_follow_the_given_weights(spark):
+    goal = {"big": 0.5, **{f"s{k:02d}": 0.5 / 19 for k in range(19)}}
+    df = spark.createDataFrame([(i, k) for k, w in goal.items() for i in range(round(1520 * w))], "doc_id long, source string")
+    at = {r.slot: r.source for r in mixing.pfair_mix(df, ["doc_id"], weights=goal, block_rows=1).collect()}
+    done = Counter()
+    for slot in range(1520):
+        done[at[slot]] += 1
+        assert all(abs(done[k] - (slot + 1) * w) < 1 + 1e-6 for k, w in goal.items())
