@@ -1,0 +1,134 @@
+"""Near copies by exact Jaccard similarity of word shingles, for the pipeline.
+
+A text is the set of the XXH64 values of its shingles of five words. Texts with the same set are one class. Candidates are classes that
+share a band of ROWS of their BANDS * ROWS MinHash values; at a similarity of 0.8 a pair misses all bands about 3 times in a million. A SimHash radius can't do
+this: near copies differ in up to 11 bits and more, within which all pairs of tiles would be compared. All candidates are verified: the sets' similarity is counted whole.
+
+Links are those of all candidate pairs that are verified, but pairs that others connect are left out: first, each member of a band's bucket is
+compared with the smallest one of it; then, in the buckets that still hold more than one component, all pairs of members from different components. So a bucket of
+near copies costs as many pairs as it has members.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.llm.components import roots
+from quire.llm.shared import put, staged
+from quire.llm.simhash import SEED, word_pieces
+
+SHINGLE, LEAST = 5, 0.8
+BANDS, ROWS = 32, 5
+PART = 1024  # shingles at a time for the MinHash values
+
+_rng = np.random.default_rng(SEED)
+_FACTORS = (_rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+_MIX = (_rng.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[None, :]
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted set of the shingles' hashes; a shorter text is one shingle, a text without words has none."""
+    import xxhash
+
+    hashed, parts, carried, n = xxhash.xxh64_intdigest, [], [], 0
+    for words in word_pieces((text or "").encode().lower()):
+        words = carried + words
+        carried = words[max(0, len(words) - shingle + 1) :]
+        if len(words) < shingle:
+            continue
+        joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+        begins = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
+        parts.append(np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(begins, (ends[shingle - 1 :] - 1).tolist())], dtype="<u8")))
+        n += 1
+    if not n and carried:
+        return np.array([hashed(b" ".join(carried), SEED)], dtype="<u8")
+    return parts[0] if n == 1 else np.unique(np.concatenate(parts)) if n else np.zeros(0, dtype="<u8")
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A signed 64-bit value for each band of the MinHash values."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(found), PART):
+        np.minimum(least, (found[None, i : i + PART] * _FACTORS).min(axis=1), out=least)
+    return ((least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sorted sets of 64-bit values."""
+    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, text_col: str, least: float) -> DataFrame:
+    """Those of the pairs a, b of classes whose texts are similar enough."""
+    pairs = staged(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("_w")).union(pairs.select("b")).distinct()
+
+    @F.pandas_udf("binary")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingles(t).tobytes())
+
+    of = classes.join(wanted, F.col("_set") == F.col("_w"), "left_semi").select(F.col("_set").alias("_c"), F.col("_first.tag").alias("_t"))
+    of = staged(rows.select("_tag", text_col).join(of, F.col("_tag") == F.col("_t")).select("_c", read(F.coalesce(F.col(text_col), F.lit(""))).alias("_data")), "sets")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[[similarity(x, y) >= least for x, y in zip(batch["x"], batch["y"])], ["a", "b"]]
+
+    both = pairs.join(of.toDF("_ca", "x"), F.col("a") == F.col("_ca")).join(of.toDF("_cb", "y"), F.col("b") == F.col("_cb"))
+    return staged(both.select("a", "b", "x", "y").mapInPandas(compared, "a long, b long"), "links")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """df with component_id and kept.
+
+    A component is what links of `least` similarity reach; component_id is its smallest id, null if all its ids are null. kept is true for one row of each component, one
+    with that id. Texts without words, null included, are alike. An empty table gives no rows. Columns of df with the names of the new ones make way.
+    """
+
+    @F.pandas_udf("set long, n long, bands array<long>")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        sets = [shingles(t) for t in texts]
+        return pd.DataFrame({"set": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64), "n": [len(s) for s in sets], "bands": [bands(s) for s in sets]})
+
+    rows = put(df, _sketch=sketched(F.coalesce(F.col(text_col), F.lit(""))), _tag=F.monotonically_increasing_id())
+    rows = staged(put(rows, _set=F.col("_sketch.set"), _n=F.col("_sketch.n"), _bands=F.col("_sketch.bands")).drop("_sketch"), "sketches")
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_tag").alias("tag"))
+    classes = staged(rows.groupBy("_set").agg(F.min(first).alias("_first"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")), "classes")
+    members = classes.filter("_n > 0").select(F.col("_set").alias("u"), F.col("_n").alias("n"), F.posexplode("_bands").alias("band", "value"))
+    close = lambda x, y: F.least(x, y) >= F.floor(F.greatest(x, y) * least)
+
+    buckets = members.groupBy(F.col("band").alias("_band"), F.col("value").alias("_value")).agg(F.min(F.struct("u", "n")).alias("_hub"), F.count("*").alias("_size"))
+    buckets = staged(buckets.filter("_size > 1"), "buckets")
+    shared = members.join(buckets, (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")))
+    shared = staged(shared.select("u", "n", "band", "value", "_hub"), "shared")
+    stars = shared.filter((F.col("u") != F.col("_hub.u")) & close(F.col("n"), F.col("_hub.n"))).select(F.col("_hub.u").alias("a"), F.col("u").alias("b")).distinct()
+    links = _verified(stars, classes, rows, text_col, least)
+
+    labels = staged(roots(links).select(F.col("u").alias("_l"), "root"), "labels")
+    labelled = shared.join(labels, F.col("u") == F.col("_l"), "left").select("u", "n", "band", "value", F.coalesce("root", "u").alias("label"))
+    labelled = staged(labelled, "labelled")
+    mixed = labelled.groupBy(F.col("band").alias("_band"), F.col("value").alias("_value")).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi")
+    mixed = staged(mixed.select("_band", "_value"), "mixed")
+    parts = labelled.join(mixed, (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")), "left_semi")
+    parts = staged(parts.groupBy("band", "value", "label").agg(F.collect_list(F.struct("u", "n")).alias("m")), "parts")
+    cross = parts.alias("p").join(parts.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.value") == F.col("q.value")) & (F.col("p.label") < F.col("q.label")))
+    cross = cross.select(F.explode("p.m").alias("x"), F.col("q.m").alias("qm")).select("x", F.explode("qm").alias("y")).filter(close(F.col("x.n"), F.col("y.n")))
+    cross = cross.select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b")).distinct()
+    cross = cross.join(staged(stars, "stars"), ["a", "b"], "left_anti")  # these weren't similar enough
+    links = links.unionByName(_verified(cross, classes, rows, text_col, least))
+
+    found = roots(links)
+    named = classes.join(found, F.col("_set") == F.col("u"), "left").select("_set", "_first", F.coalesce("root", "_set").alias("_root"))
+    heads = named.groupBy(F.col("_root").alias("_r")).agg(F.min("_first").alias("_head"))
+    named = staged(named.join(heads, F.col("_root") == F.col("_r")).select(F.col("_set").alias("_s"), "_head"), "heads")
+    out = rows.join(named, F.col("_set") == F.col("_s"))
+    return put(out, component_id=F.col("_head.id"), kept=F.col("_tag") == F.col("_head.tag")).drop("_set", "_n", "_bands", "_tag", "_s", "_head")
