@@ -38,3 +38,25 @@ def test_entry():
 
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and "block_review_load" in queries
+
+
+def test_teds_of_grids_reads_whole_passages(spark):
+    def tags(passage):
+        return ["["] + [t for s in passage.split(". ") for t in ["<", *(f"v:{w.strip()}" for w in s.split(" ")), ">"]] + ["]"]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    items = sorted((r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect())
+    want = {}
+    for (_, other), (item, passage) in zip(items, items[1:]):
+        a, b = tags(passage), tags(other)
+        want[item] = 1 - distance(a, b) / max(len(a), len(b))
+    got = {r.item_id: r.teds for r in catalog.QUERIES["teds_of_grids"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
