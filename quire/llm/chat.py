@@ -61,11 +61,13 @@ def chosen_paths(messages: DataFrame, conv: str = "conv_id", msg: str = "msg", p
 
     Ties of the mean score go to the longer path, then to the smaller leaf. A message whose parent is null, itself or not in the
     conversation is a root, and so is each one that never reaches a root. Null roles, texts and scores count as empty and 0; a null conversation is
-    one like any other. Rows without a message id are roots of their own under no id and can't be told apart, so the greatest (score, role, text)
-    stays for a message id that comes twice, null included. An empty table gives no rows.
+    one like any other. Each row without a message id is a message of its own, which no row can name as its parent; the greatest (score, role, text)
+    stays for a message id that comes twice. An empty table gives no rows.
     """
     missing = F.lit(None)
-    rows = messages.select(F.col(conv).alias("_c"), F.coalesce(F.col(msg).cast("string"), F.lit("\0")).alias("_m"), F.col(parent).cast("string").alias("_p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("_score"), F.coalesce(F.col(role), F.lit("")).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    content = F.sha2(F.to_json(F.struct(F.col(score).cast("double").alias("s"), F.col(role).alias("r"), F.col(text).alias("t"), F.col(parent).cast("string").alias("p"))), 256)
+    own = F.concat(F.lit("\0"), content, F.lit("\0"), F.monotonically_increasing_id().cast("string"))  # by content first, so that ties of leaves don't hang on the layout
+    rows = messages.select(F.col(conv).alias("_c"), F.coalesce(F.col(msg).cast("string"), own).alias("_m"), F.col(parent).cast("string").alias("_p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("_score"), F.coalesce(F.col(role), F.lit("")).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = staged(rows.groupBy("_c", "_m").agg(F.max(F.struct("_score", "_role", "_text", "_p")).alias("_one")).select("_c", "_m", "_one.*"), "messages")
     known = rows.select(F.col("_c").alias("_kc"), F.col("_m").alias("_km"))
     linked = rows.filter(F.col("_p").isNotNull() & (F.col("_p") != F.col("_m"))).select("_c", "_m", "_p", "_score")

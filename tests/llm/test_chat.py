@@ -87,3 +87,9 @@ def test_empty_table(spark):
 def test_extra_columns_make_no_trouble(spark):
     df = spark.createDataFrame([(1, "a", None, "user", "x", 0.0)], SHAPE).withColumn("branch", F.lit(9)).withColumn("_c", F.lit(1))
     assert chat.formatted(chat.chosen_paths(df)).count() == 1
+
+
+def test_rows_without_an_id_keep_their_texts(spark):
+    rows = [(1, None, None, "user", "one", 0.0), (1, None, None, "user", "two", 2.0), (1, None, None, "assistant", "two", 2.0), (1, None, None, "user", "one", 0.0), (1, "a", None, "user", "root", 0.0), (1, None, "a", "assistant", "reply", 1.0)]
+    got = read(spark, rows, keep=9)
+    assert sorted([t.text for t in r.turns] for r in got.values()) == [["one"], ["one"], ["root", "reply"], ["two"], ["two"]]
