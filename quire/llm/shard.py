@@ -5,6 +5,9 @@ the shuffled order. Pass 2 shuffles each bucket: Spark's shuffle() draws a Fishe
 it, and the record at place i of the bucket, by hash, goes to the i-th number drawn. The permutations are written to the shared folder,
 so that a task that runs again draws nothing anew. The records shuffle once, and sort on disk if they must.
 
+The generator of a permutation is seeded by the number of its partition, so the permutations are dealt by bucket to a number of partitions that follows from the number
+of buckets alone: the place of a record hangs on the seed and the keys of all records, not on the cluster or its settings.
+
 Place g of the shuffled order is slot g div n of shard g mod n: the numbers of rows differ by one at most.
 """
 
@@ -15,32 +18,34 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import put, staged
+from quire.llm.shared import HOT, apart, packed, staged, unpacked
 
 LAW = "rows"
+DRAWN_TOGETHER = 16  # buckets to a partition of permutations
 
 
-def external_shuffle(df: DataFrame, n_shards: int, keys: list[Column], size: Column, seed: int = 42, bucket_bytes: int = 64 << 20, min_buckets: int = 1024) -> DataFrame:
+def external_shuffle(df: DataFrame, n_shards: int, keys: list[Column], size: Column, seed: int = 42, bucket_bytes: int = 64 << 20, min_buckets: int = 1024, hot: int = HOT) -> DataFrame:
     """df with shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
-    keys: what the place of a record hangs on; nulls are values like any other, and records that are alike in all keys share a bucket.
-    size: its bytes. There is a bucket for every bucket_bytes of the table, min_buckets at least. Columns of df named
+    keys: what the place of a record hangs on; nulls are values like any other. Records that are alike in all keys may change places with each other; if they are more
+    than `hot`, they are numbered and scattered one by one. size: its bytes. There is a bucket for every bucket_bytes of the table, min_buckets at least. Columns of df named
     shard or slot make way for the new ones. An empty table gives no rows.
     """
     spark = df.sparkSession
-    rows = put(df, _key=F.xxhash64(F.lit(seed), *keys), _tie=F.xxhash64(F.lit(seed + 1), *keys), _size=size)
-    total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    rows = packed(df, key=F.xxhash64(F.lit(seed), *keys), tie=F.xxhash64(F.lit(seed + 1), *keys), bytes=size)
+    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     n_buckets = max(min_buckets, math.ceil(total / bucket_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (128 << 20)))
-    rows = rows.withColumn("_bucket", F.pmod("_key", F.lit(n_buckets)))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy(F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    drawn = buckets.repartition(parts, "_b").sortWithinPartitions("_b").select("_b", "_start", F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), F.lit(seed)).alias("_drawn"))
+    rows = apart(rows.drop("bytes"), seed, hot).withColumn("bucket", F.pmod("key", F.lit(n_buckets)))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    drawn = buckets.repartition(math.ceil(n_buckets / DRAWN_TOGETHER), "b").sortWithinPartitions("b").select("b", "start", F.shuffle(numbers, F.lit(seed)).alias("drawn"))
     drawn = staged(drawn, "permutations").hint("merge")
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", "_tie"))
-    placed = rows.drop("_size").repartition(parts, "_bucket").withColumn("_i", place).join(drawn, F.col("_bucket") == F.col("_b"))
-    at = F.col("_start") + F.element_at("_drawn", F.col("_i"))
-    return put(placed, shard=(at % n_shards).cast("int"), slot=F.floor(at / n_shards).cast("long")).drop("_key", "_tie", "_bucket", "_i", "_b", "_start", "_drawn")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("key", "tie"))
+    placed = rows.repartition(parts, "bucket").withColumn("i", place).join(drawn, F.col("bucket") == F.col("b"))
+    at = F.col("start") + F.element_at("drawn", F.col("i"))
+    return unpacked(placed, shard=(at % n_shards).cast("int"), slot=F.floor(at / n_shards).cast("long"))
 
 
 def write_shards(placed: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:

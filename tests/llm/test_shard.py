@@ -55,3 +55,32 @@ def test_write_and_read_back(spark, tmp_path):
     write_shards(shuffled(df, 4), str(tmp_path / "out"), rows_per_file=20)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.groupBy("shard").count().filter("count = 50").count() == 4
+
+
+def test_place_hangs_on_seed_and_keys_alone(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 50).alias("text"))
+    found, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("4", "7", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(sorted((r.doc_id, r.shard, r.slot) for r in shuffled(df.repartition(int(parts) + 1)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert found[0] == found[1] == found[2]
+
+
+def test_many_rows_alike_go_to_all_buckets(spark):
+    df = spark.range(1_000_000).select(F.when(F.col("id") % 3 < 2, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    counts = []
+    for layout in (df, df.repartition(5)):
+        out = shuffled(layout, 8, hot=1000)
+        counts.append(sorted((r.shard, r["count"], r.top, r.alike) for r in out.groupBy("shard").agg(F.count("*").alias("count"), F.max("slot").alias("top"), F.sum(F.when(F.col("doc_id") == 7, F.col("slot"))).alias("alike")).collect()))
+    assert counts[0] == counts[1] and all(c == (k, 125_000, 124_999, c[3]) for k, c in enumerate(counts[0]))
+
+
+def test_extra_columns_may_have_any_name(spark):
+    names = ["key", "tie", "row", "bucket", "b", "n", "start", "drawn", "i", "_key", "_b", "Slot", "bytes", "at", "part"]
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    out = shuffled(df, 3, hot=5)
+    assert out.columns == ["doc_id", "text", *(n for n in names if n != "Slot"), "shard", "slot"]
+    assert all([r[n] for n in names if n != "Slot"] == [k for k, n in enumerate(names) if n != "Slot"] for r in out.collect())
