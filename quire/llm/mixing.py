@@ -6,27 +6,27 @@ factor, to a sum of 1 again, and the times of their blocks from there on follow
 goes next. The weights are exact fractions and sum up to 1, so every block meets its window and a source is never a block or more from its target
 at any time. Every slot has a block, and every block a slot.
 
-The slots are worked out on the driver, from the weights and the numbers of blocks alone, and go to the shared folder by pieces of PIECE blocks.
+The slots are worked out on the driver, from the weights and the numbers of blocks alone, and go to the shared folder by pieces of PIECE blocks. Its time grows with the
+number of blocks, about 5 seconds a million, so a table of more than MOST blocks of 16 rows has larger blocks.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
 import math
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import islice
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import put, staged
+from quire.llm.shared import HOT, apart, packed, staged, unpacked
 
 SEED = 42
-PIECE, BROADCAST = 500_000, 2_000_000  # blocks of a piece of the plan; blocks of a plan that is broadcast, at most
+PIECE, BROADCAST = 200_000, 2_000_000  # blocks of a piece of the plan; blocks of a plan that is broadcast, at most
+ROWS, MOST = 16, 20_000_000  # rows of a block, at least; blocks of a table, at most
 
 
 def units_of(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -85,39 +85,46 @@ def schedule(units: dict[str, int], blocks: dict[str, int] | None = None) -> Ite
             heapq.heappush(waiting, first(k, i + 1))
 
 
-def _plan(spark, number: dict[str, int], slots: Iterator[tuple[str, int, int, int, int]]) -> DataFrame:
-    """_k (the source's number), _i, _s, _r, _d of the schedule."""
-    schema, pieces = pa.schema([("_k", pa.int32()), ("_i", pa.int32()), ("_s", pa.int64()), ("_r", pa.int64()), ("_d", pa.int64())]), []
+def _plan(spark: SparkSession, number: dict[str, int], slots: Iterator[tuple[str, int, int, int, int]]) -> DataFrame:
+    """k (the source's number), i, s, r, d of the schedule."""
+    pieces = []
     while (piece := list(islice(slots, PIECE))) or not pieces:
-        columns = list(zip(*((number[k], *x) for k, *x in piece))) or [()] * 5
-        made = staged(spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)), "slots")
-        pieces.append(made)
+        made = spark.createDataFrame([(number[k], *x) for k, *x in piece], "k int, i int, s long, r long, d long", verifySchema=False)
+        pieces.append(staged(made, "slots"))
     out = pieces[0]
     for made in pieces[1:]:
         out = out.unionByName(made)
     return out
 
 
-def pfair_mix(df: DataFrame, keys: list[str], source_col: str = "source", weights: dict[str, float] | None = None, temper: float = 0.7, block_rows: int = 16, period: int | None = None, max_sources: int = 10_000) -> DataFrame:
+def pfair_mix(
+    df: DataFrame, keys: list[str], source_col: str = "source", weights: dict[str | None, float] | Callable[[str | None, int], float] | None = None,
+    temper: float = 0.7, block_rows: int | None = None, period: int | None = None, max_sources: int = 1_000_000, hot: int = HOT,
+) -> DataFrame:
     """df with block, slot, release, deadline, in_block and in_mix; by (slot, in_block) it's in the order of the mix.
 
-    weights: target of each source, in any unit; None takes each source's number of rows to the power `temper`. Sources without a weight
+    weights: target of each source, in any unit, or a function of its name and number of rows; None takes each source's number of rows to the power `temper`. Sources without a weight
     are left out of the mix (in_mix false, the other new columns null); null is a source, named None. keys: the columns that order a
-    source's rows. Over max_sources sources is an error: the schedule is made for all of them on the driver. period: None follows the weights exactly, and all rows of the
+    source's rows; rows alike in them may change places with each other, and are dealt out by number if they are more than `hot`. block_rows: None takes 16, or more where that
+    makes more than MOST blocks. Over max_sources sources is an error: the schedule is made for all of them on the driver. period: None follows the weights exactly, and all rows of the
     sources with a weight are in the mix; a number rounds the weights to whole parts of so many slots, and in_mix is true only as long as each source has full blocks for them.
     Columns of df with the names of the new ones make way. An empty table gives no rows.
     """
     spark = df.sparkSession
-    rows = put(df, _src=F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string"))), _key=F.xxhash64(F.lit(SEED), *(F.col(k) for k in keys)))
-    found = rows.groupBy("_src").count().limit(max_sources + 1).collect()
+    source = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
+    rows = packed(df, src=source, key=F.xxhash64(F.lit(SEED), F.col(source_col), *(F.col(k) for k in keys)), tie=F.xxhash64(F.lit(SEED + 1), F.col(source_col), *(F.col(k) for k in keys)))
+    found = rows.groupBy("src").count().limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     count = {r[0]: r[1] for r in found}
+    name = lambda k: None if k == "n" else k[1:]
     if weights is None:
         target = {k: n**temper for k, n in count.items()}
+    elif callable(weights):
+        target = {k: w for k, n in count.items() if (w := weights(name(k), n)) > 0}
     else:
-        named = {("n" if k is None else f"s{k}"): w for k, w in weights.items()}
-        target = {k: named[k] for k in count if named.get(k, 0) > 0}
+        target = {k: w for k in count if (w := weights.get(name(k), 0)) > 0}
+    block_rows = block_rows or max(ROWS, math.ceil(sum(count.values()) / MOST))
     if period and target:
         target = units_of(target, max(period, 10 * len(target)))
     units = whole(target)
@@ -126,26 +133,25 @@ def pfair_mix(df: DataFrame, keys: list[str], source_col: str = "source", weight
     plan = _plan(spark, number, schedule(units, blocks))
     plan = F.broadcast(plan) if sum(blocks.values()) <= BROADCAST else plan
     horizon = min((count[k] // block_rows * sum(units.values()) // u for k, u in units.items()), default=0) if period else sum(blocks.values())
-    each = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"_k": k, "_n": n} for k, n in number.items()])), "array<struct<_k:string,_n:int>>")).alias("p")).select(F.col("p._k").alias("_ku"), F.col("p._n").alias("_no"))
+    each = spark.createDataFrame(list(number.items()), "named string, no int", verifySchema=False)
 
     n_sub = max(256, math.ceil(sum(count.values()) / 500_000))  # a large source is numbered in so many parts
-    rows = rows.withColumn("_sub", F.pmod("_key", F.lit(n_sub)))
-    before = Window.partitionBy("_s0").orderBy("_b0").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(F.col("_src").alias("_s0"), F.col("_sub").alias("_b0")).count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    place = F.row_number().over(Window.partitionBy("_src", "_sub").orderBy("_key", *(F.col(k) for k in keys)))
-    placed = rows.withColumn("_n", place).join(starts, (F.col("_src") == F.col("_s0")) & (F.col("_sub") == F.col("_b0")))
-    placed = placed.join(F.broadcast(each), F.col("_src") == F.col("_ku"), "left")
-    nth = F.col("_start") + F.col("_n") - 1
-    placed = placed.withColumn("_at", F.floor(nth / block_rows)).withColumn("_in", nth % block_rows)
-    placed = placed.join(plan, (F.col("_no") == F.col("_k")) & (F.col("_at").cast("int") == F.col("_i")), "left")
-    due = F.col("_k").isNotNull()
-    out = put(
+    rows = apart(rows, SEED, hot).withColumn("sub", F.pmod("key", F.lit(n_sub)))
+    before = Window.partitionBy("s0").orderBy("b0").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(F.col("src").alias("s0"), F.col("sub").alias("b0")).count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    place = F.row_number().over(Window.partitionBy("src", "sub").orderBy("key", "tie"))
+    placed = rows.withColumn("n", place).join(starts, (F.col("src") == F.col("s0")) & (F.col("sub") == F.col("b0")))
+    placed = placed.join(F.broadcast(each), F.col("src") == F.col("named"), "left")
+    nth = F.col("start") + F.col("n") - 1
+    placed = placed.withColumn("at", F.floor(nth / block_rows)).withColumn("in", nth % block_rows)
+    placed = placed.join(plan, (F.col("no") == F.col("k")) & (F.col("at").cast("int") == F.col("i")), "left")
+    due = F.col("k").isNotNull()
+    return unpacked(
         placed,
-        block=F.when(due, F.col("_at")),
-        slot=F.col("_s"),
-        release=F.col("_r"),
-        deadline=F.col("_d"),
-        in_block=F.when(due, F.col("_in")),
-        in_mix=F.coalesce(F.col("_s") < horizon, F.lit(False)),
+        block=F.when(due, F.col("at")),
+        slot=F.col("s"),
+        release=F.col("r"),
+        deadline=F.col("d"),
+        in_block=F.when(due, F.col("in")),
+        in_mix=F.coalesce(F.col("s") < horizon, F.lit(False)),
     )
-    return out.drop("_src", "_key", "_sub", "_n", "_s0", "_b0", "_start", "_ku", "_no", "_at", "_in", "_k", "_i", "_s", "_r", "_d", "_u")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +80,14 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def target(source: str | None, rows: int) -> float:
+    """An uneven target: rows to the power 0.7, times 1 to 7 by the name."""
+    return rows**0.7 * (1 + zlib.crc32((source or "").encode()) % 7)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.pfair_mix(docs, ["doc_id"]).select("doc_id", "source", "block", "slot", "release", "deadline", "in_block", "in_mix")
+    return mixing.pfair_mix(docs, ["doc_id"], weights=target).select("doc_id", "source", "block", "slot", "release", "deadline", "in_block", "in_mix")
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_lm_score, op4_decontaminate, op5_shards, op6_chat, op7_url, op8_exact_dedup, op9_tokens, op10_mix)}

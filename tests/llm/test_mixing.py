@@ -124,3 +124,42 @@ def test_rows_follow_the_given_weights(spark):
     for slot in range(1520):
         done[at[slot]] += 1
         assert all(abs(done[k] - (slot + 1) * w) < 1 + 1e-6 for k, w in goal.items())
+
+
+def test_hundred_thousand_sources():
+    goal = {f"s{k}": 1.0 + k % 5 for k in range(100_000)}
+    seen = [x for x in mixing.schedule(mixing.whole(goal), dict.fromkeys(goal, 2))]
+    assert len(seen) == 200_000 and all(release <= slot < deadline for _, _, slot, release, deadline in seen)
+
+
+def test_rows_alike_in_the_keys_and_names_that_clash(spark):
+    names = ["src", "key", "tie", "row", "sub", "n", "start", "no", "k", "i", "s", "r", "d", "at", "in", "_k", "_s", "_units", "count"]
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"), *(F.lit(j).alias(n) for j, n in enumerate(names)))
+    seen = []
+    for layout in (df, df.repartition(3)):
+        out = mixing.pfair_mix(layout, ["doc_id"], hot=500)
+        assert out.columns == [*df.columns, "block", "slot", "release", "deadline", "in_block", "in_mix"]
+        rows = out.collect()
+        assert all([r[n] for n in names] == list(range(len(names))) for r in rows) and len({(r.slot, r.in_block) for r in rows}) == 9000
+        seen.append(sorted((r.slot, r.in_block, r.source, r.doc_id or -1) for r in rows))
+    assert seen[0] == seen[1]
+
+
+def test_query_keeps_to_its_uneven_targets(spark):
+    from quire.llm import queries
+
+    rows = queries.op10_mix(spark, "/root/testdata/sf0.01").collect()
+    total = Counter(r.source for r in rows)
+    goal = {k: queries.target(k, n) for k, n in total.items()}
+    assert all(r.in_mix for r in rows) and max(goal.values()) > 3 * min(goal.values())
+    at, done, fluid = {r.slot: r.source for r in rows}, Counter(), Counter()
+    for slot in range(len(at)):
+        room = 1.0
+        while room > 1e-9:
+            alive = {k: w for k, w in goal.items() if -(-total[k] // 16) - fluid[k] > 1e-9}
+            step = min(room, *((-(-total[k] // 16) - fluid[k]) * sum(alive.values()) / w for k, w in alive.items()))
+            for k, w in alive.items():
+                fluid[k] += step * w / sum(alive.values())
+            room -= step
+        done[at[slot]] += 1
+        assert all(abs(done[k] - fluid[k]) < 1 + 1e-6 for k in goal)
