@@ -1,6 +1,6 @@
 """Quality classifier: a sparse rule ensemble (operator 2).
 
-Statistics of a text that don't hang on its length feed shallow regression trees, boosted on random halves of the rows and statistics. Each path from
+Statistics of a text, of which only the logarithm of the number of words hangs on its length, feed shallow regression trees, boosted on random halves of the rows and statistics. Each path from
 a root to a node is a rule, a conjunction of comparisons. A logistic regression with a lasso penalty, fitted by accelerated proximal
 gradient steps, gives most rules the weight 0; the others are compiled into one Spark column expression over the statistics.
 
@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import pandas as pd
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import put
+from quire.llm.shared import packed, unpacked
 from quire.llm.simhash import word_pieces
 
 STATS = ("log_words", "word_length", "upper", "symbols", "exclaims", "bars", "digits", "stops", "distinct", "repeats", "breaks", "word_ends", "short_words", "long_words")
@@ -53,14 +53,14 @@ def statistics(text: str) -> list[float]:
     return [float(np.log1p(n)), chars / n, upper / max(1, upper + lower), symbols, per[0], per[1], digits, data.count(b".") / n, distinct / n, repeats / n, data.count(b"\n") / n, ends / n, short / n, long / n]
 
 
-def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with _s, a struct of STATS."""
+def _stats(text: Column) -> Column:
+    """STATS as a struct."""
 
     @F.pandas_udf(", ".join(f"{s} double" for s in STATS))
     def stats(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([statistics(t) for t in texts], columns=list(STATS))
 
-    return put(df, _s=stats(F.coalesce(F.col(text_col), F.lit(""))))
+    return stats(text)
 
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, greater than the bound or else not, bound)
@@ -159,7 +159,7 @@ class RuleEnsemble:
         w, b = lasso_logistic(z, y, min(PENALTIES, key=loss))
         return cls([(r, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-6], b)
 
-    def column(self, stats: str = "_s") -> Column:
+    def column(self, stats: str = "stats") -> Column:
         """The score as an expression over the struct of statistics."""
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
@@ -175,23 +175,33 @@ def in_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT == 0, F.lit(True))
 
 
+def usable(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """id, y: the ids that may be learned from. Labels that are null, are held out or contradict each other count for nothing."""
+    known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("most"))
+    return known.filter((F.col("y") == F.col("most")) & ~in_held_out("id")).select("id", "y")
+
+
+def learned_from(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """id, y, text: of the first `sample` usable ids by a hash, the texts; of texts that share an id the first two by a hash. It's the same in any layout of the tables."""
+    known = usable(labels, id_col, label_col)
+    place, n = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)), known.count()
+    if n > 4 * sample:  # the first by hash are among these, and tasks need not send `sample` rows each
+        known = known.filter(place < int((1 << 30) * 4 * sample / n))
+    known = known.orderBy(place, "id").limit(sample)
+    found = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc") == F.col("id"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"), "text"))
+    return found.withColumn("nth", nth).filter("nth <= 2").select("id", "y", "text")
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = 42) -> RuleEnsemble:
-    """labels: id_col, label_col (0 or 1). Labels that are null, are held out or contradict each other count for nothing. At most `sample`
-    labels, by a hash of the id, are learned from, and of texts that share one of these ids at most twice as many."""
-    known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_max"))
-    known = known.filter((F.col("_y") == F.col("_max")) & ~in_held_out(id_col)).select(F.col(id_col).alias("_id"), "_y")
-    place, most = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30)), labels.count()
-    if most > 4 * sample:  # the first by hash are among these, and tasks need not send `sample` rows each
-        known = known.filter(place < int((1 << 30) * 4 * sample / most))
-    known = known.orderBy(place, "_id").limit(sample)
-    found = df.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).join(F.broadcast(known), F.col("_d") == F.col("_id"))
-    rows = with_statistics(found, "_t").select("_id", "_y", "_s.*").limit(2 * sample).toPandas()
-    rows = rows.sort_values(["_id", *STATS]).reset_index(drop=True)
-    return RuleEnsemble.fit({s: rows[s].to_numpy(dtype=np.float64) for s in STATS}, rows["_y"].to_numpy(dtype=np.float64), seed)
+    """labels: id_col, label_col (0 or 1). It learns from `sample` labels and 2 * sample texts at most, see learned_from()."""
+    rows = learned_from(df, labels, id_col, text_col, label_col, sample, seed).select("id", "y", _stats(F.col("text")).alias("stats")).select("id", "y", "stats.*").toPandas()
+    rows = rows.sort_values(["id", *STATS]).reset_index(drop=True)
+    return RuleEnsemble.fit({s: rows[s].to_numpy(dtype=np.float64) for s in STATS}, rows["y"].to_numpy(dtype=np.float64), seed)
 
 
 def scored(df: DataFrame, model: RuleEnsemble, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with score (0 to 1) and predicted (1 if score >= threshold, else 0). A null text counts as empty; all its statistics are 0. An empty
     table gives no rows. Columns of df with the names of the new ones make way."""
-    made = put(with_statistics(df, text_col), score=model.column())
-    return put(made, predicted=(F.col("score") >= threshold).cast("int")).drop("_s")
+    made = packed(df, stats=_stats(F.coalesce(F.col(text_col), F.lit("")))).select("row", model.column().alias("value"))
+    return unpacked(made, score=F.col("value"), predicted=(F.col("value") >= threshold).cast("int"))

@@ -73,3 +73,29 @@ def test_one_class_and_empty_tables(spark):
     ones = quality.fit(docs, labels.withColumn("quality", F.lit(1)))
     assert not ones.rules and 0.9 < 1 / (1 + np.exp(-ones.intercept)) < 1
     assert quality.scored(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_sample_counts_distinct_usable_labels(spark):
+    labels = spark.range(2000).crossJoin(spark.range(100).select(F.col("id").alias("again"))).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    n = quality.usable(labels).count()
+    assert n == spark.range(2000).filter(~quality.in_held_out("id")).count()
+    assert quality.learned_from(docs, labels).count() == n
+    assert quality.learned_from(docs, labels, sample=100).count() == 100
+    few = [r.id for r in quality.learned_from(docs, labels, sample=300).collect()]
+    assert len(few) == 300 and set(r.id for r in quality.learned_from(docs, labels, sample=100).collect()) <= set(few)
+
+
+def test_repeated_documents_give_the_same_rules_in_any_layout(spark):
+    docs, labels = corpus(spark)
+    many = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" once more")))).unionByName(docs)
+    sampled = quality.learned_from(many, labels)
+    assert sampled.groupBy("id").count().agg(F.max("count")).first()[0] == 2
+    a, b = quality.fit(many, labels), quality.fit(many.repartition(7), labels.repartition(3))
+    assert a.rules == b.rules and a.intercept == b.intercept
+
+
+def test_extra_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "a text", 1, 2, 3)], "doc_id long, text string, stats int, value int, Score int")
+    out = quality.scored(df, quality.RuleEnsemble([], 0.0))
+    assert out.columns == ["doc_id", "text", "stats", "value", "score", "predicted"] and out.first()[2:] == (1, 2, 0.5, 1)
