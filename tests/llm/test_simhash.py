@@ -104,3 +104,23 @@ def test_null_ids_repeated_rows_and_finer_blocks(spark):
 def test_empty_table(spark):
     out = simhash.near_groups(spark.createDataFrame([], "doc_id long, text string"))
     assert out.count() == 0 and out.columns == ["doc_id", "fingerprint", "component_id", "kept"]
+
+
+def test_links_over_the_top_bit(spark):
+    """Bits 63 and another differ; and of values that differ in nearly all bits none is a link."""
+    base = 0x0123456789ABCDEF
+    values = [base, base ^ (1 << 63) ^ 1, ~base & (2**64 - 1), (base ^ (1 << 62) ^ (1 << 5)) & (2**64 - 1)]
+    signed = [v - 2**64 if v >= 2**63 else v for v in values]
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.linked(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
+    assert links == {(min(signed[0], v), max(signed[0], v)) for v in (signed[1], signed[3])}
+    import numpy as np
+
+    assert not simhash.forest(np.array([0, 5], dtype=np.int64), np.array([-1, -6], dtype=np.int64), 2)
+
+
+def test_extra_columns_may_have_any_name(spark):
+    names = ["fp", "tag", "first", "top", "of", "head", "row", "u", "root", "Kept", "id"]
+    df = spark.createDataFrame([(i, f"a b c d {i % 2}", *range(len(names))) for i in range(4)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = simhash.near_groups(df)
+    assert out.columns == ["doc_id", *(n for n in names if n != "Kept"), "fingerprint", "component_id", "kept"]
+    assert all(r[n] == k for r in out.collect() for k, n in enumerate(names) if n != "Kept")
