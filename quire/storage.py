@@ -36,4 +36,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage, and lost executors don't lose it."""
     spark = df.sparkSession
     df.write.parquet(path := new_path(spark, label))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that staged() returned and that nothing reads any more."""
+    for df in tables:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
