@@ -6,14 +6,16 @@ the benchmark's passages are the seeds; a document joins the items that it share
 a match of its own if it's still 5 words long. The share of the item's words under tiles is its coverage, in whatever order the document
 has its parts; a document is contaminated by an item of which it covers `least` (0.5).
 
-The benchmark is the query set: it's broadcast in blocks of about BLOCK characters, so a task holds one block's seeds (some 30 MB) at a time, and every document meets
-every block in one scan. Documents don't shuffle.
+The longest match is found by halving on its length: running hashes of that many unmarked words of both texts, compared as sets. So memory is some dozen numbers for each
+word of the two texts, however often words repeat, and the places of equal seeds are never paired.
+
+The benchmark is the query set. Up to BLOCK characters it's broadcast, some 30 MB of seeds, and documents don't shuffle. A larger one becomes tables: a bitmap of the seeds there are, of 64 MB at
+most, is broadcast, the distinct seeds of each distinct text that pass it join the items' seeds, and the pairs of a text and an item that share enough of them are tiled. Then memory
+hangs neither on the number of items nor on that of documents, and both are read twice.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
 import re
 from collections.abc import Iterator
 
@@ -22,12 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import put
+from quire.llm.shared import discard, packed, staged, unpacked
 
 TILE, LEAST, BLOCK = 5, 0.5, 4 << 20
 PIECE, CACHE = 1 << 20, 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, for the running hash modulo 2^64
-SEED_BITS = 20
+SEED_BITS, MOST_BITS = 20, 29  # of the table that says which seeds there may be: of a block, and of a whole benchmark
 
 _WORD = re.compile(r"[^\W_]+")
 _SPACE = re.compile(r"\s")
@@ -72,57 +74,92 @@ def running(words: np.ndarray, tile: int = TILE) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def tiled(item: np.ndarray, seeds: np.ndarray, doc: np.ndarray, at: np.ndarray, doc_seeds: np.ndarray, tile: int = TILE) -> int:
-    """Words of `item` under the tiles of greedy string tiling. at: places in doc whose seed is one of the item's."""
-    order = np.argsort(seeds, kind="stable")
-    keys = seeds[order]
-    lo, hi = np.searchsorted(keys, doc_seeds[at], "left"), np.searchsorted(keys, doc_seeds[at], "right")
-    many = hi - lo
-    j = np.repeat(at, many)
-    i = order[np.repeat(lo - np.concatenate(([0], many.cumsum()[:-1])), many) + np.arange(many.sum())]
-    diagonal = j - i
-    by = np.lexsort((i, diagonal))
-    i, j, diagonal = i[by], j[by], diagonal[by]
-    new = np.concatenate(([True], (diagonal[1:] != diagonal[:-1]) | (i[1:] != i[:-1] + 1))).nonzero()[0]
-    length = np.diff(np.append(new, len(i))) + tile - 1
-    heap = list(zip((-length).tolist(), i[new].tolist(), j[new].tolist()))
-    heapq.heapify(heap)
-    mine, theirs, covered = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool), 0
-    while heap and covered < len(item):
-        size, a, b = heapq.heappop(heap)
-        size = -size
-        taken = mine[a : a + size] | theirs[b : b + size]
-        if not taken.any():
-            if (item[a : a + size] == doc[b : b + size]).all():
-                mine[a : a + size] = theirs[b : b + size] = True
-                covered += size
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate(([1], taken.view(np.int8), [1]))))
-        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if e - s >= tile:
-                heapq.heappush(heap, (s - e, a + s, b + s))
+def _windows(sums: np.ndarray, powers: np.ndarray, marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the runs of `size` unmarked words, and their hashes."""
+    at = (marks[size:] == marks[:-size]).nonzero()[0]
+    return at, (sums[at + size] - sums[at]) * powers[at]
+
+
+def tiled(item: np.ndarray, doc: np.ndarray, tile: int = TILE) -> int:
+    """Words of `item` under the tiles of greedy string tiling: again and again the longest match of unmarked words, of equal ones that with the first place in item and then in doc."""
+    texts = (item, doc)
+    longest = max(len(item), len(doc)) + 1
+    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(longest, BASE))))
+    inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(longest, np.uint64(pow(int(BASE), -1, 2**64))))))
+    sums = [np.concatenate(([np.uint64(0)], np.cumsum(t * inverse[: len(t)]))) for t in texts]
+    taken = [np.zeros(len(t), dtype=bool) for t in texts]
+    covered, high = 0, min(map(len, texts))
+
+    def free(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [_windows(s, powers, np.concatenate(([0], np.cumsum(m))), size) for s, m in zip(sums, taken)]
+
+    while high >= tile:
+        low = tile - 1  # a match of `low` words may be left; one of more than `high` is not
+        while low < high:
+            middle = (low + high + 1) // 2
+            (_, x), (_, y) = free(middle)
+            low, high = (middle, high) if len(x) and len(y) and np.isin(x, y).any() else (low, middle - 1)
+        if low < tile:
+            break
+        (i, x), (j, y) = free(low)
+        order = np.argsort(y, kind="stable")
+        j, y = j[order], y[order]
+        left, right = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+        some = (right > left).nonzero()[0]
+        next_of: dict[int, int] = {}  # of a hash, by its first place in y: the first of its places in doc that may be free
+        for a, first, end in zip(i[some].tolist(), left[some].tolist(), right[some].tolist()):
+            if taken[0][a : a + low].any():
+                continue
+            k = next_of.get(first, first)
+            while k < end and (taken[1][j[k]] or taken[1][j[k] + low - 1] or taken[1][j[k] : j[k] + low].any()):
+                k += 1
+            next_of[first] = k
+            if k < end and (item[a : a + low] == doc[j[k] : j[k] + low]).all():
+                taken[0][a : a + low] = taken[1][j[k] : j[k] + low] = True
+                covered += low
+        high = low - 1
     return covered
 
 
+def _near_seeds(words: np.ndarray, at: np.ndarray, tile: int) -> np.ndarray:
+    """The words under the seeds at these places, in order, with a word of its own where some are left out. No match goes beyond them."""
+    under = np.zeros(len(words) + 1, dtype=np.int64)
+    under[at] += 1
+    under[at + tile] -= 1
+    under = under.cumsum()[:-1] > 0
+    gaps = (under & ~np.concatenate(([False], under[:-1]))).cumsum()
+    gaps = np.flatnonzero(np.diff(gaps[under], prepend=0))
+    return np.insert(words[under], gaps, np.arange(len(gaps), dtype=np.uint64))
+
+
+def coverage(item: np.ndarray, item_seeds: np.ndarray, words: np.ndarray, seeds: np.ndarray, least: float, tile: int) -> float:
+    """The share of the item's words under tiles in a document; 0 if the seeds that both have can't cover `least` of them."""
+    shared = np.isin(item_seeds, seeds).nonzero()[0]
+    under = np.zeros(len(item) + 1, dtype=np.int64)
+    under[shared] += 1
+    under[shared + tile] -= 1
+    if not len(shared) or (under.cumsum()[:-1] > 0).sum() < least * len(item):
+        return 0.0
+    return tiled(item, _near_seeds(words, np.isin(seeds, item_seeds).nonzero()[0], tile), tile) / len(item)
+
+
 class Block:
     """Items of the benchmark and their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]], tile: int = TILE) -> None:
+    def __init__(self, texts: list[str | None], tile: int = TILE) -> None:
         self.tile = tile
-        made = [(k, words) for k, text in sorted(items) if len(words := word_hashes(text or "")) >= tile]
-        self.ids, self.words = [k for k, _ in made], [w for _, w in made]
+        made = [(k, words) for k, text in enumerate(texts) if len(words := word_hashes(text or "")) >= tile]
+        self.places, self.words = [k for k, _ in made], [w for _, w in made]
         self.seeds = [running(w, tile) for w in self.words]
-        lengths = np.array([len(s) for s in self.seeds], dtype=np.int64)
         every = np.concatenate([*self.seeds, np.zeros(0, dtype=np.uint64)])
+        item = np.repeat(np.arange(len(made)), [len(s) for s in self.seeds])
         order = np.argsort(every, kind="stable")
-        self.keys = every[order]
-        self.item = np.repeat(np.arange(len(made)), lengths)[order]
-        self.place = (np.arange(len(every)) - np.repeat(lengths.cumsum() - lengths, lengths))[order]
+        self.keys, self.item = every[order], item[order]
         self.some = np.zeros(1 << SEED_BITS, dtype=bool)
         self.some[self.keys >> np.uint64(64 - SEED_BITS)] = True
 
     def judge(self, text: str, least: float) -> tuple[float, int | None, int]:
-        """(coverage, item) of the item covered most, the smallest of equals, and the number of items covered by `least`."""
+        """(coverage, place) of the item covered most, the first of equals, and the number of items covered by `least`."""
         words = word_hashes(text)
         mine = running(words, self.tile)
         at = self.some[mine >> np.uint64(64 - SEED_BITS)].nonzero()[0]
@@ -130,56 +167,111 @@ class Block:
             return 0.0, None, 0
         shared = np.unique(mine[at])
         lo, hi = np.searchsorted(self.keys, shared, "left"), np.searchsorted(self.keys, shared, "right")
-        shared, lo, hi = shared[hi > lo], lo[hi > lo], hi[hi > lo]
-        if not len(shared):
+        lo, hi = lo[hi > lo], hi[hi > lo]
+        if not len(lo):
             return 0.0, None, 0
-        hits = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
+        items, hits = np.unique(self.item[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])], return_counts=True)
         best, n = (0.0, None), 0
-        items, places = self.item[hits], self.place[hits]
-        order = np.argsort(items, kind="stable")
-        items, places = items[order], places[order]
-        begins = np.concatenate(([True], items[1:] != items[:-1])).nonzero()[0]
-        for a, b in zip(begins, np.append(begins[1:], len(items))):
-            k = int(items[a])
-            under = np.zeros(len(self.words[k]) + 1, dtype=np.int64)
-            np.add.at(under, places[a:b], 1)
-            np.add.at(under, places[a:b] + self.tile, -1)
-            if (under.cumsum()[:-1] > 0).sum() < least * len(self.words[k]):
+        for k, hit in zip(items.tolist(), hits.tolist()):
+            if hit * self.tile < least * len(self.words[k]):
                 continue
-            where = at[np.isin(mine[at], self.seeds[k][places[a:b]])]
-            share = tiled(self.words[k], self.seeds[k], words, where, mine, self.tile) / len(self.words[k])
-            if share >= least:
+            share = coverage(self.words[k], self.seeds[k], words, mine, least, self.tile)
+            if share >= least and share > 0:
                 n += 1
-                best = max(best, (share, k), key=lambda x: (x[0], -1 if x[1] is None else -x[1]))
-        return best[0], None if best[1] is None else self.ids[best[1]], n
+                if share > best[0]:
+                    best = share, self.places[k]
+        return *best, n
+
+
+def _by_block(texts: DataFrame, items: list, least: float, tile: int) -> DataFrame:
+    """texts with `found`: coverage, at (the item's place in items), n."""
+    sent = texts.sparkSession.sparkContext.broadcast(Block([r.t for r in items], tile))
+
+    @F.pandas_udf("coverage double, at int, n long")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        rows = [sent.value.judge(t, least) for t in texts]
+        return pd.DataFrame({"coverage": [r[0] for r in rows], "at": pd.array([r[1] for r in rows], dtype="Int32"), "n": [r[2] for r in rows]})
+
+    return texts.withColumn("found", judged("text"))
+
+
+def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
+    """Which of the 2^bits values the first bits of a seed take, packed."""
+    slot = F.shiftrightunsigned("seed", 64 - bits) + 1
+    parts = seeds.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m"))
+    out = np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8)
+    for r in parts.toLocalIterator():  # 4 KB each
+        piece = np.frombuffer(r.m, dtype=np.uint8)[: len(out)]
+        out[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(piece)] = piece
+    return out
+
+
+def _by_tables(texts: DataFrame, items: DataFrame, least: float, tile: int) -> DataFrame:
+    """key, coverage, item, n of each distinct text that covers `least` of an item. texts: key, text; items: k, place, t."""
+
+    @F.pandas_udf("words int, seeds array<long>")
+    def seeds_of(texts: pd.Series) -> pd.DataFrame:
+        words = [word_hashes(t or "") for t in texts]
+        return pd.DataFrame({"words": [len(w) for w in words], "seeds": [running(w, tile).view(np.int64) for w in words]})
+
+    items = staged(items.withColumn("made", seeds_of("t")), "items")
+    seeds = staged(items.select("place", F.col("made.words").alias("words"), F.explode("made.seeds").alias("seed")).groupBy("place", "words", "seed").agg(F.count("*").alias("times")), "item-seeds")
+    bits = min(MOST_BITS, max(SEED_BITS, (16 * seeds.count()).bit_length()))
+    sent = texts.sparkSession.sparkContext.broadcast(_bitmap(seeds, bits))
+
+    @F.pandas_udf("array<long>")
+    def shared_seeds(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> np.ndarray:
+            mine = np.unique(running(word_hashes(text), tile))
+            slot = mine >> np.uint64(64 - bits)
+            return mine[(sent.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1].view(np.int64)
+
+        return texts.map(one)
+
+    mine = texts.select("key", shared_seeds("text").alias("seeds")).filter(F.size("seeds") > 0).groupBy("key").agg(F.first("seeds").alias("seeds"))
+    mine = staged(mine.select("key", F.explode("seeds").alias("mine")), "text-seeds")
+    hits = mine.join(seeds, F.col("mine") == F.col("seed")).groupBy("key", "place", "words").agg(F.sum("times").alias("hits")).filter(F.col("hits") * tile >= least * F.col("words"))
+    hits = staged(hits.select("key", "place"), "hits")
+    wanted = hits.select(F.col("key").alias("wanted")).distinct()
+    said = staged(texts.join(wanted, F.col("key") == F.col("wanted"), "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    pairs = hits.join(said, "key").join(items.select(F.col("place").alias("p"), "k", "t"), F.col("place") == F.col("p"))
+
+    @F.pandas_udf("double")
+    def covered(texts: pd.Series, passages: pd.Series) -> pd.Series:
+        def one(text: str, passage: str) -> float:
+            words, item = word_hashes(text), word_hashes(passage)
+            return coverage(item, running(item, tile), words, running(words, tile), least, tile)
+
+        return pd.Series([one(*x) for x in zip(texts, passages)], dtype="float64")
+
+    shares = pairs.select("key", "k", covered("text", "t").alias("share")).filter((F.col("share") >= least) & (F.col("share") > 0))
+    shares = staged(shares, "shares")
+    top = staged(shares.groupBy("key").agg(F.max("share").alias("coverage"), F.count("*").alias("n")), "best")
+    out = shares.join(top.select(F.col("key").alias("of"), "coverage", "n"), (F.col("key") == F.col("of")) & (F.col("share") == F.col("coverage")))
+    out = staged(out.groupBy("key", "coverage", "n").agg(F.min("k").alias("item")), "judged")
+    discard(mine, hits, said, seeds, items, shares, top)
+    return out
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", tile: int = TILE, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """df with contaminated, coverage, item_id, n_items: the number of items of which the text covers `least`, and the one covered most (the
     smallest id of equals) with its share of covered words; 0, null and 0 where there is none.
 
-    Items with fewer than `tile` words match nothing; null texts count as empty; items without an id are skipped, and of items that share one each counts by itself. An empty
+    The ids of items may be of any type that has an order. Items with fewer than `tile` words match nothing; null texts count as empty; items without an id are skipped, and of items that share one each counts by itself. An empty
     benchmark contaminates nothing; an empty table gives no rows. Columns of df with the names of the new ones make way.
     """
-    spark = df.sparkSession
-    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("k"), F.col(item_text).alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.char_length("t")), F.lit(0))).first()[0]
-    n_blocks = max(1, math.ceil(size / block))
-    found = []
-    for b in range(n_blocks):
-        mine = items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(n_blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast(Block([(r.k, r.t) for r in mine], tile))
-        found.append(_judged(sent, least)(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = put(df, _found=F.array(*found))
-    best = F.array_max(F.transform("_found", lambda x: F.struct(x["coverage"].alias("coverage"), (-x["item"]).alias("item"))))
-    made = put(rows, n_items=F.aggregate("_found", F.lit(0).cast("long"), lambda n, x: n + x["n"]), coverage=F.round(best["coverage"], 6), item_id=-best["item"])
-    return put(made, contaminated=F.col("n_items") > 0).drop("_found")
-
-
-def _judged(sent, least: float):
-    @F.pandas_udf("coverage double, item long, n long")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        rows = [sent.value.judge(t, least) for t in texts]
-        return pd.DataFrame({"coverage": [r[0] for r in rows], "item": pd.array([r[1] for r in rows], dtype="Int64"), "n": [r[2] for r in rows]})
-
-    return judged
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("k"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    size, n = items.agg(F.coalesce(F.sum(F.char_length("t")), F.lit(0)), F.count("*")).first()
+    if size + n <= block:
+        held = sorted(items.collect(), key=lambda r: (r.k, r.t))
+        rows = _by_block(packed(df, text=text), held, least, tile)
+        named = df.sparkSession.createDataFrame([(p, r.k) for p, r in enumerate(held)], f"place int, item {items.schema['k'].dataType.simpleString()}", verifySchema=False)
+        rows = rows.join(F.broadcast(named), F.col("found.at") == F.col("place"), "left")
+        n_items, best, item = F.col("found.n"), F.col("found.coverage"), F.col("item")
+    else:
+        key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+        judged = _by_tables(df.select(key.alias("key"), text.alias("text")), items.withColumn("place", F.monotonically_increasing_id()), least, tile)
+        rows = packed(df, own=key).join(judged, F.col("own") == F.col("key"), "left")
+        n_items, best, item = F.coalesce("n", F.lit(0).cast("long")), F.coalesce("coverage", F.lit(0.0)), F.col("item")
+    return unpacked(rows, n_items=n_items, coverage=F.round(best, 6), item_id=item, contaminated=n_items > 0)
