@@ -28,7 +28,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm_score.scored(docs, lm_score.fit(docs)).select("doc_id", "n_tokens", "log_probability", "mean_log_probability")
+    return lm_score.scored(docs, keep_text=False).select("doc_id", "n_tokens", "log_probability", "mean_log_probability")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
