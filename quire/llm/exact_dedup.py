@@ -1,9 +1,9 @@
 """Exact duplicates by two passes over a Bloom filter (operator 8).
 
-Pass 1 counts, for each of two hashes of the normalised text, the rows that fall on each slot of a bit field. The slots
-that two or more rows share, as a bitmap, are a Bloom filter of all hashes that may be repeated. Pass 2 tests each row
+Pass 1 counts the rows that fall on each slot of a bit field by a hash of the normalised text, and then, of the rows that share their slot, those on each slot
+of a second field by another hash. The slots that two or more rows share, as bitmaps, are a Bloom filter of all hashes that may be repeated. Pass 2 tests each row
 against it: a row with a slot of its own in either field has no copy and passes straight through; only the others shuffle, to be
-grouped by the SHA-256 of their text. The filter decides only who shuffles, so its size can't change the result.
+grouped by the SHA-256 of their text. So pass 1 moves one small record a row, and few more. The filter decides only who shuffles, so its size can't change the result.
 
 The field takes `bits_per_row` bits a row up to `max_bits`, so a broadcast bitmap is at most max_bits / 8 bytes (64 MB
 by default). Beyond that many rows its hit rate rises and more rows shuffle: digests, not texts.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import ascii_lower, put, staged
+from quire.llm.shared import ascii_lower, packed, staged, unpacked
 
 PER_BUCKET = 32768  # bits of a bitmap of bitmap_construct_agg
 
@@ -26,24 +26,17 @@ def _bit(bitmap, slot):
 
 
 def maybe_repeated(rows: DataFrame, hashes: list[str], bits_per_row: int = 16, max_bits: int = 1 << 29) -> DataFrame:
-    """rows with a column `_maybe`: false only where no other row has the same hashes."""
+    """rows with a column `maybe`: false only where no other row has the same hashes."""
     bits = min(max_bits, 1 << max(15, (bits_per_row * rows.count()).bit_length()))
-    slot = {k: F.pmod(F.col(h), F.lit(bits)) + 1 for k, h in enumerate(hashes)}
-    shared = (
-        rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("bank"), s.alias("slot")) for k, s in slot.items()))).alias("at"))
-        .groupBy("at.bank", "at.slot")
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .groupBy("bank", F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-    )
-    shared = staged(shared, "bloom")  # bits / 8 bytes for each hash at most
-    test = F.lit(True)
-    for k, s in slot.items():
-        bank = shared.filter(F.col("bank") == k).select(F.col("bucket").alias(f"_bucket{k}"), F.col("bitmap").alias(f"_bitmap{k}"))
-        rows = rows.join(F.broadcast(bank), F.bitmap_bucket_number(s) == F.col(f"_bucket{k}"), "left")
-        test = test & _bit(F.col(f"_bitmap{k}"), s)
-    return rows.withColumn("_maybe", test).drop(*(f"_bucket{k}" for k in slot), *(f"_bitmap{k}" for k in slot))
+    rows = rows.withColumn("maybe", F.lit(True))
+    for k, h in enumerate(hashes):
+        slot = (F.pmod(F.col(h), F.lit(bits)) + 1).cast("int")
+        shared = rows.filter("maybe").select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = shared.groupBy(F.bitmap_bucket_number("slot").alias(f"bucket{k}")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(f"bitmap{k}"))
+        shared = staged(shared, "bloom")  # bits / 8 bytes at most
+        rows = rows.join(F.broadcast(shared), F.bitmap_bucket_number(slot) == F.col(f"bucket{k}"), "left")
+        rows = rows.withColumn("maybe", F.col("maybe") & _bit(F.col(f"bitmap{k}"), slot)).drop(f"bucket{k}", f"bitmap{k}")
+    return rows
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, bits_per_row: int = 16, max_bits: int = 1 << 29) -> DataFrame:
@@ -54,14 +47,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     with the names of the new ones make way for them.
     """
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    drop = [] if keep_text else [text_col]
-    digests = put(df, text_sha256=F.sha2(text, 256), _h0=F.xxhash64(text), _h1=F.xxhash64(F.lit(1), text), _tag=F.monotonically_increasing_id()).drop(*drop)
+    drop = () if keep_text else (text_col,)
+    digests = packed(df, drop, id=F.col(id_col), sha=F.sha2(text, 256), h0=F.xxhash64(text), h1=F.xxhash64(F.lit(1), text), tag=F.monotonically_increasing_id())
     digests = staged(digests, "digests")
-    rows = maybe_repeated(digests, ["_h0", "_h1"], bits_per_row, max_bits)
-    alone = put(rows.filter(~F.col("_maybe")), keep_id=F.col(id_col), group_size=F.lit(1).cast("long"), kept=F.lit(True))
-    again = rows.filter("_maybe")
-    groups = again.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max(F.struct(F.col(id_col).alias("id"), "_tag")).alias("_top"), F.count("*").alias("_n"))
+    rows = maybe_repeated(digests, ["h0", "h1"], bits_per_row, max_bits)
+    alone = unpacked(rows.filter(~F.col("maybe")), keep_id=F.col("id"), group_size=F.lit(1).cast("long"), kept=F.lit(True), text_sha256=F.col("sha"))
+    again = rows.filter("maybe")
+    groups = again.groupBy(F.col("sha").alias("of")).agg(F.max(F.struct("id", "tag")).alias("top"), F.count("*").alias("n"))
     groups = staged(groups, "groups")  # read anew, so that the join has shuffles of its own, of which a hot group's can be split
-    again = again.join(groups, F.col("text_sha256") == F.col("_sha"))
-    again = put(again, keep_id=F.col("_top.id"), group_size=F.col("_n"), kept=F.col("_tag") == F.col("_top._tag"))
-    return alone.unionByName(again.drop("_sha", "_top", "_n")).drop("_h0", "_h1", "_tag", "_maybe")
+    again = again.join(groups, F.col("sha") == F.col("of"))
+    again = unpacked(again, keep_id=F.col("top.id"), group_size=F.col("n"), kept=F.col("tag") == F.col("top.tag"), text_sha256=F.col("sha"))
+    return alone.unionByName(again)

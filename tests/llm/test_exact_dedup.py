@@ -28,7 +28,7 @@ def test_full_filter_still_gives_all(spark):
 def test_filter_passes_all_that_repeats(spark):
     df = spark.createDataFrame([(h, h * 7) for h in [1, 2, 3, 3, 4, 5, 5, 5]], "a long, b long")
     out = maybe_repeated(df, ["a", "b"]).collect()
-    assert all(r._maybe for r in out if r.a in (3, 5)) and not all(r._maybe for r in out)
+    assert all(r.maybe for r in out if r.a in (3, 5)) and not all(r.maybe for r in out)
 
 
 def test_null_ids_and_repeated_rows_keep_one(spark):
@@ -40,3 +40,11 @@ def test_null_ids_and_repeated_rows_keep_one(spark):
 def test_empty_table(spark):
     out = exact_dedup(spark.createDataFrame([], "doc_id long, text string"))
     assert out.count() == 0 and set(out.columns) == {"doc_id", "keep_id", "group_size", "kept", "text_sha256"}
+
+
+def test_extra_columns_may_have_any_name(spark):
+    names = ["row", "id", "sha", "h0", "h1", "tag", "maybe", "of", "top", "n", "slot", "bucket0", "bitmap1", "_bucket0", "_sha", "_tag", "Kept"]
+    df = spark.createDataFrame([(i, f"t{i % 3}", *range(len(names))) for i in range(5)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = exact_dedup(df)
+    assert out.columns == ["doc_id", *names[:-1], "keep_id", "group_size", "kept", "text_sha256"]
+    assert all(r[n] == k for r in out.collect() for k, n in enumerate(names[:-1]))
