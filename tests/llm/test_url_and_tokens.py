@@ -50,9 +50,9 @@ def test_bad_hosts_are_blocked_and_others_stay(spark):
 
 
 def test_shrinkage_equals_hand_made(spark):
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.x.org/"] * 6 + ["http://b.x.org/"] * 4 + ["http://c.y.net/"] * 5)], "page_id long, url string")
-    outcomes = spark.createDataFrame([(i, int(i in (0, 6, 7, 8, 10, 11))) for i in range(15)], "page_id long, good int")
-    got = {r._host: r for r in url_reputation.host_reputation(pages, outcomes).collect()}
+    hosts = ["a.x.org"] * 6 + ["b.x.org"] * 4 + ["c.y.net"] * 5
+    seen = spark.createDataFrame([(h, h[2:], h[4:], int(i in (0, 6, 7, 8, 10, 11))) for i, h in enumerate(hosts)], "name string, domain string, suffix string, good int")
+    got = {r.name: r for r in url_reputation.host_reputation(seen).collect()}
 
     def kappa(groups):
         n, x, k = sum(a for a, _ in groups), sum(b for _, b in groups), len(groups)
@@ -78,6 +78,46 @@ def test_suffixes_and_addresses(spark):
     assert len(judged(spark, urls, [(0, 1), (0, 0)])) == 4
 
 
+def test_suffix_rules_with_wildcards_and_exceptions(spark):
+    rules = ("co.uk", "*.ck", "!www.ck", "github.io", "a.b.kobe.jp", "*.kobe.jp", "!city.kobe.jp")
+    cases = {"x.co.uk": ("x.co.uk", "co.uk"), "y.x.co.uk": ("x.co.uk", "co.uk"), "a.shop.ck": ("a.shop.ck", "shop.ck"), "www.ck": ("www.ck", "ck"), "z.www.ck": ("www.ck", "ck"), "me.github.io": ("me.github.io", "github.io"),
+             "q.w.city.kobe.jp": ("city.kobe.jp", "kobe.jp"), "q.w.e.kobe.jp": ("w.e.kobe.jp", "e.kobe.jp"), "x.a.b.kobe.jp": ("x.a.b.kobe.jp", "a.b.kobe.jp"), "x.com": ("x.com", "com"), "com": ("com", "com"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in cases], "h string")
+    levels = url_reputation._levels(df["h"], rules)
+    got = {r.h: (r.domain, r.suffix) for r in df.select("h", levels["domain"].alias("domain"), levels["suffix"].alias("suffix")).collect()}
+    assert got == cases
+    with pytest.raises(ValueError):
+        url_reputation.suffix_length(df["h"], ("a.b.c.d.e",))
+
+
+def test_outcomes_move_with_the_suffix_rules(spark):
+    urls = [f"http://{h}.github.io/{k}" for h in ("bad", "fine") for k in range(40)] + [f"http://h{k % 8}.net/" for k in range(80)]
+    outcomes = [(k, 0) for k in range(40)] + [(80 + k, 1) for k in range(80)]
+    apart = judged(spark, urls, outcomes, rules=[], suffix_rules=("github.io",))
+    one = judged(spark, urls, outcomes, rules=[], suffix_rules=())
+    assert one[0].verdict == apart[0].verdict == "block" and apart[79].posterior_bound > one[79].posterior_bound + 0.05
+
+
+def test_extra_columns_may_have_any_name(spark):
+    names = ["row", "name", "known", "n", "of", "good", "domain", "suffix", "_n", "_host", "posterior_mean", "Rule"]
+    pages = spark.createDataFrame([(1, "http://a.org/", *range(len(names)))], "page_id long, url string, " + ", ".join(f"{n} int" for n in names))
+    out = url_reputation.judge(pages, spark.createDataFrame([(1, 1)], "page_id long, good int"), RULES)
+    assert out.columns == ["page_id", "url", *names[:-1], "host", "path", "rule", "verdict", "host_outcomes", "posterior_bound"]
+    assert [out.first()[n] for n in names[:-1]] == list(range(len(names) - 1))
+
+
+def test_token_query_equals_the_library(spark):
+    from quire.llm import queries
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = queries.op9_tokens(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n = len(sp.encode(rows[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(rows[r.doc_id].encode()), n, n > 4096)
+
+
 def test_null_pages_repeats_and_empty_tables(spark):
     pages = spark.createDataFrame([(None, None), (1, "http://a.org/"), (1, "http://a.org/")], "page_id long, url string")
     good = spark.createDataFrame([(1, 1), (1, None), (None, 0)], "page_id long, good int")
