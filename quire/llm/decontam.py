@@ -192,7 +192,7 @@ def _by_block(texts: DataFrame, items: list, least: float, tile: int) -> DataFra
         rows = [sent.value.judge(t, least) for t in texts]
         return pd.DataFrame({"coverage": [r[0] for r in rows], "at": pd.array([r[1] for r in rows], dtype="Int32"), "n": [r[2] for r in rows]})
 
-    return texts.withColumn("found", judged("text"))
+    return texts.withColumn("found", judged.asNondeterministic()("text"))  # else a filter on the result runs it twice
 
 
 def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
