@@ -21,7 +21,8 @@ def job_latest_status(spark, sf_dir):
 
 def idle_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.session_window("ts", jobs.IDLE).alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"), "n")
+    kind = e.schema["ts"].dataType
+    return jobs.busy_sessions(e, "user_id").select("user_id", F.col("start").cast(kind).alias("starts"), F.col("end").cast(kind).alias("ends"), "n")
 
 
 def queue_depth(spark, sf_dir):
@@ -46,7 +47,7 @@ def runner_up_seconds(spark, sf_dir):
 
 def event_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("w.start").alias("starts"), "event_type", "n", "value")
+    return jobs.windowed_counts(e, size="1 hour").select(F.col("start").cast(e.schema["ts"].dataType).alias("starts"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 def limited_announcements(spark, sf_dir):

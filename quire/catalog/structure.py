@@ -66,7 +66,7 @@ def list_runs(spark, sf_dir):
 
 def heading_blocks(spark, sf_dir):
     size = F.when(F.col("n") % 11 == 0, 22.0).when(F.col("n") % 5 == 0, 18.0).when(F.col("n") % 4 == 0, 15.5).otherwise(12.0)
-    nodes = analyzers.headings(line_nodes(spark, sf_dir, F.concat(F.lit("Part "), F.left("line", F.lit(100))), font_size=size))
+    nodes = analyzers.headings(line_nodes(spark, sf_dir, F.concat(F.lit("Part "), "line"), font_size=size))
     return nodes.filter("kind = 'container' and size(path) > 1").select(_doc(), number().alias("n"), "level", number("parent_id").alias("parent"))
 
 
@@ -85,7 +85,7 @@ def caption_targets(spark, sf_dir):
 
 def toc_sections(spark, sf_dir):
     """Contents at both ends of a document of 100 pages; each line of a page of five, pages jump by 3 at every 20th line."""
-    text = F.when(F.col("n") % 10 < 6, F.concat(F.lit("Part of "), F.left("line", F.lit(30)), F.lit(" 12"))).otherwise(F.lit("Plain text without a page."))
+    text = F.when(F.col("n") % 10 < 6, F.concat(F.lit("Part of "), "line", F.lit(" 12"))).otherwise(F.lit("Plain text without a page."))
     page = (F.floor(F.col("n") / 5) + 3 * F.floor(F.col("n") / 20)).cast("int")
     nodes = analyzers.classify_blocks(line_nodes(spark, sf_dir, text, page=page))
     entries = nodes.filter("kind = 'toc_entry'").groupBy("doc_id", "parent_id").agg(F.min(F.element_at("path", -1)).alias("first"), F.count("*").alias("entries"), F.round(F.max("cls_conf"), 6).alias("confidence"))
@@ -93,7 +93,7 @@ def toc_sections(spark, sf_dir):
 
 
 def table_blocks(spark, sf_dir):
-    nodes = line_nodes(spark, sf_dir, F.left("line", F.lit(90)), page=F.floor(F.col("n") / 40).cast("int"), x0=F.lit(0.1), x1=F.lit(0.4), y0=(F.col("n") % 40) * 0.02 + F.when(F.col("n") % 13 == 0, 0.012).otherwise(0.0), y1=(F.col("n") % 40) * 0.02 + 0.015)
+    nodes = line_nodes(spark, sf_dir, page=F.floor(F.col("n") / 40).cast("int"), x0=F.lit(0.1), x1=F.lit(0.4), y0=(F.col("n") % 40) * 0.02 + F.when(F.col("n") % 13 == 0, 0.012).otherwise(0.0), y1=(F.col("n") % 40) * 0.02 + 0.015)
     return analyzers.table_runs(nodes).groupBy("doc_id", "page", "run").agg(F.count("*").alias("rows"), F.min(number()).alias("first")).select(_doc(), "page", "run", "rows", "first")
 
 
@@ -120,6 +120,20 @@ def table_like_pages(spark, sf_dir):
     return analyzers.table_pages(nodes).select(_doc(), "page")
 
 
+def rebuilt_pages(spark, sf_dir):
+    """Pages of six lines by turns as contents, title, diagram and table, and the contents asked for twice."""
+    text = F.concat(F.lit("Section "), F.col("n").cast("string"), F.lit(" A title .... "), (F.col("n") + 3).cast("string"), F.lit(" 2.1 More "), (F.col("n") + 4).cast("string"))
+    nodes = line_nodes(spark, sf_dir, text, page=F.floor(F.col("n") / 6).cast("int"))
+    role = F.element_at(F.array(*(F.lit(r) for r in ("toc", "title", "diagram", "table"))), F.col("page") % 4 + 1)
+    roles = nodes.filter("page is not null").select("doc_id", "page", role.alias("role")).distinct()
+    out = review.rebuild_pages(review.rebuild_pages(nodes, roles), roles.filter("role = 'toc'"))
+    kind = F.when(F.col("semantic_type") == "toc", "toc").otherwise(F.col("kind"))
+    return out.filter("page is not null").groupBy("doc_id", "page").agg(
+        F.count_if(kind == "toc").alias("contents"), F.count_if((F.col("kind") == "toc_entry") & (F.col("conf") == 0.95)).alias("entries"), F.sum(F.when(F.col("kind") == "toc_entry", F.col("attrs")["target_page"].cast("long"))).alias("targets"), F.sum(F.when(F.col("kind") == "toc_entry", F.col("attrs")["level"].cast("long"))).alias("levels"),
+        F.count_if(F.col("kind") == "title_page").alias("titles"), F.count_if(F.col("kind") == "diagram").alias("diagrams"), F.count_if("is_tombstoned").alias("tombstoned"), F.count_if(F.col("attrs")["table_cell"] == "true").alias("cells"),
+    ).select(_doc(), "page", "contents", "entries", "targets", "levels", "titles", "diagrams", "tombstoned", "cells")
+
+
 def page_groups(spark, sf_dir):
     nodes = line_nodes(spark, sf_dir, page=F.when(F.col("n") % 9 < 7, F.floor(F.col("n") / 3).cast("int"))).filter("kind = 'paragraph'")
     return analyzers.page_groups(nodes).select(_doc(), number().alias("n"), F.col("page_group").cast("long").alias("page_group"))
@@ -280,7 +294,7 @@ def translation_queue(spark, sf_dir):
     return review.to_translate(review.translatable(nodes), done, "ru").groupBy("doc_id").agg(F.count("*").alias("blocks")).select(_doc(), "blocks")
 
 
-_ALL = (main_flow_edges, page_fill, heading_tree, continuation_edges, heading_violations, html_heading_tree, list_runs, heading_blocks, footnote_blocks, caption_targets, toc_sections, table_blocks, diagram_regions, bibliography_blocks, title_page_scores, table_like_pages, page_groups, page_texts, live_counts, page_ranges, chunk_pack, chunk_links, semantic_chunks, instruction_dataset, qa_dataset, chunk_manifest, breadcrumb_header, kg_upsert, dangling_edges, named_edges, reading_sequence, refused_steps, first_steps, markdown_blocks, text_blocks, document_json, full_texts, latex_documents, detected_kinds, translation_queue)
+_ALL = (main_flow_edges, page_fill, heading_tree, continuation_edges, heading_violations, html_heading_tree, list_runs, heading_blocks, footnote_blocks, caption_targets, toc_sections, table_blocks, diagram_regions, bibliography_blocks, title_page_scores, table_like_pages, rebuilt_pages, page_groups, page_texts, live_counts, page_ranges, chunk_pack, chunk_links, semantic_chunks, instruction_dataset, qa_dataset, chunk_manifest, breadcrumb_header, kg_upsert, dangling_edges, named_edges, reading_sequence, refused_steps, first_steps, markdown_blocks, text_blocks, document_json, full_texts, latex_documents, detected_kinds, translation_queue)
 QUERIES = {f.__name__: f for f in _ALL}
 
 LEVELS = "levels AS (SELECT doc_id, n, CASE WHEN n % 3 = 0 THEN (n * 4 + doc_id) % 5 + 1 END AS level FROM lines)"
@@ -310,7 +324,7 @@ ORACLE_SQL = {
             g AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, style IS NULL ORDER BY n) AS run FROM k),
             c AS (SELECT doc_id, run, style, count(*) AS c, min(n) AS f FROM g WHERE style IS NOT NULL GROUP BY ALL), b AS (SELECT doc_id, run, sum(c) AS items, min(f) AS first, arg_min(style, -c * 1000000 + f) AS style FROM c GROUP BY ALL)
         SELECT doc_id, first::INT AS first, items::BIGINT AS items, style FROM b WHERE items >= 2""",
-    "heading_blocks": f"""WITH {LINES}, s AS (SELECT doc_id, n, CASE WHEN n % 11 = 0 THEN 22.0 WHEN n % 5 = 0 THEN 18.0 WHEN n % 4 = 0 THEN 15.5 ELSE 12.0 END::DOUBLE AS size, 'Part ' || left(line, 100) AS t FROM lines),
+    "heading_blocks": f"""WITH {LINES}, s AS (SELECT doc_id, n, CASE WHEN n % 11 = 0 THEN 22.0 WHEN n % 5 = 0 THEN 18.0 WHEN n % 4 = 0 THEN 15.5 ELSE 12.0 END::DOUBLE AS size, 'Part ' || line AS t FROM lines),
             b AS (SELECT doc_id, size, count(*) AS c, min(n) AS f FROM s GROUP BY ALL), body AS (SELECT doc_id, arg_min(size, -c * 1000000 + f) * 1.25 AS line FROM b GROUP BY doc_id),
             levels AS (SELECT doc_id, n, CASE WHEN size >= line AND length(trim(t)) BETWEEN 3 AND 199 THEN CASE WHEN size / line >= 1.4 THEN 1 WHEN size / line >= 1.15 THEN 2 ELSE 3 END END AS level FROM s JOIN body USING (doc_id)),
             h AS (SELECT doc_id, n, level, {NEST[:-1]} FROM levels WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), p AS (SELECT doc_id, n, level, {PARENT} FROM h WHERE level IS NOT NULL)
@@ -329,6 +343,9 @@ ORACLE_SQL = {
             u AS (SELECT *, length(regexp_replace(trim(l), '[^0-9]', '', 'g')) AS d, length(trim(l)) AS s FROM t),
             g AS (SELECT doc_id, page, count(*) AS c, count(*) FILTER (s BETWEEN 1 AND 40 AND d >= 1 AND d / s >= 0.3) AS num, count(*) FILTER (s <= 40) AS short, lower(string_agg(trim(l), ' ' ORDER BY n)) AS a FROM u GROUP BY ALL)
         SELECT doc_id, page::INT AS page FROM g WHERE c >= 5 AND (regexp_matches(a, 'table | analysis of| cost of |monthly use') OR num / c >= 0.35 OR short / c >= 0.7)""",
+    "rebuilt_pages": f"""WITH {LINES}, p AS (SELECT doc_id, (n // 6)::INT AS page, count(*) AS c, sum(n) AS s FROM lines GROUP BY ALL), r AS (SELECT *, page % 4 AS r FROM p)
+        SELECT doc_id, page, CASE WHEN r = 0 THEN 1 ELSE 0 END::BIGINT AS contents, CASE WHEN r = 0 THEN 2 * c ELSE 0 END AS entries, CASE WHEN r = 0 THEN 2 * s + 5 * c END::BIGINT AS targets, CASE WHEN r = 0 THEN 3 * c END::BIGINT AS levels,
+            CASE WHEN r = 1 THEN 1 ELSE 0 END::BIGINT AS titles, CASE WHEN r = 2 THEN 1 ELSE 0 END::BIGINT AS diagrams, CASE WHEN r < 3 THEN c ELSE 0 END AS tombstoned, CASE WHEN r = 3 THEN c ELSE 0 END AS cells FROM r""",
     "page_groups": f"""WITH {LINES}, p AS (SELECT doc_id, n, CASE WHEN n % 9 < 7 THEN n // 3 END AS page FROM lines), c AS (SELECT *, CASE WHEN n = 0 OR page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc_id ORDER BY n) THEN 1 ELSE 0 END AS new FROM p)
         SELECT doc_id, n::INT AS n, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS page_group FROM c""",
     "page_texts": f"WITH {LINES} SELECT doc_id, (n // 6 + 1)::INT AS page, sha256(string_agg(line, chr(10) ORDER BY n)) AS text_hash FROM lines WHERE n % 5 <> 0 GROUP BY doc_id, n // 6",
@@ -343,6 +360,9 @@ ORACLE_SQL = {
     "named_edges": "SELECT left('order:' || l_orderkey, 8) AS source_name, CASE WHEN p_size <= 25 THEN p_name ELSE left('part:' || l_partkey, 8) END AS target_name, count(*) AS edges FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "reading_sequence": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step, turn FROM conversations",
     "refused_steps": "SELECT conv_id, count(*) - 1 AS accepted, count(*) - 1 AS refused FROM conversations GROUP BY conv_id HAVING count(*) > 1",
+    "first_steps": """WITH s AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
+            e AS (SELECT conv_id, turn AS a, next AS b, turn AS seq FROM s WHERE next IS NOT NULL UNION ALL SELECT conv_id, next, turn, turn + 1000 FROM s WHERE next IS NOT NULL)
+        SELECT conv_id, a::VARCHAR AS source_id, b::VARCHAR AS target_id FROM e ORDER BY conv_id * 10000 + seq LIMIT 100""",
     "markdown_blocks": f"""WITH {LINES}, m AS (SELECT doc_id, n, n % 5 <> 4 AND n % 6 = 0 AND trim(line) <> '' AS h, n % 5 <> 4 AND n % 6 <> 0 AND trim(line) <> '' AS p FROM lines),
             s AS (SELECT *, p AND NOT coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY n), false) AS starts FROM m), f AS (SELECT doc_id, min(n) FILTER (h) AS fh, min(n) FILTER (p) AS fp, count(*) FILTER (h) AS hs, count(*) FILTER (starts) AS ps FROM s GROUP BY doc_id)
         SELECT doc_id, hs + CASE WHEN fp < coalesce(fh, 1000000000) OR (fp IS NULL AND fh IS NULL) THEN 1 ELSE 0 END AS containers, ps AS paragraphs FROM f""",

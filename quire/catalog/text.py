@@ -77,6 +77,14 @@ def entity_mentions(spark, sf_dir):
     return named.groupBy("entity_type", "name").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("docs"))
 
 
+def mention_offsets(spark, sf_dir):
+    """Mentions that repeat, and that begin like others, after the text of each line."""
+    nodes = line_nodes(spark, sf_dir, F.concat("line", F.lit(" R10 then R1 and R1: MOV R1 0xFF MOV"))).filter("kind = 'paragraph'")
+    once, found = analyzers.entities(nodes)
+    named = found.join(once.select("doc_id", "entity_id", F.col("entity_type")), ["doc_id", "entity_id"])
+    return named.select(F.col("doc_id").cast("long").alias("doc_id"), number().alias("n"), "entity_type", "start")
+
+
 def script_share_report(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", t.script_share(F.col("text"), "Cyrillic").alias("cyrillic"), t.script_share(F.col("text"), "Latin").alias("latin"))
@@ -130,13 +138,13 @@ def bib_entries(spark, sf_dir):
 
 
 def toc_entries(spark, sf_dir):
-    line = F.concat(F.when(F.col("n") % 2 == 0, F.concat((F.col("n") + 1).cast("string"), F.lit(". "))).otherwise(""), F.left("line", F.lit(40)), F.lit(" ..... "), (F.col("n") + 3).cast("string"))
+    line = F.concat(F.when(F.col("n") % 2 == 0, F.concat((F.col("n") + 1).cast("string"), F.lit(". "))).otherwise(""), "line", F.lit(" ..... "), (F.col("n") + 3).cast("string"))
     rows = lines(spark, sf_dir).withColumn("line", line).withColumn("e", markers.toc_entry(F.col("line")))
     return rows.select("doc_id", "n", markers.looks_like_toc(F.col("line")).alias("is_toc"), F.sha2("e.text", 256).alias("text_hash"), "e.number", "e.page")
 
 
 def glued_toc_lines(spark, sf_dir):
-    line = F.concat(F.lit("Section 2 "), F.left("line", F.lit(12)), F.lit(" .... 12 2."), (F.col("n") + 1).cast("string"), F.lit(" Second 15 Appendix A Tables xii"))
+    line = F.concat(F.lit("Section 2 "), "line", F.lit(" .... 12 2."), (F.col("n") + 1).cast("string"), F.lit(" Second 15 Appendix A Tables xii"))
     rows = lines(spark, sf_dir).select("doc_id", "n", F.posexplode(markers.toc_lines(line)).alias("k", "part")).withColumn("e", markers.toc_line(F.col("part")))
     return rows.select("doc_id", "n", "k", "e.level", "e.number", "e.page", F.sha2("e.display", 256).alias("display_hash"))
 
@@ -165,7 +173,7 @@ def cache_key(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", t.classification_confidence(F.left("text", F.lit(200))).alias("p"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", t.classification_confidence(F.col("text")).alias("p"))
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
@@ -233,7 +241,7 @@ def taxonomy_report(spark, sf_dir):
     return evaluation.taxonomy_report(errors, ["lang"]).select("lang", "total", "blocking", F.to_json("counts").alias("counts"))
 
 
-QUERIES = {f.__name__: f for f in (block_review_load, normalize_blocks, token_estimate, extraction_confidence, classification_confidence, ocr_garbage_rate, entity_registry, entity_mentions, script_share_report, latex_escaped, list_markers, callout_labels, footnote_markers, caption_labels, bib_entries, toc_entries, glued_toc_lines, formula_lines, artifact_dedup, gc_candidates, cache_key, calibration_bins, calibration_ece, cer_of_passages, wer_of_passages, teds_of_grids, skill_matches, profile_recipes, page_issues, page_report, taxonomy_report)}
+QUERIES = {f.__name__: f for f in (block_review_load, normalize_blocks, token_estimate, extraction_confidence, classification_confidence, ocr_garbage_rate, entity_registry, entity_mentions, mention_offsets, script_share_report, latex_escaped, list_markers, callout_labels, footnote_markers, caption_labels, bib_entries, toc_entries, glued_toc_lines, formula_lines, artifact_dedup, gc_candidates, cache_key, calibration_bins, calibration_ece, cer_of_passages, wer_of_passages, teds_of_grids, skill_matches, profile_recipes, page_issues, page_report, taxonomy_report)}
 
 WORD = "MOV|ADD|SUB|MUL|DIV|LDR|STR|CMP|BNE|BEQ|BGT|BLT|BGE|BLE|AND|ORR|EOR|LSL|LSR|ASR|NOP|SWI|SVC|BL|BX|PUSH|POP|LDM|STM"
 # RE2 has ASCII word ends; text is padded so that letters like É count as letters of a word.
@@ -241,7 +249,7 @@ MENTIONS = f"""found AS (
         SELECT doc_id, unnest(list_transform(list_filter(regexp_extract_all(regexp_replace(line, '([^\\p{{L}}\\p{{N}}_]+)', ' ', 'g') || ' ', '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, 'R1[0-5]|R[0-9]|{WORD}|0x[0-9A-Fa-f]{{2,}}')),
             lambda w: CASE WHEN regexp_full_match(w, 'R1[0-5]|R[0-9]') THEN 'register' WHEN regexp_full_match(w, '{WORD}') THEN 'instruction' ELSE 'concept_term' END || ':' || upper(w))) AS e FROM lines
     ), named AS (SELECT doc_id, split_part(e, ':', 1) AS entity_type, split_part(e, ':', 2) AS name FROM found)"""
-LABELLED = f"""lines AS (SELECT doc_id, left(text, 200) AS line FROM documents), {MEASURES}, p AS (SELECT cls AS p, quality FROM confident JOIN labels USING (doc_id)),
+LABELLED = f"""lines AS (SELECT doc_id, text AS line FROM documents), {MEASURES}, p AS (SELECT cls AS p, quality FROM confident JOIN labels USING (doc_id)),
     binned AS (SELECT least(floor(p * 10), 9)::INT AS bin, count(*) AS n, avg(p) AS c, avg(quality) AS a FROM p GROUP BY 1)"""
 PAGES = """pages2 AS (SELECT CAST(floor(doc_id / 20) AS BIGINT) AS chapter, doc_id % 20 AS page, doc_id % 13 = 0 AS has_debug,
         CASE WHEN doc_id % 11 <> 3 THEN CASE WHEN doc_id % 5 = 0 THEN 'EXAMPLE 2.1 Solution: ' ELSE '' END || text || CASE WHEN doc_id % 7 = 0 THEN chr(10) || '1. A MOV AX, 1' ELSE '' END ELSE '' END AS t FROM documents),
@@ -268,6 +276,11 @@ ORACLE_SQL = {
         SELECT lang, count(*) AS blocks, count(*) FILTER (size >= 4 AND (share < 0.5::DOUBLE OR strict_words = 0)) AS strict, count(*) FILTER (size >= 4 AND (share < 0.5::DOUBLE OR sane_words = 0)) AS sane FROM w GROUP BY lang""",
     "entity_registry": f"WITH {LINES}, {MENTIONS} SELECT DISTINCT doc_id, name, entity_type FROM named",
     "entity_mentions": f"WITH {LINES}, {MENTIONS} SELECT entity_type, name, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM named GROUP BY ALL",
+    "mention_offsets": f"""WITH {LINES}, said AS (SELECT doc_id, n, line || ' R10 then R1 and R1: MOV R1 0xFF MOV' AS t FROM lines), marked AS (SELECT *, regexp_replace(t, '[^\\p{{L}}\\p{{N}}_]', ' ', 'g') AS s FROM said),
+            parts AS (SELECT doc_id, n, unnest(string_split(s, ' ')) AS w, generate_subscripts(string_split(s, ' '), 1) AS k FROM marked),
+            placed AS (SELECT *, sum(length(w) + 1) OVER (PARTITION BY doc_id, n ORDER BY k) - length(w) - 1 AS start FROM parts)
+        SELECT doc_id, n::INT AS n, CASE WHEN regexp_full_match(w, 'R1[0-5]|R[0-9]') THEN 'register' WHEN regexp_full_match(w, '{WORD}') THEN 'instruction' ELSE 'concept_term' END AS entity_type, start::INT AS start
+        FROM placed WHERE regexp_full_match(w, 'R1[0-5]|R[0-9]|{WORD}|0x[0-9A-Fa-f]{{2,}}')""",
     "script_share_report": "SELECT doc_id, floor(100 * length(regexp_replace(text, '[^\\x{0400}-\\x{04FF}]', '', 'g')) / nullif(length(text), 0) + 0.5)::INT AS cyrillic, floor(100 * length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / nullif(length(text), 0) + 0.5)::INT AS latin FROM documents",
     "latex_escaped": r"""WITH m AS (SELECT doc_id, replace(text, ',', '_') || ' 50% #1 {a} ~x^2 \ &' AS t FROM documents)
         SELECT doc_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '\', chr(1)), '&', '\&'), '%', '\%'), '$', '\$'), '#', '\#'), '_', '\_'), '{', '\{'), '}', '\}'), '~', '\textasciitilde{}'), '^', '\textasciicircum{}'), chr(1), '\textbackslash{}')) AS tex_hash FROM m""",
@@ -284,7 +297,7 @@ ORACLE_SQL = {
             y AS (SELECT *, regexp_extract(regexp_replace(body, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), '(?:^| )(1[89]\\d{{2}}|20\\d{{2}}|21\\d{{2}})(?: |$)', 1)::INT AS year, regexp_extract(body, '^Knuth, D\\.\\s+(.*)$', 1) AS rest FROM r)
         SELECT doc_id, n::INT AS n, CASE WHEN n % 2 = 0 THEN '7' ELSE 'knuth' || year END AS key, 'Knuth' AS first_author, 2 AS n_authors, year,
             length(trim(CASE WHEN regexp_matches(rest, '^[^.]{{2,300}}\\.') THEN regexp_extract(rest, '^([^.]{{2,300}})\\.', 1) ELSE rest END))::INT AS title_chars FROM y""",
-    "toc_entries": f"""WITH {LINES}, l AS (SELECT doc_id, n, CASE WHEN n % 2 = 0 THEN (n + 1) || '. ' ELSE '' END || left(line, 40) || ' ..... ' || (n + 3) AS line FROM lines),
+    "toc_entries": f"""WITH {LINES}, l AS (SELECT doc_id, n, CASE WHEN n % 2 = 0 THEN (n + 1) || '. ' ELSE '' END || line || ' ..... ' || (n + 3) AS line FROM lines),
             c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '\\.{{2,}}', ' ', 'g'), '\\s+', ' ', 'g') AS t FROM l),
             e AS (SELECT *, trim(regexp_replace(t, '\\s(\\d{{1,4}})\\s*$', '')) AS x, trim(regexp_replace(trim(line), '\\s(\\d{{1,4}})\\s*$', '')) AS y FROM c)
         SELECT doc_id, n::INT AS n, length(trim(line)) BETWEEN 5 AND 120 AND len(list_filter(regexp_split_to_array(y, '\\s+'), lambda w: length(w) >= 3 AND regexp_matches(w, '\\p{{L}}'))) > 0 AS is_toc, sha256(x) AS text_hash,

@@ -191,10 +191,11 @@ REGISTER, INSTRUCTION, HEX = (
 
 
 def mentions(c: Column) -> Column:
-    """Array of (type, name): registers, instructions and hexadecimal numbers, in the order of each."""
+    """Array of (type, name, gap): registers, instructions and hexadecimal numbers, in the order of each; gap: the characters between a mention and the one of its kind before."""
     kinds = ((REGISTER, "register"), (INSTRUCTION, "instruction"), (HEX, "concept_term"))
 
-    def named(kind: str):
-        return lambda word: F.struct(F.lit(kind).alias("type"), word.alias("name"))
+    def found(pattern: str, kind: str) -> Column:
+        words, between = F.regexp_extract_all(c, F.lit("(?U)" + pattern), F.lit(1)), F.split(c, "(?U)" + pattern)
+        return F.zip_with(words, F.slice(between, F.lit(1), F.size(words)), lambda w, b: F.struct(F.lit(kind).alias("type"), w.alias("name"), F.char_length(b).alias("gap")))
 
-    return F.concat(*(F.transform(F.regexp_extract_all(c, F.lit("(?U)" + p), F.lit(1)), named(k)) for p, k in kinds))
+    return F.concat(*(found(*k) for k in kinds))

@@ -105,3 +105,10 @@ def live(table: DataFrame) -> DataFrame:
     dead = table.filter((F.col("kind") == CONTAINER) & F.col("is_tombstoned")).select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"))
     under = table.alias("n").join(dead, (F.col("doc_id") == F.col("_d")) & (F.slice("path", F.lit(1), F.size("_p")) == F.col("_p")), "left_anti")
     return under.filter(~F.col("is_tombstoned"))
+
+
+def with_new(nodes: DataFrame, made: DataFrame) -> DataFrame:
+    """nodes and the new ones; what these lack is null, or as a fresh node has it."""
+    fresh = {"is_tombstoned": F.lit(False), "applied": F.array().cast("array<string>"), "is_mono": F.lit(False)}
+    full = made.select(*((F.col(f.name) if f.name in made.columns else fresh.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in NODE))
+    return nodes.unionByName(full)

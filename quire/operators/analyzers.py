@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markers
 from quire.functions.text import classification_confidence, collapse, n_words, normalized, strip
-from quire.model import CONTAINER, NODE, PARAGRAPH, PARAGRAPH_LIKE, READING_LEAVES, after, attrs_with, before, is_kind, made_id, text_first, text_joined, text_spaced
+from quire.model import CONTAINER, NODE, PARAGRAPH, PARAGRAPH_LIKE, READING_LEAVES, after, attrs_with, before, is_kind, made_id, text_first, text_joined, text_spaced, with_new
 
 UNTIL = (Window.unboundedPreceding, 0)
 
@@ -157,14 +157,7 @@ def lists(nodes: DataFrame) -> DataFrame:
         .withColumn("parent_id", F.coalesce("_list_id", "parent_id"))
         .withColumn("path", F.when(item, F.concat(before(F.col("_lp")), F.slice("path", F.size("path"), F.lit(1)))).otherwise(F.col("path")))
     )
-    return _with_new(_like_input(rows), made)
-
-
-def _with_new(nodes: DataFrame, made: DataFrame) -> DataFrame:
-    """nodes and the new ones; what these lack is null, or as a fresh node has it."""
-    fresh = {"is_tombstoned": F.lit(False), "applied": F.array().cast("array<string>"), "is_mono": F.lit(False)}
-    full = made.select(*((F.col(f.name) if f.name in made.columns else fresh.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in NODE))
-    return nodes.unionByName(full)
+    return with_new(_like_input(rows), made)
 
 
 def _changed(nodes: DataFrame, found: Column, kind: str, conf: float, **attrs: str) -> DataFrame:
@@ -281,7 +274,7 @@ def title_pages(nodes: DataFrame) -> DataFrame:
     marked = marked.join(heads, (F.col("doc_id") == F.col("_hd")) & (F.col("page") == F.col("_hp")), "left")
     gone = F.col("_tp").isNotNull() & is_kind(*PARAGRAPH_LIKE)
     marked = marked.withColumn("tombstone_reason", F.when(gone, F.concat(F.lit("merged_into_title_page:"), F.col("_tp"))).otherwise(F.col("tombstone_reason"))).withColumn("is_tombstoned", gone | F.col("is_tombstoned")).withColumn("path", F.when(gone & (before(F.col("path")) == F.col("_hpath")), after(F.col("path"))).otherwise(F.col("path")))
-    return _with_new(_like_input(marked), made)
+    return with_new(_like_input(marked), made)
 
 
 def table_runs(nodes: DataFrame) -> DataFrame:
@@ -341,7 +334,7 @@ def tables(nodes: DataFrame) -> DataFrame:
         F.col("ext").alias("ext_conf"), cls.alias("cls_conf"), F.least("ext", cls).alias("conf"), F.create_map(F.lit("grid"), F.to_json(F.transform("cells", lambda c: F.array(c["t"])))).alias("attrs"),
     )
     rows = rows.withColumn("path", F.when(gone & (F.col("place") == 0), after(F.col("path"))).otherwise(F.col("path"))).withColumn("is_tombstoned", gone | F.col("is_tombstoned")).withColumn("tombstone_reason", F.when(gone, "merged_into_table").otherwise(F.col("tombstone_reason")))
-    return _with_new(_like_input(rows), made)
+    return with_new(_like_input(rows), made)
 
 
 FIGURE_CAPTION, SUB_LABEL = r"(?i)^fig(?:ure|\.)?\s*\d+[-.–]\d+", r"(?iU)^\(?[a-g]\)?\s+\w"
@@ -372,7 +365,7 @@ def diagrams(nodes: DataFrame) -> DataFrame:
     rows = rows.join(heads, (F.col("doc_id") == F.col("_hd")) & (F.col("page") == F.col("_hp")), "left").join(labels, (F.col("doc_id") == F.col("_ld")) & (F.col("node_id") == F.col("_ln")), "left")
     gone = F.col("_dg").isNotNull() & F.col("_ln").isNotNull()
     rows = rows.withColumn("tombstone_reason", F.when(gone, F.concat(F.lit("absorbed_into_diagram:"), F.col("_dg"))).otherwise(F.col("tombstone_reason"))).withColumn("is_tombstoned", gone | F.col("is_tombstoned")).withColumn("path", F.when(gone & (before(F.col("path")) == F.col("_hpath")), after(F.col("path"))).otherwise(F.col("path")))
-    return _with_new(_like_input(rows), made)
+    return with_new(_like_input(rows), made)
 
 
 def link_captions(nodes: DataFrame) -> DataFrame:
@@ -454,7 +447,7 @@ def classify_blocks(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
         F.lit(0.85).alias("ext_conf"), F.col("_conf").alias("cls_conf"), F.least(F.lit(0.85), F.col("_conf")).alias("conf"),
         F.map_filter(F.create_map(F.lit("entry_text"), F.col("_e.text"), F.lit("chapter_number"), F.col("_e.number"), F.lit("target_page"), F.col("_e.page").cast("string")), lambda k, v: v.isNotNull()).alias("attrs"),
     )
-    anchored = _with_new(_with_new(nodes.limit(0), entries), made)
+    anchored = with_new(with_new(nodes.limit(0), entries), made)
     cls = classification_confidence(text_spaced())
     plain = is_kind(*PARAGRAPH_LIKE) & ~(F.col("_in") & (F.col("_size") >= TOC_RUN))
     old = rows.withColumn("cls_conf", F.when(plain, cls).otherwise(F.col("cls_conf"))).withColumn("conf", F.when(plain, F.least("ext_conf", cls)).otherwise(F.col("conf")))
@@ -486,10 +479,12 @@ def link_toc(nodes: DataFrame) -> DataFrame:
 def entities(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, mentions): doc_id, entity_id, name, entity_type, one a type and name in upper case; and doc_id, source_id, entity_id, confidence, start of each mention in the span."""
     spans = nodes.select("doc_id", "node_id", F.posexplode_outer("spans").alias("span", "text")).filter("text <> ''")
-    found = spans.select("doc_id", "node_id", "span", F.posexplode(markers.mentions(F.col("text"))).alias("nth", "m"), "text").select("doc_id", "node_id", "span", "nth", "m.type", "m.name", "text")
+    found = spans.select("doc_id", "node_id", "span", F.posexplode(markers.mentions(F.col("text"))).alias("nth", "m")).select("doc_id", "node_id", "span", "nth", "m.*")
+    upto = Window.partitionBy("doc_id", "node_id", "span", "type").orderBy("nth")
+    found = found.withColumn("start", F.sum(F.col("gap") + F.char_length("name")).over(upto) - F.char_length("name"))
     found = found.withColumn("entity_id", F.sha2(F.concat_ws(":", "doc_id", "type", F.upper("name")), 256))
     once = found.groupBy("doc_id", "entity_id").agg(F.min_by("name", F.struct("node_id", "span", "nth")).alias("name"), F.first("type").alias("entity_type"))
-    return once, found.select("doc_id", F.concat_ws(":", "node_id", "span").alias("source_id"), "node_id", "entity_id", F.lit(0.95).alias("confidence"), (F.locate("", "text") * 0 + F.position("name", "text") - 1).alias("start"))
+    return once, found.select("doc_id", F.concat_ws(":", "node_id", "span").alias("source_id"), "node_id", "entity_id", F.lit(0.95).alias("confidence"), F.col("start").cast("int").alias("start"))
 
 
 def table_pages(nodes: DataFrame) -> DataFrame:
