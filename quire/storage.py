@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +47,14 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def text_folder(spark: SparkSession, pieces: Iterable[str], label: str) -> str:
+    """A folder in the shared one with a file for each text, written by the driver. The texts are lines that Spark's readers take."""
+    folder = new_path(spark, label)
+    for k, text in enumerate(pieces):
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-{k:05d}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return folder
