@@ -13,6 +13,7 @@ number of blocks, about 5 seconds a million, so a table of more than MOST blocks
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -22,7 +23,7 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import HOT, apart, packed, staged, unpacked
+from quire.llm.shared import HOT, apart, packed, text_folder, unpacked
 
 SEED = 42
 PIECE, BROADCAST = 200_000, 2_000_000  # blocks of a piece of the plan; blocks of a plan that is broadcast, at most
@@ -87,14 +88,14 @@ def schedule(units: dict[str, int], blocks: dict[str, int] | None = None) -> Ite
 
 def _plan(spark: SparkSession, number: dict[str, int], slots: Iterator[tuple[str, int, int, int, int]]) -> DataFrame:
     """k (the source's number), i, s, r, d of the schedule."""
-    pieces = []
-    while (piece := list(islice(slots, PIECE))) or not pieces:
-        made = spark.createDataFrame([(number[k], *x) for k, *x in piece], "k int, i int, s long, r long, d long", verifySchema=False)
-        pieces.append(staged(made, "slots"))
-    out = pieces[0]
-    for made in pieces[1:]:
-        out = out.unionByName(made)
-    return out
+
+    def pieces() -> Iterator[str]:
+        while (piece := list(islice(slots, PIECE))) or first:
+            yield "".join(f"{number[k]},{i},{s},{r},{d}\n" for k, i, s, r, d in piece)
+            first.clear()
+
+    first = [True]  # a folder without a file can't be read
+    return spark.read.schema("k int, i int, s long, r long, d long").csv(text_folder(spark, pieces(), "slots"))
 
 
 def pfair_mix(
@@ -133,7 +134,7 @@ def pfair_mix(
     plan = _plan(spark, number, schedule(units, blocks))
     plan = F.broadcast(plan) if sum(blocks.values()) <= BROADCAST else plan
     horizon = min((count[k] // block_rows * sum(units.values()) // u for k, u in units.items()), default=0) if period else sum(blocks.values())
-    each = spark.createDataFrame(list(number.items()), "named string, no int", verifySchema=False)
+    each = spark.read.schema("named string, no int").json(text_folder(spark, ["".join(json.dumps({"named": k, "no": n}) + "\n" for k, n in number.items())], "sources"))
 
     n_sub = max(256, math.ceil(sum(count.values()) / 500_000))  # a large source is numbered in so many parts
     rows = apart(rows, SEED, hot).withColumn("sub", F.pmod("key", F.lit(n_sub)))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.storage import discard, staged
+from quire.storage import discard, staged, text_folder
 
-__all__ = ["UPPER", "apart", "ascii_lower", "discard", "field", "packed", "put", "staged", "table", "unpacked"]
+__all__ = ["UPPER", "apart", "ascii_lower", "discard", "field", "packed", "put", "staged", "table", "text_folder", "unpacked"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HOT = 10_000  # rows alike, beyond which a group is dealt out by number
