@@ -45,6 +45,23 @@ def runner_up_seconds(spark, sf_dir):
     return evaluation.up_seconds(e.groupBy("runner_id", "ts").agg(F.max("state").alias("state")))
 
 
+LIFE = ("start", "alive", "ready", "infer_ok", "error", "error", "error", "shutdown", "down")
+
+
+def runner_life(spark, sf_dir):
+    """A user's events as those of a runner's life, by their numbers; a cool-down of six hours."""
+    event = F.element_at(F.array(*(F.lit(e) for e in LIFE)), (F.col("event_id") % 9 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("runner_id"), "ts", F.col("event_id").alias("seq"), event.alias("event"))
+    return jobs.runner_life(e, 21_600).groupBy("runner_id", "state").agg(F.count("*").alias("n"), F.max("errors").alias("most"), F.count_if("refused").alias("refused"))
+
+
+def manager_telemetry(spark, sf_dir):
+    change = F.when(F.col("event_type").isin("view", "click"), 1).otherwise(-1)
+    e = jobs.queue_depth(table(spark, sf_dir, "events"), "user_id", change)
+    requests = e.select("user_id", F.col("event_type").alias("task"), F.col("value").alias("seconds"), (F.col("event_id") % 5 != 0).alias("ok"), F.col("in_flight").alias("depth"))
+    return evaluation.telemetry(requests, "user_id").select("user_id", "total", "errors", F.round("mean_seconds", 9).alias("mean_seconds"), "tasks", F.col("high_water").cast("long").alias("high_water"))
+
+
 def event_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return jobs.windowed_counts(e, size="1 hour").select(F.col("start").cast(e.schema["ts"].dataType).alias("starts"), "event_type", "n", F.round("value", 4).alias("value"))
@@ -171,7 +188,7 @@ def page_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", rules.runner_origin(url).alias("origin"))
 
 
-_ALL = (job_latest_status, idle_sessions, queue_depth, job_counts, runner_states, runner_up_seconds, event_windows, limited_announcements, audit_chain_check, audit_log_built, retrieval_quality, nearest_vectors, link_quality, sample_verdicts, hitl_queue, corrected_blocks, glossary, glossary_search, glossary_on_pages, document_search, stage_board, figures_upserted, first_agents, page_hosts)
+_ALL = (job_latest_status, idle_sessions, queue_depth, job_counts, runner_states, runner_up_seconds, runner_life, manager_telemetry, event_windows, limited_announcements, audit_chain_check, audit_log_built, retrieval_quality, nearest_vectors, link_quality, sample_verdicts, hitl_queue, corrected_blocks, glossary, glossary_search, glossary_on_pages, document_search, stage_board, figures_upserted, first_agents, page_hosts)
 QUERIES = {f.__name__: f for f in _ALL}
 
 RANKED = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -190,6 +207,17 @@ ORACLE_SQL = {
         SELECT user_id AS runner_id, CASE WHEN errors >= 3 THEN 'stopping' WHEN errors > 0 THEN 'error' ELSE 'up' END AS state, count(*) AS n, CAST(max(errors) AS BIGINT) AS most FROM e GROUP BY ALL""",
     "runner_up_seconds": """WITH s AS (SELECT user_id, date_trunc('second', ts) AS ts, max(CASE WHEN event_type = 'view' THEN 'up' ELSE 'cold' END) AS state FROM events GROUP BY ALL), l AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM s)
         SELECT user_id AS runner_id, CAST(sum(epoch(nx)::BIGINT - epoch(ts)::BIGINT) AS BIGINT) AS seconds FROM l WHERE state = 'up' AND nx IS NOT NULL GROUP BY 1""",
+    "runner_life": f"""WITH e AS (SELECT user_id AS runner_id, ts, event_id AS seq, {list(LIFE)}[event_id % 9 + 1] AS event FROM events),
+            r AS (SELECT *, count(*) FILTER (event NOT IN ('error', 'start')) OVER (PARTITION BY runner_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM e),
+            c AS (SELECT *, count(*) FILTER (event = 'error') OVER (PARTITION BY runner_id, run ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS errors FROM r),
+            t AS (SELECT *, max(CASE WHEN event = 'error' AND errors = 3 THEN floor(epoch(ts)) END) OVER (PARTITION BY runner_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS third FROM c),
+            f AS (SELECT *, event = 'start' AND coalesce(floor(epoch(ts)) - third < 21600, false) AS refused FROM t),
+            b AS (SELECT *, CASE WHEN event = 'error' THEN CASE WHEN errors >= 3 THEN 'stopping' ELSE 'error' END WHEN NOT refused THEN CASE event WHEN 'start' THEN 'starting' WHEN 'alive' THEN 'warming' WHEN 'ready' THEN 'up' WHEN 'infer_ok' THEN 'up' WHEN 'shutdown' THEN 'stopping' ELSE 'cold' END END AS brings FROM f),
+            s AS (SELECT *, coalesce(last_value(brings IGNORE NULLS) OVER (PARTITION BY runner_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 'cold') AS state FROM b)
+        SELECT runner_id, state, count(*) AS n, max(errors) AS most, count(*) FILTER (refused) AS refused FROM s GROUP BY ALL""",
+    "manager_telemetry": """WITH q AS (SELECT *, sum(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS depth FROM events),
+            t AS (SELECT user_id, event_type, count(*) AS n FROM q GROUP BY ALL), j AS (SELECT user_id, '{' || string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) || '}' AS tasks FROM t GROUP BY user_id)
+        SELECT user_id, count(*) AS total, count(*) FILTER (event_id % 5 = 0) AS errors, round(avg(value), 9) AS mean_seconds, any_value(tasks) AS tasks, greatest(0, max(depth))::BIGINT AS high_water FROM q JOIN j USING (user_id) GROUP BY user_id""",
     "event_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS starts, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "limited_announcements": "WITH l AS (SELECT user_id, floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) < 3600 AND lag(event_type) OVER w <> event_type AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT user_id AS runner_id, count(*) FILTER (limited) AS limited FROM l GROUP BY 1",
     "audit_chain_check": "WITH s AS (SELECT user_id, event_id, row_number() OVER w AS seq, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id AS log_id, seq FROM s WHERE before % 97 = 0",

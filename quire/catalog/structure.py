@@ -294,7 +294,13 @@ def translation_queue(spark, sf_dir):
     return review.to_translate(review.translatable(nodes), done, "ru").groupBy("doc_id").agg(F.count("*").alias("blocks")).select(_doc(), "blocks")
 
 
-_ALL = (main_flow_edges, page_fill, heading_tree, continuation_edges, heading_violations, html_heading_tree, list_runs, heading_blocks, footnote_blocks, caption_targets, toc_sections, table_blocks, diagram_regions, bibliography_blocks, title_page_scores, table_like_pages, rebuilt_pages, page_groups, page_texts, live_counts, page_ranges, chunk_pack, chunk_links, semantic_chunks, instruction_dataset, qa_dataset, chunk_manifest, breadcrumb_header, kg_upsert, dangling_edges, named_edges, reading_sequence, refused_steps, first_steps, markdown_blocks, text_blocks, document_json, full_texts, latex_documents, detected_kinds, translation_queue)
+def translation_progress(spark, sf_dir):
+    blocks = review.translatable(line_nodes(spark, sf_dir))
+    done = review.translate(blocks.filter(number() % 2 == 0), "ru")
+    return review.translation_progress(blocks, done, "ru").select(_doc(), "done", "total", "percent")
+
+
+_ALL = (main_flow_edges, page_fill, heading_tree, continuation_edges, heading_violations, html_heading_tree, list_runs, heading_blocks, footnote_blocks, caption_targets, toc_sections, table_blocks, diagram_regions, bibliography_blocks, title_page_scores, table_like_pages, rebuilt_pages, page_groups, page_texts, live_counts, page_ranges, chunk_pack, chunk_links, semantic_chunks, instruction_dataset, qa_dataset, chunk_manifest, breadcrumb_header, kg_upsert, dangling_edges, named_edges, reading_sequence, refused_steps, first_steps, markdown_blocks, text_blocks, document_json, full_texts, latex_documents, detected_kinds, translation_queue, translation_progress)
 QUERIES = {f.__name__: f for f in _ALL}
 
 LEVELS = "levels AS (SELECT doc_id, n, CASE WHEN n % 3 = 0 THEN (n * 4 + doc_id) % 5 + 1 END AS level FROM lines)"
@@ -370,5 +376,6 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS paragraphs, CAST(sum(len(list_filter(string_split(trim(p, ' ' || chr(10)), chr(10)), lambda x: trim(x) <> ''))) AS BIGINT) AS spans FROM p WHERE trim(p, ' ' || chr(10)) <> '' GROUP BY doc_id""",
     "document_json": f"WITH {LINES} SELECT doc_id, count(*) FILTER (n % 5 <> 0) + 1 AS nodes FROM lines GROUP BY doc_id",
     "full_texts": f"WITH {LINES}, t AS (SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY n) FILTER (line <> '') AS t FROM lines GROUP BY doc_id) SELECT doc_id, sha256('Book ' || source || chr(10) || chr(10) || 'Document ' || doc_id || coalesce(chr(10) || chr(10) || t, '')) AS text_hash FROM documents JOIN t USING (doc_id)",
+    "translation_progress": f"WITH {LINES}, c AS (SELECT doc_id, count(*) FILTER (n % 2 = 0 AND length(trim(line)) > 2) AS done, count(*) FILTER (length(trim(line)) > 2) + 1 AS total FROM lines GROUP BY doc_id) SELECT doc_id, done, total, floor(100 * done / total)::INT AS percent FROM c",
     "translation_queue": f"WITH {LINES} SELECT doc_id, count(*) FILTER (n % 2 = 1 AND length(trim(line)) > 2) + 1 AS blocks FROM lines GROUP BY doc_id",
 }

@@ -45,6 +45,13 @@ def normalize_blocks(spark, sf_dir):
     return rows.select("doc_id", "n", F.sha2("m.text", 256).alias("text_hash"), F.col("m.changed").alias("changed"), F.round("m.confidence", 6).alias("confidence"))
 
 
+def span_review(spark, sf_dir):
+    """Lines whose white space costs their span so much confidence that a person should look at it."""
+    nodes = line_nodes(spark, sf_dir, F.concat(F.lit("  "), F.replace("line", F.lit(", "), F.lit(",  \t")))).filter("kind = 'paragraph'")
+    tasks = review.flag(nodes, parts=review.span_parts(nodes))
+    return tasks.select(F.col("doc_id").cast("long").alias("doc_id"), F.element_at(F.split("node_id", "/"), 2).cast("int").alias("n"), F.round("conf", 6).alias("conf"))
+
+
 def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(t.token_estimate(F.col("text"))).cast("long").alias("tokens"), F.max(t.token_estimate(F.col("text"))).alias("most"))
 
@@ -241,7 +248,7 @@ def taxonomy_report(spark, sf_dir):
     return evaluation.taxonomy_report(errors, ["lang"]).select("lang", "total", "blocking", F.to_json("counts").alias("counts"))
 
 
-QUERIES = {f.__name__: f for f in (block_review_load, normalize_blocks, token_estimate, extraction_confidence, classification_confidence, ocr_garbage_rate, entity_registry, entity_mentions, mention_offsets, script_share_report, latex_escaped, list_markers, callout_labels, footnote_markers, caption_labels, bib_entries, toc_entries, glued_toc_lines, formula_lines, artifact_dedup, gc_candidates, cache_key, calibration_bins, calibration_ece, cer_of_passages, wer_of_passages, teds_of_grids, skill_matches, profile_recipes, page_issues, page_report, taxonomy_report)}
+QUERIES = {f.__name__: f for f in (block_review_load, normalize_blocks, span_review, token_estimate, extraction_confidence, classification_confidence, ocr_garbage_rate, entity_registry, entity_mentions, mention_offsets, script_share_report, latex_escaped, list_markers, callout_labels, footnote_markers, caption_labels, bib_entries, toc_entries, glued_toc_lines, formula_lines, artifact_dedup, gc_candidates, cache_key, calibration_bins, calibration_ece, cer_of_passages, wer_of_passages, teds_of_grids, skill_matches, profile_recipes, page_issues, page_report, taxonomy_report)}
 
 WORD = "MOV|ADD|SUB|MUL|DIV|LDR|STR|CMP|BNE|BEQ|BGT|BLT|BGE|BLE|AND|ORR|EOR|LSL|LSR|ASR|NOP|SWI|SVC|BL|BX|PUSH|POP|LDM|STM"
 # RE2 has ASCII word ends; text is padded so that letters like É count as letters of a word.
@@ -267,6 +274,9 @@ ORACLE_SQL = {
     "block_review_load": f"WITH {LINES}, {MEASURES} SELECT lang, count(*) AS blocks, count(*) FILTER (least(ext, cls) < 0.8::DOUBLE) AS flagged, round(avg(least(ext, cls)), 6) AS mean_conf FROM confident GROUP BY lang",
     "normalize_blocks": f"""WITH {LINES}, dirty AS (SELECT doc_id, n, '  ' || replace(line, ', ', ',  ' || chr(9)) AS d FROM lines), clean AS (SELECT *, trim(regexp_replace(d, '\\s+', ' ', 'g')) AS c FROM dirty)
         SELECT doc_id, n::INT AS n, sha256(c) AS text_hash, c <> d AS changed, CASE WHEN c <> d THEN round(greatest(0.5::DOUBLE, 1::DOUBLE - abs(length(d) - length(c)) / greatest(length(d), 1)), 6) END AS confidence FROM clean""",
+    "span_review": f"""WITH {LINES}, dirty AS (SELECT doc_id, n, '  ' || replace(line, ', ', ',  ' || chr(9)) AS d FROM lines), clean AS (SELECT *, trim(regexp_replace(d, '\\s+', ' ', 'g')) AS c FROM dirty),
+            m AS (SELECT doc_id, n, CASE WHEN c <> d THEN greatest(0.5::DOUBLE, 1::DOUBLE - abs(length(d) - length(c)) / greatest(length(d), 1)) ELSE 1 END AS conf FROM clean)
+        SELECT doc_id, n::INT AS n, round(conf, 6) AS conf FROM m WHERE conf < 0.8::DOUBLE""",
     "token_estimate": "WITH e AS (SELECT source, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS k FROM documents) SELECT source, CAST(sum(k) AS BIGINT) AS tokens, CAST(max(k) AS INT) AS most FROM e GROUP BY source",
     "extraction_confidence": f"WITH {LINES}, {MEASURES} SELECT doc_id, n::INT AS n, round(ext, 6) AS confidence FROM confident",
     "classification_confidence": f"WITH {LINES}, {MEASURES} SELECT doc_id, n::INT AS n, round(cls, 6) AS confidence FROM confident",

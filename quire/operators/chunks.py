@@ -87,46 +87,69 @@ def section_paths(nodes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "node_id", "sections")
 
 
+def chunk_language() -> Column:
+    """What says more of a node's kind: a language, an architecture, a style, a mark or a key."""
+    a, kind = F.col("attrs"), F.col("kind")
+    named = F.when(kind == "code", a["language"]).when(kind == "instruction", a["architecture"]).when(kind == "list", a["list_style"]).when(kind == "callout", a["callout_kind"])
+    return F.nullif(named.when(kind == "footnote", F.coalesce(a["marker"], a["footnote_number"])).when(kind == "bib_entry", a["cite_key"]), F.lit(""))
+
+
+#: Relations that lead from a text to a figure or table.
+LEADS = ("caption_for", "references")
+
+
 def build_chunks(nodes: DataFrame, docs: DataFrame, edges: DataFrame | None = None, entities: DataFrame | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """doc_id, chunk, chunk_id, chunk_type, text, header, pages, node_ids, tokens, prev_id, next_id and, with a graph, mentioned and related ids.
+    """doc_id, chunk, chunk_id, chunk_type, language, text, header, pages, node_ids, tokens, prev_id, next_id and, with a graph, mentioned and related ids.
 
     nodes: a node table; docs: doc_id, title. Chunks without text are left out. A chunk without a page is on page 1.
     """
     alive = live(nodes)
     leaves = alive.filter(~F.col("kind").isin(CONTAINER, "list_item")).join(list_text(nodes), ["doc_id", "node_id"], "left")
     leaves = leaves.withColumn("_text", F.coalesce("list_text", chunk_text())).join(section_paths(nodes), ["doc_id", "node_id"])
-    leaves = leaves.select("doc_id", "node_id", "path", "kind", "page", "_text", "sections", F.col("kind").isin(*ATOMIC).alias("is_atomic"), F.concat_ws("\u0001", "sections").alias("section"), F.greatest(F.lit(1), token_estimate(F.col("_text"))).alias("tokens"))
+    leaves = leaves.select("doc_id", "node_id", "path", "kind", "page", "_text", "sections", F.col("kind").isin(*ATOMIC).alias("is_atomic"), F.concat_ws("\u0001", "sections").alias("section"), F.greatest(F.lit(1), token_estimate(F.col("_text"))).alias("tokens"), chunk_language().alias("language"))
     packed = pack(leaves, max_tokens)
-    parts = F.array_sort(F.collect_list(F.struct("path", "node_id", "kind", F.col("_text").alias("text"), "page", "sections")))
+    parts = F.array_sort(F.collect_list(F.struct("path", "node_id", "kind", F.col("_text").alias("text"), "page", "sections", "language")))
     chunks = packed.groupBy("doc_id", "chunk").agg(parts.alias("p"))
     texts = F.filter(F.transform("p", lambda x: x["text"]), lambda t: t != "")
     pages = F.array_sort(F.array_distinct(F.filter(F.transform("p", lambda x: x["page"] + 1), lambda x: x.isNotNull())))
     kind = F.get("p", F.lit(0))["kind"]
     chunks = chunks.select(
         "doc_id", "chunk", F.when(kind.isin(*ATOMIC), kind).otherwise("narrative").alias("chunk_type"), F.array_join(texts, "\n\n").alias("text"), F.when(F.size(pages) == 0, F.array(F.lit(1))).otherwise(pages).alias("pages"),
-        F.transform("p", lambda x: x["node_id"]).alias("node_ids"), F.get("p", F.lit(0))["sections"].alias("sections"),
+        F.transform("p", lambda x: x["node_id"]).alias("node_ids"), F.get("p", F.lit(0))["sections"].alias("sections"), F.get("p", F.lit(0))["language"].alias("language"),
+        F.transform(F.filter("p", lambda x: x["kind"] == "figure"), lambda x: x["node_id"]).alias("own_figures"), F.transform(F.filter("p", lambda x: x["kind"] == "table"), lambda x: x["node_id"]).alias("own_tables"),
     ).filter("text <> ''")
     chunks = chunks.join(docs.select("doc_id", F.col("title").alias("_title")), "doc_id", "left")
     chunks = chunks.withColumn("chunk_id", made_id("chunk", F.col("doc_id"), F.get("node_ids", F.lit(0)))).withColumn("tokens", token_estimate(F.col("text")))
     chunks = chunks.withColumn("header", breadcrumb(F.coalesce("_title", F.lit("")), F.col("sections"), F.col("pages"))).drop("_title")
     if edges is not None and entities is not None:
         chunks = with_graph(chunks, edges, entities)
+    chunks = chunks.drop("own_figures", "own_tables")
     order = Window.partitionBy("doc_id").orderBy("chunk")
     return chunks.withColumn("prev_id", F.lag("chunk_id").over(order)).withColumn("next_id", F.lead("chunk_id").over(order))
 
 
 def with_graph(chunks: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """chunks with mentioned (names of entities at edges from or to their nodes), related_figures and related_tables (targets whose ids say so)."""
+    """chunks with mentioned (names of entities at edges from or to their nodes), related_figures and related_tables: their own, and what edges of LEADS lead to if its id says
+    so and it's no entity. chunks: chunk_id, node_ids and, if known, own_figures and own_tables; edges: source_id, target_id, relation."""
     ids = chunks.select("chunk_id", F.explode("node_ids").alias("_n"))
-    out = ids.join(edges.select(F.col("source_id").alias("_s"), F.col("target_id").alias("other")), F.col("_n") == F.col("_s")).select("chunk_id", "other")
-    into = ids.join(edges.select(F.col("target_id").alias("_s"), F.col("source_id").alias("other")), F.col("_n") == F.col("_s")).select("chunk_id", "other")
-    around = out.union(into).distinct().join(entities.select(F.col("entity_id").alias("_e"), "name"), F.col("other") == F.col("_e"), "left")
-    found = around.groupBy("chunk_id").agg(
+    out = ids.join(edges.select(F.col("source_id").alias("_s"), F.col("target_id").alias("other"), F.col("relation").isin(*LEADS).alias("leads")), F.col("_n") == F.col("_s")).select("chunk_id", "other", "leads")
+    into = ids.join(edges.select(F.col("target_id").alias("_s"), F.col("source_id").alias("other")), F.col("_n") == F.col("_s")).select("chunk_id", "other", F.lit(False).alias("leads"))
+    named = entities.filter(F.coalesce("name", F.lit("")) != "").select(F.col("entity_id").alias("_e"), "name")
+    around = out.union(into).distinct().join(named, F.col("other") == F.col("_e"), "left")
+    figure = F.contains(F.lower("other"), F.lit("fig"))
+    lead = F.col("leads") & F.col("_e").isNull()
+    found = around.groupBy(F.col("chunk_id").alias("_c")).agg(
         F.array_sort(F.collect_set("name")).alias("mentioned"),
-        F.array_sort(F.collect_set(F.when(F.contains(F.lower("other"), F.lit("fig")), F.col("other")))).alias("related_figures"),
-        F.array_sort(F.collect_set(F.when(F.contains(F.lower("other"), F.lit("tbl")), F.col("other")))).alias("related_tables"),
+        F.collect_set(F.when(lead & figure, F.col("other"))).alias("_figures"),
+        F.collect_set(F.when(lead & ~figure & F.contains(F.lower("other"), F.lit("tbl")), F.col("other"))).alias("_tables"),
     )
-    return chunks.join(found, "chunk_id", "left")
+    none = F.array().cast("array<string>")
+    rows = chunks.join(found, F.col("chunk_id") == F.col("_c"), "left")
+    own = lambda c: F.coalesce(c, none) if c in chunks.columns else none
+    rows = rows.withColumn("mentioned", F.coalesce("mentioned", none))
+    for kind in ("figures", "tables"):
+        rows = rows.withColumn(f"related_{kind}", F.array_sort(F.array_union(F.coalesce(f"_{kind}", none), own(f"own_{kind}"))))
+    return rows.drop("_c", "_figures", "_tables")
 
 
 def manifest(chunks: DataFrame) -> DataFrame:

@@ -90,6 +90,13 @@ def up_seconds(events: DataFrame, state: str = "up") -> DataFrame:
     return rows.groupBy("runner_id").agg(F.sum(F.unix_timestamp("_next") - F.unix_timestamp("ts")).alias("seconds"))
 
 
+def telemetry(requests: DataFrame, key: str) -> DataFrame:
+    """key, total, errors, mean_seconds, tasks (JSON of counts by task), high_water: the requests of each manager. requests: key, task, seconds, ok, depth (of the queue)."""
+    by_task = requests.groupBy(key, "task").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"), F.sum("seconds").alias("s"), F.max("depth").alias("d"))
+    tasks = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", "n")))))
+    return by_task.groupBy(key).agg(F.sum("n").alias("total"), F.sum("bad").alias("errors"), (F.sum("s") / F.sum("n")).alias("mean_seconds"), tasks.alias("tasks"), F.greatest(F.lit(0), F.max("d")).alias("high_water"))
+
+
 def memory_in_use(models: DataFrame) -> DataFrame:
     """runner_id, vram_mb of loaded models, and lru: the loaded model used longest ago."""
     loaded = models.filter("loaded")

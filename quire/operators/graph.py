@@ -34,9 +34,11 @@ def upsert_edges(rows: DataFrame) -> DataFrame:
     return joined.select(*(edges[k] for k in key), "confidence", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), "seq")
 
 
-def edges_of(edges: DataFrame, node_id: str, outgoing: bool = True, relation: str | None = None) -> DataFrame:
+def edges_of(edges: DataFrame, node_id: str, outgoing: bool = True, relation: str | None = None, track: str | None = None) -> DataFrame:
     found = edges.filter(F.col("source_id" if outgoing else "target_id") == node_id)
-    return found if relation is None else found.filter(F.col("relation") == relation)
+    for column, value in (("relation", relation), ("track", track)):
+        found = found if value is None else found.filter(F.col(column) == value)
+    return found
 
 
 def dangling(edges: DataFrame, nodes: DataFrame, entities: DataFrame) -> DataFrame:
@@ -161,6 +163,23 @@ def innermost_boxes(boxes: DataFrame) -> DataFrame:
     return a.join(inner, holds, "left_anti")
 
 
+#: Fixed value: boxes that differ by less in place and size are one.
+NEAR = 12
+
+
+def distinct_boxes(boxes: DataFrame, near: float = NEAR) -> DataFrame:
+    """boxes without those that differ by less than `near` in x, y, width and height from a larger one that stays; of equal areas the smaller box_id is first.
+
+    boxes: region, box_id, x0, y0, x1, y1, in pixels. Whether a box stays hangs on the larger ones that stay, so a region is folded as one.
+    """
+    one = F.struct((-(F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"), "box_id", "x0", "y0", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
+    alike = lambda a, b: (F.abs(a["x0"] - b["x0"]) < near) & (F.abs(a["y0"] - b["y0"]) < near) & (F.abs(a["w"] - b["w"]) < near) & (F.abs(a["h"] - b["h"]) < near)
+    regions = boxes.groupBy("region").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda out, b: F.when(F.exists(out, lambda o: alike(o, b)), out).otherwise(F.concat(out, F.array(b))))
+    stay = regions.select(F.col("region").alias("_r"), F.explode(F.transform(kept, lambda b: b["box_id"])).alias("_b"))
+    return boxes.join(stay, (F.col("region") == F.col("_r")) & (F.col("box_id") == F.col("_b")), "left_semi")
+
+
 def tikz(boxes: DataFrame, labels: DataFrame, arrows: DataFrame, width: float = 15.0, height: float = 23.0) -> DataFrame:
     """region, tikz: boxes, labels and arrows of a region, scaled to centimetres, y upwards."""
     x, y = (lambda c: F.format_number(c * width, 2)), (lambda c: F.format_number((1 - c) * height, 2))

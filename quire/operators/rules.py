@@ -141,6 +141,12 @@ def merged(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
 
 
+def list_merged(old: Column, new: Column) -> Column:
+    """The values of old, then those of new that old hasn't, each once, in their order; null counts as empty."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(old, none), F.coalesce(new, none)))
+
+
 def upsert_given(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of old and new by key; of a row in both, fields that are null in new stay."""
     fields = [c for c in old.columns if c != key]
@@ -206,6 +212,38 @@ def first_reachable(agents: DataFrame) -> DataFrame:
     return agents.filter("reachable").groupBy("role").agg(F.min_by("host", "ordinal").alias("host"))
 
 
+def add_agents(agents: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(agents with the new ones, those refused since their host is there). new: one row a host."""
+    known = agents.select(F.col("host").alias("_h"))
+    same = F.col("host") == F.col("_h")
+    return agents.unionByName(new.join(known, same, "left_anti"), allowMissingColumns=True), new.join(known, same, "left_semi")
+
+
+def update_agents(agents: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(agents with name, active_model and roles of their host's change, the changes of unknown hosts). changes: host, name, active_model, roles."""
+    fields = ("name", "active_model", "roles")
+    right = changes.select(F.col("host").alias("_h"), *(F.col(c).alias(f"_{c}") for c in fields))
+    rows = agents.join(right, F.col("host") == F.col("_h"), "left")
+    out = rows.select(*(F.when(F.col("_h").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in agents.columns))
+    return out, changes.join(agents.select(F.col("host").alias("_h")), F.col("host") == F.col("_h"), "left_anti")
+
+
+def delete_agents(agents: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the other agents, the hosts that no agent has). hosts: host."""
+    return agents.join(hosts, "host", "left_anti"), hosts.join(agents, "host", "left_anti")
+
+
+#: What the manifest of a chapter says that has none.
+NO_MANIFEST = {"sections": "[]", "figures": "[]", "examples": "[]", "tables": "[]", "debug_sessions": "[]", "numbered_lists": "[]", "element_order": "{}"}
+
+
+def chapter_manifests(chapters: DataFrame, manifests: DataFrame) -> DataFrame:
+    """chapter, manifest (JSON): the last one that was set, else one of 30 pages without contents. manifests: chapter, manifest, seq."""
+    last = manifests.groupBy(F.col("chapter").alias("_c")).agg(F.max_by("manifest", "seq").alias("_m"))
+    empty = F.concat(F.lit('{"manifest_version":1,"chapter":'), F.col("chapter").cast("string"), F.lit(',"pages":{"start":1,"end":30,"count":30},'), F.lit(",".join(f'"{k}":{v}' for k, v in NO_MANIFEST.items()) + "}"))
+    return chapters.join(last, F.col("chapter") == F.col("_c"), "left").select("chapter", F.coalesce("_m", empty).alias("manifest"))
+
+
 def one_loader_a_task(loaders: DataFrame) -> DataFrame:
     """Tasks with more than one loader."""
     return loaders.groupBy("task").agg(F.count("*").alias("n")).filter("n > 1")

@@ -28,11 +28,6 @@ def test_query_equals_sql(spark, db, name):
     assert sorted((tidy(r) for r in df.select(order).collect()), key=repr) == sorted(map(tidy, found.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - {"detected_kinds"}))
-def test_query_runs(spark, name):
-    assert len(catalog.QUERIES[name](spark, SF).collect()) >= 0
-
-
 def test_entry():
     import __spark_entry__
 
