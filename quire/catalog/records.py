@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.base import LINES, line_nodes, number, table
 from quire.catalog.text import MEASURES
-from quire.functions.text import classification_confidence, extraction_confidence
+from quire.functions.text import least_confidence
 from quire.operators import artifacts, evaluation, review, rules
 from quire.streaming import jobs
 
@@ -122,7 +122,7 @@ def sample_verdicts(spark, sf_dir):
 
 
 def _flagged_nodes(spark, sf_dir):
-    conf = F.least(extraction_confidence(F.col("line")), classification_confidence(F.col("line")))
+    conf = least_confidence(F.col("line"))
     return line_nodes(spark, sf_dir, conf=conf)
 
 

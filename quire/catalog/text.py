@@ -36,7 +36,7 @@ MEASURES = f"""
 def block_review_load(spark, sf_dir):
     """Blocks of each language, those that a person should review, and the mean confidence."""
     rows = lines(spark, sf_dir).withColumn("clean", t.collapse(F.col("line")))
-    rows = rows.withColumn("conf", F.least(t.extraction_confidence(F.col("clean")), t.classification_confidence(F.col("clean"))))
+    rows = rows.withColumn("conf", t.least_confidence(F.col("clean")))
     return rows.groupBy("lang").agg(F.count("*").alias("blocks"), F.count_if(F.col("conf") < review.THRESHOLD).alias("flagged"), F.round(F.avg("conf"), 6).alias("mean_conf"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +32,11 @@ def n_words(c: Column) -> Column:
 
 
 def letters(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, r"[^\p{L}]", ""))
+    return F.char_length(F.regexp_replace(c, r"[^\p{L}]+", ""))
 
 
 def digits(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, r"[^\p{Nd}]", ""))
+    return F.char_length(F.regexp_replace(c, r"[^\p{Nd}]+", ""))
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
@@ -55,24 +57,45 @@ def normalized(c: Column) -> Column:
     return F.struct(text.alias("text"), changed.alias("changed"), F.when(changed, F.greatest(F.lit(0.5), 1.0 - lost)).alias("confidence"))
 
 
-def extraction_confidence(c: Column) -> Column:
-    text = strip(c)
-    size = F.char_length(text)
-    printable = (size - F.char_length(F.regexp_replace(text, r"[\p{C}\p{Zl}\p{Zp}]|(?! )\p{Zs}", ""))).cast("double")
-    printable, alpha = 1.0 - printable / size, letters(text) / size
+def measured(c: Column, of: Callable[[Column], Column]) -> Column:
+    """of(m) for the text, size and letters of the stripped text, which are worked out once however often `of` asks for them."""
+    first = F.transform(F.array(strip(c)), lambda t: F.struct(t.alias("text"), F.char_length(t).alias("size"), letters(t).alias("letters")))
+    return F.get(F.transform(first, of), F.lit(0))
+
+
+# The steps of both scores.
+def _extraction(m: Column) -> Column:
+    size = m["size"]
+    odd = (size - F.char_length(F.regexp_replace(m["text"], r"(?:[\p{C}\p{Zl}\p{Zp}]|(?! )\p{Zs})+", ""))).cast("double")
+    printable, alpha = 1.0 - odd / size, m["letters"] / size
     score = F.lit(0.55) + F.when(size >= 30, 0.20).when(size >= 10, 0.10).when(size < 3, -0.10).otherwise(0.0) + printable * 0.10
     score = score + F.when(alpha > 0.5, 0.05).when(alpha < 0.15, -0.10).otherwise(0.0)
     return F.when(size == 0, 0.1).otherwise(clamp(score, 0.10, 0.95))
 
 
+def _classification(m: Column) -> Column:
+    def score(x: Column) -> Column:
+        size, count = m["size"], x["words"]
+        sentence, alpha = x["stop"] & (count > 3), m["letters"] / size
+        points = F.lit(0.50) + F.when(sentence & (size > 80), 0.30).when(sentence, 0.20).when(size > 50, 0.10).otherwise(0.0)
+        points = points + F.when(count >= 5, 0.05).when(count == 1, -0.15).otherwise(0.0)
+        return points + F.when(alpha > 0.6, 0.05).when(alpha < 0.3, -0.10).otherwise(0.0) + F.when(size < 5, -0.15).otherwise(0.0)
+
+    more = F.struct((F.regexp_count(m["text"], F.lit(SPACE)) + 1).alias("words"), F.contains(m["text"], F.lit(".")).alias("stop"))
+    return F.when(m["size"] == 0, 0.10).otherwise(clamp(F.get(F.transform(F.array(more), score), F.lit(0)), 0.10, 0.95))
+
+
+def extraction_confidence(c: Column) -> Column:
+    return measured(c, _extraction)
+
+
 def classification_confidence(c: Column) -> Column:
-    text = strip(c)
-    size, count = F.char_length(text), n_words(text)
-    sentence, alpha = F.contains(text, F.lit(".")) & (count > 3), letters(text) / size
-    score = F.lit(0.50) + F.when(sentence & (size > 80), 0.30).when(sentence, 0.20).when(size > 50, 0.10).otherwise(0.0)
-    score = score + F.when(count >= 5, 0.05).when(count == 1, -0.15).otherwise(0.0)
-    score = score + F.when(alpha > 0.6, 0.05).when(alpha < 0.3, -0.10).otherwise(0.0) + F.when(size < 5, -0.15).otherwise(0.0)
-    return F.when(size == 0, 0.10).otherwise(clamp(score, 0.10, 0.95))
+    return measured(c, _classification)
+
+
+def least_confidence(c: Column) -> Column:
+    """The lesser of both, of one reading of the text."""
+    return measured(c, lambda m: F.least(_extraction(m), _classification(m)))
 
 
 def is_garbage(c: Column, ascii_only: bool = True) -> Column:
