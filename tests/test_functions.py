@@ -108,7 +108,7 @@ def test_glued_contents_lines(spark):
 
 def test_mentions(spark):
     (got,) = values(spark, ["MOV R1, #0xFF then R16 movR2 ADD"], m=markers.mentions(C()))
-    assert [tuple(x) for x in got[0]] == [("register", "R1"), ("instruction", "MOV"), ("instruction", "ADD"), ("concept_term", "0xFF")]
+    assert [tuple(x) for x in got[0]] == [("register", "R1", 4), ("instruction", "MOV", 0), ("instruction", "ADD", 26), ("concept_term", "0xFF", 9)]
 
 
 def test_wer_cer_and_distance(spark):
