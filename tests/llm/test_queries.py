@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import queries
@@ -168,3 +169,15 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     for r in now.collect():
         shards.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
+
+
+def test_stages_keep_columns_that_operators_name_alike(spark, tmp_path):
+    names = ["score", "predicted", "kept", "component_id", "contaminated", "coverage", "item_id", "slot", "block", "in_mix", "row", "tag", "key", "Text_crc32"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.staged(stage(spark, docs, SF), name)
+        rows = out.collect()
+        own = names if name != "shard" else [n for n in names if n != "slot"]
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in own), name
+        assert out.columns == (docs.columns if name != "shard" else [c for c in docs.columns if c != "slot"] + ["shard", "slot"])
+        docs = out
