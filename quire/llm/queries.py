@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontam, exact_dedup, lm_score, mixing, quality, shard, simhash, token_count, url_reputation
+from quire.llm import chat, decontam, exact_dedup, lm_score, mixing, prefix_trie, quality, shard, simhash, spelling, token_count, token_files, url_reputation
 from quire.llm.shared import table
 
 SHARDS = 40
@@ -90,7 +90,36 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pfair_mix(docs, ["doc_id"], weights=target).select("doc_id", "source", "block", "slot", "release", "deadline", "in_block", "in_mix")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_lm_score, op4_decontaminate, op5_shards, op6_chat, op7_url, op8_exact_dedup, op9_tokens, op10_mix)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.documents_of(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, turns = prefix_trie.rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.prefix_trie(ids, turns)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"), typo_every=199)
+    return spelling.variants(words)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_lm_score, op4_decontaminate, op5_shards, op6_chat, op7_url, op8_exact_dedup, op9_tokens, op10_mix, op11_token_files, op12_prefix_trie, op13_spelling)}
+
+#: A table of one row, t: what crc32 adds for each byte.
+CRC_TABLE = """crc AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+        )"""
+
+
+def crc32_sql(data: str) -> str:
+    """DuckDB's crc32 of a list of bytes, beside CRC_TABLE."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
 
 ORACLE_SQL = {
     "op6_chat": """
@@ -168,4 +197,52 @@ ORACLE_SQL = {
         )
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM hashed WINDOW w AS (PARTITION BY text_sha256)""",
+    "op12_prefix_trie": rf"""
+        WITH {CRC_TABLE}, said AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n, coalesce(role, '') AS r, coalesce(text, '') AS x
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT c, list({{'r': r, 'x': x}} ORDER BY n) AS turns FROM said GROUP BY c
+        ), rebuilt AS (
+            SELECT o.c, list_concat(coalesce(b.turns, [])[1:h], o.turns[h + 1:]) AS turns
+            FROM (SELECT own.*, {crc32_sql("list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 4 AS h FROM own, crc) o LEFT JOIN own b ON b.c = o.c - o.c % 20
+        ), paths AS (
+            SELECT c, d, len(turns) AS size, CASE WHEN d = 0 THEN '' ELSE CAST(turns[1:d] AS VARCHAR) || CAST(list_transform(turns[1:d], lambda z: length(z.r) * 1000003 + length(z.x)) AS VARCHAR) END AS k,
+                CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(turns[d].x, '[^\x20\x09-\x0D]+')) END AS w
+            FROM rebuilt, range(0, (SELECT max(len(turns)) + 1 FROM rebuilt)) t(d) WHERE d <= len(turns)
+        ), node AS (
+            SELECT d, k, min(c) AS owner, count(*) AS members, max(size) > d AS inner_node, any_value(w) AS w,
+                sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (size = d), '')) AS ends FROM paths GROUP BY d, k
+        ), below AS (
+            SELECT p.d, p.k, CAST(sum(CASE WHEN v.inner_node THEN 0 ELSE 1 END) AS BIGINT) AS leaves, CAST(sum((v.members - 1) * v.w) AS BIGINT) AS saved, count(*) FILTER (v.d = p.d + 1) AS children
+            FROM node v JOIN paths p ON p.c = v.owner AND p.d <= v.d GROUP BY p.d, p.k
+        )
+        SELECT n.owner AS conv_id, n.d AS depth, u.owner AS parent_conv_id, n.members AS n_convs, children AS n_children, leaves AS n_leaves, saved AS saved_tokens, n.ends AS ends_sha256
+        FROM node n JOIN below USING (d, k) JOIN paths m ON m.c = n.owner AND m.d = n.d
+        LEFT JOIN paths q ON q.c = n.owner AND q.d = n.d - 1 LEFT JOIN node u ON u.d = q.d AND u.k = q.k""",
+    "op13_spelling": f"""
+        WITH {CRC_TABLE}, runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+        ), counted AS (
+            SELECT id, run, count(*) AS k, id || ':' || run AS told FROM runs WHERE length(run) >= 6 GROUP BY ALL
+        ), hashed AS (
+            SELECT run, k, {crc32_sql("flatten(list_transform(string_split(told, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), 128 + (unicode(x) & 63)] END))")} AS h FROM counted, crc
+        ), spelt AS (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed
+        ), words AS (
+            SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+        ), cut AS (
+            SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, (SELECT max(length(word)) + 1 FROM words)) r(i) WHERE i <= length(word)
+        ), near AS (
+            SELECT DISTINCT a.word AS a, b.word AS b, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT w.word, c.word, c.n FROM words w JOIN cut c ON c.rest = w.word
+            UNION SELECT c.word, w.word, w.n FROM words w JOIN cut c ON c.rest = w.word
+        ), best AS (
+            SELECT a, count(*) AS n_near, arg_min(b, {{'m': -m, 'b': encode(b)}}) AS b, max(m) AS m FROM near GROUP BY a
+        ), forms AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN b END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM words LEFT JOIN best ON a = word
+        ), followed AS (
+            WITH RECURSIVE f AS (SELECT word, word AS root FROM words UNION ALL SELECT f.word, forms.form FROM f JOIN forms ON forms.word = f.root WHERE forms.form IS NOT NULL) SELECT word, root FROM f
+        )
+        SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN followed USING (word) WHERE NOT EXISTS (SELECT 1 FROM forms g WHERE g.word = root AND g.form IS NOT NULL)""",
 }
