@@ -61,23 +61,23 @@ def runner_states(events: DataFrame) -> DataFrame:
     return rows.select("runner_id", "ts", F.when(F.col("errors") >= FAILURES, "stopping").when(F.col("errors") > 0, "error").otherwise("up").alias("state"), "errors")
 
 
-def runner_life(events: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
-    """runner_id, ts, event, state, errors, refused: batch form of a runner's life. events: runner_id, ts, seq, event (start, alive, ready, infer_ok, error, shutdown or down).
+def runner_life(events: DataFrame, cooldown: int = COOLDOWN, keys: tuple[str, ...] = ("runner_id",)) -> DataFrame:
+    """runner_id (or other keys), ts, seq, event, state, errors, refused: batch form of a runner's life. events: runner_id, ts, seq, event (start, alive, ready, infer_ok, error, shutdown or down).
 
     A runner is cold until it's started, and what the last event made of it. Errors in a row make it error, three stopping; a start less than `cooldown` seconds after the third is refused and changes nothing.
     """
-    order = Window.partitionBy("runner_id").orderBy("ts", "seq")
+    order = Window.partitionBy(*keys).orderBy("ts", "seq")
     so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     bad = F.col("event") == "error"
     # a start is no answer of the runner, so it doesn't end a row of errors by itself
     rows = events.withColumn("_run", F.sum((~bad & (F.col("event") != "start")).cast("int")).over(so_far))
-    inside = Window.partitionBy("runner_id", "_run").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_run").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("errors", F.sum(bad.cast("int")).over(inside))
     rows = rows.withColumn("_third", F.max(F.when(bad & (F.col("errors") == FAILURES), F.unix_timestamp("ts"))).over(before))
     rows = rows.withColumn("refused", (F.col("event") == "start") & F.coalesce(F.unix_timestamp("ts") - F.col("_third") < cooldown, F.lit(False)))
     table = F.create_map(*(F.lit(x) for pair in STATE_OF.items() for x in pair))
     brings = F.when(bad, F.when(F.col("errors") >= FAILURES, "stopping").otherwise("error")).when(~F.col("refused"), F.try_element_at(table, F.col("event")))
-    return rows.select("runner_id", "ts", "event", F.coalesce(F.last(brings, ignorenulls=True).over(so_far), F.lit("cold")).alias("state"), "errors", "refused")
+    return rows.select(*keys, "ts", "seq", "event", F.coalesce(F.last(brings, ignorenulls=True).over(so_far), F.lit("cold")).alias("state"), "errors", "refused")
 
 
 def stream_runner_states(events: DataFrame) -> DataFrame:
