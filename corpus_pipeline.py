@@ -46,14 +46,18 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the Pfair mix: the weights are the sources' sizes to the power 0.7, among the sources that still have documents."""
-    return unmasked(mixing.pfair_mix(masked(docs), ["doc_id"]).orderBy("slot", "in_block"), docs)
+    """All documents, in the order of the Pfair mix, by blocks of a row for each shard: the weights are the sources' sizes to the power 0.7, among the sources that still have documents."""
+    return unmasked(mixing.pfair_mix(masked(docs), ["doc_id"], block_rows=SHARDS).orderBy("slot", "in_block"), docs)
 
 
 def shuffle_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard and slot, in a seeded random order; columns of these names make way."""
+    """Documents with shard and slot; columns of these names make way. Each shard has the sources in the order of the mix, which is that of the files of docs, and documents in a seeded random order within their source."""
+    placed, place = shard.in_file_order(masked(docs))
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
-    return shard.external_shuffle(docs, SHARDS, [F.col("doc_id"), F.xxhash64("text")], size)
+    source = F.col("source") if "source" in placed.columns else F.lit(None)
+    made = shard.shuffle_in_order(placed, SHARDS, F.col(f"`{place}`"), source, [F.col("doc_id"), F.xxhash64("text")], size).drop(place)
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return made.select(*(F.col(f"`{m}`").alias(c) for c, m in zip(docs.columns, masked(docs).columns) if c in kept), "shard", "slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
