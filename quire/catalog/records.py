@@ -87,23 +87,24 @@ def audit_log_built(spark, sf_dir):
     return log.groupBy("log_id").agg(F.count("*").alias("lines")).join(artifacts.broken_links(log).groupBy("log_id").agg(F.count("*").alias("broken")), "log_id", "left").fillna(0)
 
 
-def _ranked(spark, sf_dir):
+def _vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    queries = v.filter("vec_id % 20 = 0")
-    ranked = evaluation.nearest_neighbours(v, queries, 10)
-    labels = v.select(F.col("vec_id").alias("item_id"), "label")
-    wanted = queries.select(F.col("vec_id").alias("query_id"), "label").join(labels, "label").filter("item_id <> query_id").select("query_id", "item_id")
-    return ranked, wanted
+    return v, v.filter("vec_id % 20 = 0")
 
 
 def retrieval_quality(spark, sf_dir):
-    ranked, wanted = _ranked(spark, sf_dir)
-    m = evaluation.retrieval_metrics(ranked, wanted, 10)
+    """Items of a query's label are relevant: ranked pairs are compared by label, and what is wanted is counted by label."""
+    v, queries = _vectors(spark, sf_dir)
+    ranked = evaluation.nearest_neighbours(v, queries, 10)
+    label = lambda name: v.select(F.col("vec_id").alias(f"{name}_id"), F.col("label").alias(name))
+    relevant = ranked.join(label("item"), "item_id").join(label("query"), "query_id").filter("item = query").select("query_id", "item_id")
+    wanted = queries.join(v.groupBy("label").agg((F.count("*") - 1).alias("want")), "label").select(F.col("vec_id").alias("query_id"), "want")
+    m = evaluation.retrieval_by_counts(ranked, relevant, wanted, 10)
     return m.select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))
 
 
 def nearest_vectors(spark, sf_dir):
-    return _ranked(spark, sf_dir)[0].select("query_id", "item_id", F.col("rank").cast("long").alias("rank"))
+    return evaluation.nearest_neighbours(*_vectors(spark, sf_dir), 10).select("query_id", "item_id", F.col("rank").cast("long").alias("rank"))
 
 
 def link_quality(spark, sf_dir):

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quire.functions import markers
 from quire.functions.text import classification_confidence, collapse, n_words, normalized, strip
 from quire.model import CONTAINER, NODE, PARAGRAPH, PARAGRAPH_LIKE, READING_LEAVES, after, attrs_with, before, is_kind, made_id, text_first, text_joined, text_spaced, with_new
+from quire.operators.text_search import holding
+from quire.storage import staged
 
 UNTIL = (Window.unboundedPreceding, 0)
 
@@ -417,12 +419,13 @@ def classify_blocks(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
 
     docs: doc_id, page_count; a document without one has 100 pages.
     """
-    rows = toc_runs(nodes)
+    rows = staged(toc_runs(nodes), "toc-runs")  # read four times below
     long = F.col("_in") & (F.col("_size") >= TOC_RUN)
-    titles = nodes.filter((F.col("kind") == CONTAINER) & (F.coalesce("title", F.lit("")) != "")).select(F.col("doc_id").alias("_td"), F.lower(collapse(F.col("title"))).alias("_title")).distinct()
+    titles = nodes.filter((F.col("kind") == CONTAINER) & (F.coalesce("title", F.lit("")) != "")).select("doc_id", F.lower(collapse(F.col("title"))).alias("_title")).distinct()
     left = F.lower(collapse(F.regexp_replace(strip(text_spaced()), markers.PAGE_AT_END, "")))
-    lines = rows.filter(long).select("doc_id", "node_id", left.alias("_left"))
-    hits = lines.join(titles, (F.col("doc_id") == F.col("_td")) & (F.col("_left") != "") & (F.contains("_title", "_left") | F.contains("_left", "_title")), "left_semi").select(F.col("doc_id").alias("_hd"), F.col("node_id").alias("_hn"))
+    lines = staged(rows.filter(long).select("doc_id", "node_id", left.alias("_left")), "toc-lines")
+    within = holding(titles, lines, ["doc_id"], "_title", "_title", "node_id", "_left").unionByName(holding(lines, titles, ["doc_id"], "node_id", "_left", "_title", "_title"))
+    hits = within.select(F.col("doc_id").alias("_hd"), F.col("node_id").alias("_hn")).distinct()
     member = rows.filter(long).join(hits, (F.col("doc_id") == F.col("_hd")) & (F.col("node_id") == F.col("_hn")), "left")
     runs = member.groupBy("doc_id", "parent_id", "_run").agg(F.avg("page").alias("mean"), F.count("*").alias("n"), F.count("_hn").alias("hits"), F.min_by(F.struct("path", "node_id", "page"), "path").alias("first"))
     pages = F.lit(PAGES)

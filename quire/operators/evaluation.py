@@ -30,6 +30,19 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Da
     return both.select("query_id", recall_at(F.col("got"), F.col("want"), k).alias("recall"), reciprocal_rank(F.col("got"), F.col("want")).alias("mrr"), ndcg_at(F.col("got"), F.col("want"), k).alias("ndcg"))
 
 
+def retrieval_by_counts(ranked: DataFrame, relevant: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, recall, mrr, ndcg as retrieval_metrics() has them, without gathering what is relevant. ranked: query_id, item_id, rank, each item once a query; relevant: those of (query_id, item_id) that may be ranked; wanted: query_id, want, how many are relevant in all."""
+    good = relevant.select("query_id", "item_id").distinct().withColumn("_good", F.lit(True))
+    hits = ranked.join(good, ["query_id", "item_id"], "left").groupBy("query_id").agg(
+        F.count_if(F.col("_good") & (F.col("rank") <= k)).alias("hits"),
+        F.coalesce(1.0 / F.min(F.when(F.col("_good"), F.col("rank"))), F.lit(0.0)).alias("mrr"),
+        F.coalesce(F.sum(F.when(F.col("_good") & (F.col("rank") <= k), 1.0 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("gain"),
+    )
+    both = hits.join(wanted.select("query_id", "want"), "query_id", "left").withColumn("want", F.coalesce("want", F.lit(0)))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("want", F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+    return both.select("query_id", F.when(F.col("want") == 0, 0.0).otherwise(F.col("hits") / F.col("want")).alias("recall"), "mrr", F.when(F.col("want") == 0, 0.0).otherwise(F.col("gain") / ideal).alias("ndcg"))
+
+
 def calibration_bins(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """bin, n, mean_conf, accuracy of every bin, empty ones 0. p = 1 is in the last bin; p beyond 0 and 1 counts as these."""
     df = df.withColumn(p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p))))

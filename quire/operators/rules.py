@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import latex_escape, script_share
+from quire.operators.text_search import find_terms
 
 SAMPLE = 5000
 VALIDATED = 16
@@ -131,9 +132,8 @@ def search_terms(terms: DataFrame, query: str) -> DataFrame:
 
 
 def terms_on_pages(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """chapter, page, term: terms that the page's text holds, in any case. The glossary is written by hand; Spark broadcasts it if it is small."""
-    text = F.lower(F.coalesce("final", "original", F.lit("")))
-    return pages.withColumn("_t", text).join(terms.select("term", F.lower("term").alias("_k")), F.contains("_t", "_k")).select("chapter", "page", "term")
+    """chapter, page, term: terms that the page's text holds, in any case; all terms are looked for in one pass of a text."""
+    return find_terms(pages, terms, F.coalesce("final", "original", F.lit("")), ["chapter", "page"])
 
 
 def merged(old: Column, new: Column) -> Column:
