@@ -153,6 +153,33 @@ def page_ranges(spark, sf_dir):
     return evaluation.page_ranges(nodes).select(_doc(), "first_page", "last_page")
 
 
+def _nested(spark, sf_dir):
+    """Twelve containers inside each other a document, every fifth without a title; line n is in container n % 12. Every fifth line, and container 7 of every third document, is tombstoned."""
+    deep = lambda k: F.array_repeat(F.lit(0), (k + 1).cast("int"))
+    at = F.concat(F.lit("c"), F.col("k").cast("string"))
+    boxes = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    boxes = boxes.select(F.col("doc_id").cast("string").alias("doc_id"), at.alias("node_id"), F.when(F.col("k") > 0, F.concat(F.lit("c"), (F.col("k") - 1).cast("string"))).alias("parent_id"), deep(F.col("k")).alias("path"), F.lit("container").alias("kind"), F.when(F.col("k") % 5 > 0, F.concat(F.lit("t"), F.col("k").cast("string"))).alias("title"), ((F.col("doc_id") % 3 == 0) & (F.col("k") == 7)).alias("is_tombstoned"))
+    rows = lines(spark, sf_dir).withColumn("k", F.col("n") % 12)
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("n/"), F.col("n").cast("string")).alias("node_id"), at.alias("parent_id"), F.concat(deep(F.col("k")), F.array(F.col("n") + 1)).alias("path"), F.array("line").alias("spans"), F.floor(F.col("n") / 6).cast("int").alias("page"), (F.col("n") % 5 == 0).alias("is_tombstoned"))
+    return filled(boxes).unionByName(filled(rows))
+
+
+def nested_page_ranges(spark, sf_dir):
+    return evaluation.page_ranges(_nested(spark, sf_dir)).select(_doc(), F.substring("node_id", 2, 9).cast("int").alias("level"), "first_page", "last_page")
+
+
+def nested_sections(spark, sf_dir):
+    rows = chunks.section_paths(_nested(spark, sf_dir)).filter("node_id LIKE 'n/%'")
+    return rows.select(_doc(), number().alias("n"), F.array_join("sections", " > ").alias("sections"))
+
+
+def nested_chunks(spark, sf_dir):
+    """Chunks of lines in the order of the tree; a chunk's header shows all its sections."""
+    nodes = _nested(spark, sf_dir).filter(~F.col("node_id").startswith("n/") | F.get("spans", F.lit(0)).rlike(r"[A-Za-z]"))
+    rows = chunks.build_chunks(nodes, _docs(spark, sf_dir))
+    return rows.groupBy("doc_id", F.regexp_extract("header", r"\| (t[^|]*) \|", 1).alias("sections")).agg(F.sum(F.size("node_ids")).alias("nodes"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages")).select(_doc(), "sections", "nodes", chunks.page_list(F.col("pages")).alias("pages"))
+
+
 def _leaves(spark, sf_dir):
     rows = lines(spark, sf_dir)
     return rows.select(
@@ -300,7 +327,7 @@ def translation_progress(spark, sf_dir):
     return review.translation_progress(blocks, done, "ru").select(_doc(), "done", "total", "percent")
 
 
-_ALL = (main_flow_edges, page_fill, heading_tree, continuation_edges, heading_violations, html_heading_tree, list_runs, heading_blocks, footnote_blocks, caption_targets, toc_sections, table_blocks, diagram_regions, bibliography_blocks, title_page_scores, table_like_pages, rebuilt_pages, page_groups, page_texts, live_counts, page_ranges, chunk_pack, chunk_links, semantic_chunks, instruction_dataset, qa_dataset, chunk_manifest, breadcrumb_header, kg_upsert, dangling_edges, named_edges, reading_sequence, refused_steps, first_steps, markdown_blocks, text_blocks, document_json, full_texts, latex_documents, detected_kinds, translation_queue, translation_progress)
+_ALL = (nested_page_ranges, nested_sections, nested_chunks, main_flow_edges, page_fill, heading_tree, continuation_edges, heading_violations, html_heading_tree, list_runs, heading_blocks, footnote_blocks, caption_targets, toc_sections, table_blocks, diagram_regions, bibliography_blocks, title_page_scores, table_like_pages, rebuilt_pages, page_groups, page_texts, live_counts, page_ranges, chunk_pack, chunk_links, semantic_chunks, instruction_dataset, qa_dataset, chunk_manifest, breadcrumb_header, kg_upsert, dangling_edges, named_edges, reading_sequence, refused_steps, first_steps, markdown_blocks, text_blocks, document_json, full_texts, latex_documents, detected_kinds, translation_queue, translation_progress)
 QUERIES = {f.__name__: f for f in _ALL}
 
 LEVELS = "levels AS (SELECT doc_id, n, CASE WHEN n % 3 = 0 THEN (n * 4 + doc_id) % 5 + 1 END AS level FROM lines)"
@@ -357,6 +384,11 @@ ORACLE_SQL = {
     "page_texts": f"WITH {LINES} SELECT doc_id, (n // 6 + 1)::INT AS page, sha256(string_agg(line, chr(10) ORDER BY n)) AS text_hash FROM lines WHERE n % 5 <> 0 GROUP BY doc_id, n // 6",
     "live_counts": f"WITH {LINES} SELECT doc_id, count(*) FILTER (n % 5 <> 0) + 1 AS n FROM lines GROUP BY doc_id",
     "page_ranges": f"WITH {LINES} SELECT doc_id, min(n // 6) FILTER (n % 5 <> 0)::INT AS first_page, max(n // 6) FILTER (n % 5 <> 0)::INT AS last_page FROM lines GROUP BY doc_id",
+    "nested_page_ranges": f"""WITH {LINES}, k AS (SELECT doc_id, unnest(range(0, 12)) AS level FROM documents)
+        SELECT k.doc_id, level::INT AS level, min(n // 6)::INT AS first_page, max(n // 6)::INT AS last_page FROM k LEFT JOIN lines l ON l.doc_id = k.doc_id AND n % 12 >= level AND n % 5 <> 0 AND NOT (k.doc_id % 3 = 0 AND n % 12 >= 7) WHERE NOT (k.doc_id % 3 = 0 AND level >= 7) GROUP BY ALL""",
+    "nested_sections": f"WITH {LINES} SELECT doc_id, n::INT AS n, array_to_string(list_transform(list_filter(range(0, n % 12 + 1), lambda x: x % 5 > 0), lambda x: 't' || x), ' > ') AS sections FROM lines",
+    "nested_chunks": f"""WITH {LINES}, m AS (SELECT doc_id, n, array_to_string(list_transform(list_filter(range(0, n % 12 + 1), lambda x: x % 5 > 0), lambda x: 't' || x), ' > ') AS sections FROM lines WHERE n % 5 <> 0 AND NOT (doc_id % 3 = 0 AND n % 12 >= 7) AND regexp_matches(line, '[A-Za-z]'))
+        SELECT doc_id, sections, count(*)::BIGINT AS nodes, '[' || array_to_string(list_sort(list_distinct(list(n // 6 + 1))), ', ') || ']' AS pages FROM m GROUP BY ALL""",
     "chunk_pack": f"WITH {PACKED} SELECT doc_id, n::INT AS n, chunk::INT AS chunk FROM packed",
     "chunk_links": f"WITH {PACKED}, c AS (SELECT doc_id, chunk::INT AS chunk, CAST(sum(tokens) AS BIGINT) AS tokens FROM packed GROUP BY ALL) SELECT doc_id, chunk, tokens, lag(chunk) OVER w AS prev, lead(chunk) OVER w AS next FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk)",
     "breadcrumb_header": "SELECT doc_id, '[Context: Book ' || source || CASE WHEN doc_id % 3 = 0 THEN ' | ' || lang || ' > ' || source ELSE '' END || ' | Pages: [' || (doc_id % 7) || ', 12]]' AS header FROM documents",

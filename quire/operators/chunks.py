@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import strip, token_estimate
 from quire.model import ATOMIC, CONTAINER, FIGURE_LIKE, live, made_id, text_joined, text_spaced
+from quire.storage import staged
 
 MAX_TOKENS = 512
 QUIET = ("caption", "blank_page")  # they lend ids, but no text
@@ -44,26 +45,59 @@ def list_text(nodes: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(joined.alias("list_text"))
 
 
-def pack(leaves: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """leaves with chunk: its number in the document. leaves: doc_id, path, node_id, section, is_atomic, tokens.
+FOLD = 4096  # nodes of a section that are folded as one array
 
-    An atomic node is a chunk by itself. Others share one while they have the section of its first node and the sum of their tokens stays within the
-    limit. A sum that starts anew can't be a window, so a document's nodes are folded in order, in the JVM.
-    """
-    state = "struct<chunk:int,section:string,tokens:bigint,open:boolean,out:array<struct<node_id:string,chunk:int>>>"
-    rows = leaves.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("path", "node_id", "section", "is_atomic", F.col("tokens").cast("bigint").alias("tokens")))).alias("_all"))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(None).cast("string").alias("section"), F.lit(0).cast("bigint").alias("tokens"), F.lit(False).alias("open"), F.array().cast("array<struct<node_id:string,chunk:int>>").alias("out")).cast(state)
+
+def _starts_by_fold(rows: DataFrame, max_tokens: int) -> DataFrame:
+    """doc_id, i: where chunks start in sections of at most FOLD nodes."""
+    all_of = F.array_sort(F.collect_list(F.struct("i", F.col("tokens").alias("t"))))
+    start = F.struct(F.lit(max_tokens).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("starts"))
 
     def step(s: Column, x: Column) -> Column:
-        joins = s["open"] & ~x["is_atomic"] & s["section"].eqNullSafe(x["section"]) & (s["tokens"] + x["tokens"] <= max_tokens)
-        chunk = F.when(joins, s["chunk"]).otherwise(s["chunk"] + 1)
-        return F.struct(
-            chunk.alias("chunk"), F.when(joins, s["section"]).otherwise(x["section"]).alias("section"), F.when(joins, s["tokens"] + x["tokens"]).otherwise(x["tokens"]).alias("tokens"), (~x["is_atomic"]).alias("open"),
-            F.concat(s["out"], F.array(F.struct(x["node_id"].alias("node_id"), chunk.alias("chunk")))).alias("out"),
-        ).cast(state)
+        fits = s["sum"] + x["t"] <= max_tokens
+        return F.struct(F.when(fits, s["sum"] + x["t"]).otherwise(x["t"]).alias("sum"), F.when(fits, s["starts"]).otherwise(F.concat(s["starts"], F.array(x["i"]))).alias("starts"))
+
+    folded = rows.groupBy("doc_id", "segment").agg(all_of.alias("_all"))
+    return folded.select("doc_id", F.explode(F.aggregate("_all", start, step)["starts"]).alias("i"))
+
+
+def _starts_by_pointers(rows: DataFrame, max_tokens: int) -> DataFrame:
+    """doc_id, i: the same for longer sections. Each node points to where the next chunk would start if one started at it; the nodes that can be reached from a section's first are found by doubling the pointers."""
+    within = Window.partitionBy("doc_id", "segment").orderBy("before")
+    more = F.count("*").over(within.rangeBetween(1, max_tokens))  # those after it that begin within the limit
+    step = F.when(F.col("total") > F.col("before") + max_tokens, F.col("i") + F.greatest(more, F.lit(1)))
+    jump = staged(rows.withColumn("to", step).select("doc_id", "i", F.when(F.col("to") <= F.col("last"), F.col("to")).alias("to")), "pointers")
+    marked = staged(rows.filter("before = 0").select("doc_id", "i"), "starts")
+    while not jump.filter("to IS NOT NULL").isEmpty():
+        reached = marked.join(jump, ["doc_id", "i"]).filter("to IS NOT NULL").select("doc_id", F.col("to").alias("i"))
+        marked = staged(marked.unionByName(reached), "starts")
+        on = jump.select(F.col("doc_id").alias("_d"), F.col("i").alias("_i"), F.col("to").alias("_to"))
+        jump = staged(jump.filter("to IS NOT NULL").join(on, (F.col("doc_id") == F.col("_d")) & (F.col("to") == F.col("_i"))).select("doc_id", "i", F.col("_to").alias("to")), "pointers")
+    return marked
 
-    out = rows.select("doc_id", F.explode(F.aggregate("_all", start, step)["out"]).alias("o")).select("doc_id", "o.node_id", "o.chunk")
-    return leaves.join(out, ["doc_id", "node_id"])
+
+def pack(leaves: DataFrame, max_tokens: int = MAX_TOKENS, fold: int = FOLD) -> DataFrame:
+    """leaves with chunk: its number in the document. leaves: doc_id, path, node_id, section, is_atomic, tokens (1 at least).
+
+    An atomic node is a chunk by itself. Others share one while they have the section of its first node and the sum of their tokens stays within the limit. Where a section's nodes stand together and fit, windows say it all; a longer stretch is
+    folded in the JVM, and one of over `fold` nodes takes pointers, so no document is one array.
+    """
+    order = Window.partitionBy("doc_id").orderBy("path", "node_id")
+    tokens = F.greatest(F.lit(1), F.col("tokens").cast("bigint"))
+    head = F.col("is_atomic") | F.coalesce(F.lag("is_atomic").over(order), F.lit(True)) | ~F.col("section").eqNullSafe(F.lag("section").over(order))
+    rows = leaves.select("doc_id", "node_id", "path", tokens.alias("tokens"), head.alias("head"), F.row_number().over(order).cast("bigint").alias("i"))
+    rows = rows.withColumn("segment", F.sum(F.col("head").cast("bigint")).over(order))
+    part = Window.partitionBy("doc_id", "segment")
+    rows = rows.withColumns({"before": F.sum("tokens").over(part.orderBy("i")) - F.col("tokens"), "total": F.sum("tokens").over(part), "n": F.count("*").over(part), "last": F.max("i").over(part)})
+    rows = staged(rows, "leaves")
+    long = rows.filter(F.col("total") > max_tokens)
+    starts = _starts_by_fold(long.filter(F.col("n") <= fold), max_tokens)
+    if not (longer := long.filter(F.col("n") > fold)).isEmpty():
+        starts = starts.unionByName(_starts_by_pointers(longer, max_tokens))
+    starts = starts.select(F.col("doc_id").alias("_d"), F.col("i").alias("_i"))
+    marked = rows.join(starts, (F.col("doc_id") == F.col("_d")) & (F.col("i") == F.col("_i")), "left")
+    chunk = F.sum((F.col("head") | F.col("_i").isNotNull()).cast("int")).over(Window.partitionBy("doc_id").orderBy("i")) - 1
+    return leaves.join(marked.select("doc_id", "node_id", chunk.cast("int").alias("chunk")), ["doc_id", "node_id"])
 
 
 def page_list(pages: Column) -> Column:
@@ -77,14 +111,23 @@ def breadcrumb(title: Column, sections: Column, pages: Column) -> Column:
 
 
 def section_paths(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_id, sections: the titles of a node's containers from the outermost, by following parents to a fixed depth of 8."""
-    parents = nodes.filter(F.col("kind") == CONTAINER).select("doc_id", F.col("node_id").alias("id"), F.col("parent_id").alias("up"), F.coalesce("title", F.lit("")).alias("t"))
-    rows = nodes.select("doc_id", "node_id", F.col("parent_id").alias("_at"), F.array().cast("array<string>").alias("sections"))
-    for k in range(8):
-        p = parents.select(F.col("doc_id").alias(f"_d{k}"), F.col("id").alias(f"_i{k}"), F.col("up").alias(f"_u{k}"), F.col("t").alias(f"_t{k}"))
-        rows = rows.join(p, (F.col("doc_id") == F.col(f"_d{k}")) & (F.col("_at") == F.col(f"_i{k}")), "left")
-        rows = rows.select("doc_id", "node_id", F.col(f"_u{k}").alias("_at"), F.when(F.col(f"_i{k}").isNotNull(), F.concat(F.array(f"_t{k}"), "sections")).otherwise(F.col("sections")).alias("sections"))
-    return rows.select("doc_id", "node_id", "sections")
+    """doc_id, node_id, sections: the titles of a node's containers from the outermost, at any depth; containers without a title add nothing.
+
+    Pointers to parents are doubled among the containers, so a depth costs joins by its logarithm; containers that are their own ancestors end where they have been met.
+    """
+    title = F.coalesce("title", F.lit(""))
+    own = F.when(title != "", F.array(title)).otherwise(F.array().cast("array<string>"))
+    boxes = staged(nodes.filter(F.col("kind") == CONTAINER).select("doc_id", F.col("node_id").alias("id"), F.col("parent_id").alias("at"), own.alias("sections")), "containers")
+    most = boxes.groupBy("doc_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    steps = 1
+    while steps < 2 * most and not boxes.filter("at IS NOT NULL").isEmpty():
+        up = boxes.select(F.col("doc_id").alias("_d"), F.col("id").alias("_i"), F.col("at").alias("_at"), F.col("sections").alias("_s"))
+        found = boxes.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("at") == F.col("_i")), "left")
+        boxes = staged(found.select("doc_id", "id", F.col("_at").alias("at"), F.when(F.col("_i").isNotNull(), F.concat("_s", "sections")).otherwise(F.col("sections")).alias("sections")), "containers")
+        steps *= 2
+    above = boxes.select(F.col("doc_id").alias("_d"), F.col("id").alias("_i"), "sections")
+    rows = nodes.select("doc_id", "node_id", "parent_id").join(above, (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_i")), "left")
+    return rows.select("doc_id", "node_id", F.coalesce("sections", F.array().cast("array<string>")).alias("sections"))
 
 
 def chunk_language() -> Column:

@@ -88,12 +88,29 @@ def live_node_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.count_if(~F.col("is_tombstoned") & (F.col("kind") != "list_item")).alias("n"))
 
 
+def _above(rows: DataFrame, depth: str) -> DataFrame:
+    """A row for each node and prefix of its path, shorter than the path and of `depth` elements at least, as _prefix."""
+    ends = F.sequence(F.col(depth), F.size("path") - 1)
+    return rows.filter(F.size("path") > F.col(depth)).select("*", F.explode(F.transform(ends, lambda k: F.slice("path", F.lit(1), k))).alias("_prefix"))
+
+
 def page_ranges(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_id, first_page, last_page of each container's live nodes."""
-    boxes = nodes.filter((F.col("kind") == "container") & ~F.col("is_tombstoned")).select("doc_id", "node_id", "path", F.col("page").alias("own"))
-    leaves = nodes.filter(~F.col("is_tombstoned") & F.col("page").isNotNull()).select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), F.col("page").alias("_pg"))
-    both = boxes.join(leaves, (F.col("doc_id") == F.col("_d")) & (F.slice("_p", F.lit(1), F.size("path")) == F.col("path")), "left")
-    return both.groupBy("doc_id", "node_id").agg(F.coalesce(F.first("own"), F.min("_pg")).alias("first_page"), F.max("_pg").alias("last_page"))
+    """doc_id, node_id, first_page, last_page of each live container, at any depth; what is below a tombstoned node counts for nothing.
+
+    The last page is the greatest of its own and all below. The first is its own; without one, the least of its children's first pages, so a page below a node that has one itself is not looked at. Each node goes to the containers above it by the
+    prefixes of its path, so the work is nodes times depth, and pages are added up before they're shuffled.
+    """
+    placed = nodes.select("doc_id", "node_id", "path", "page", (F.col("kind") == "container").alias("box"), F.coalesce("is_tombstoned", F.lit(False)).alias("dead"))
+    blocked = placed.filter(F.col("dead") | F.col("page").isNotNull()).select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), "dead", F.col("page").isNotNull().alias("paged"))
+    each = _above(placed.filter(~F.col("dead")).withColumn("_one", F.lit(1)).drop("dead"), "_one").join(blocked, (F.col("doc_id") == F.col("_d")) & (F.col("_prefix") == F.col("_p")), "left")
+    state = each.groupBy("doc_id", "node_id", "path").agg(F.coalesce(F.bool_or("dead"), F.lit(False)).alias("_gone"), F.coalesce(F.max(F.when(F.col("paged"), F.size("_prefix"))), F.lit(0)).alias("_shade"))
+    alive = placed.filter(~F.col("dead")).join(state.select(F.col("doc_id").alias("_sd"), F.col("node_id").alias("_sn"), "_gone", "_shade"), (F.col("doc_id") == F.col("_sd")) & (F.col("node_id") == F.col("_sn")), "left").filter(~F.coalesce("_gone", F.lit(False)))
+    leaves = _above(alive.filter("page IS NOT NULL").withColumn("_one", F.lit(1)), "_one")
+    # a container sees a first page only if no node between has one; the longest paged prefix is the node that casts the shade
+    pages = leaves.groupBy(F.col("doc_id").alias("_ld"), F.col("_prefix").alias("_lp")).agg(F.min(F.when(F.size("_prefix") >= F.coalesce("_shade", F.lit(0)), F.col("page"))).alias("_min"), F.max("page").alias("_max"))
+    boxes = alive.filter("box")
+    both = boxes.join(pages, (F.col("doc_id") == F.col("_ld")) & (F.col("path") == F.col("_lp")), "left")
+    return both.select("doc_id", "node_id", F.coalesce("page", "_min").alias("first_page"), F.greatest("page", "_max").alias("last_page"))
 
 
 def up_seconds(events: DataFrame, state: str = "up") -> DataFrame:
