@@ -153,20 +153,25 @@ def toc_lines(c: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
+#: What ends such an entry (blanks or two dots, and a page), and what begins it (a word, a number).
+TOC_TAIL = r"(?iuU)(?:[.\s]{2,}|\s)(\d{1,4}|[ivxlcdm]+)?$"
+TOC_FRONT = rf"(?iuU)^({TOC_KINDS})?\s*([A-Z0-9]+(?:\.\d+)*)?\s*"
+
+
 def toc_line(c: Column) -> Column:
-    """level, number, title, page, display of one such entry; its page is printed, from 1, and null if roman. The level is one more than the number has dots."""
+    """level, number, title, page, display of one such entry; its page is printed, from 1, and null if roman. The level is one more than the number has dots. Both ends are taken off, and the title is what is left."""
     text = strip(c)
-    pattern = rf"(?iuU)^({TOC_KINDS})?\s*([A-Z0-9]+(?:\.\d+)*)?\s*(.*?)(?:\s*[.\s]{{2,}}\s*|\s+)(\d{{1,4}}|[ivxlcdm]+)?\s*$"
-    kind, number, title, last = (F.regexp_extract(text, pattern, k) for k in (1, 2, 3, 4))
-    title = F.regexp_replace(F.regexp_replace(title, r"^[ .·—-]+|[ .·—-]+$", ""), r"(?U)^\s+|\s+$", "")
-    page = last.try_cast("int")
-    prefix = F.array_join(F.filter(F.array(kind, number), lambda x: x != ""), " ")
-    shown = F.when((prefix != "") & (title != ""), F.concat(prefix, F.lit(". "), title)).when(prefix != "", prefix).when(title != "", title).otherwise(text)
-    shown = F.when(page.isNotNull(), F.concat(shown, F.lit(" … "), page.cast("string"))).otherwise(shown)
+    body = F.regexp_replace(text, TOC_TAIL, "")
+    kind, number = F.regexp_extract(body, TOC_FRONT, 1), F.regexp_extract(body, TOC_FRONT, 2)
+    title = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, TOC_FRONT, ""), r"^[ .·—-]+|[ .·—-]+$", ""), r"(?U)^\s+|\s+$", "")
+    page = F.regexp_extract(text, TOC_TAIL, 1).try_cast("int")
+    prefix = F.concat_ws(" ", F.nullif(kind, F.lit("")), F.nullif(number, F.lit("")))
+    name = F.concat_ws(". ", F.nullif(prefix, F.lit("")), F.nullif(title, F.lit("")))
+    shown = F.concat_ws(" … ", F.when(name != "", name).otherwise(text), page.cast("string"))
     level = F.char_length(F.regexp_replace(number, r"[^.]", "")) + 1
     found = F.struct(level.alias("level"), F.nullif(prefix, F.lit("")).alias("number"), title.alias("title"), page.alias("page"), shown.alias("display"))
     bare = F.struct(F.lit(1).alias("level"), F.lit(None).cast("string").alias("number"), text.alias("title"), F.lit(None).cast("int").alias("page"), text.alias("display"))
-    return F.when(text.rlike(pattern), found).otherwise(bare)
+    return F.when(text.rlike(TOC_TAIL), found).otherwise(bare)
 
 
 def caption(c: Column) -> Column:

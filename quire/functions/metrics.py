@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.text import clamp, strip, words
 
@@ -11,19 +15,19 @@ TEDS_BAR, LINK_BAR, WER_BAR = 0.95, 0.90, 0.05
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays, one row of the table after another."""
-    first = F.when(F.size(b) > 0, F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))))).otherwise(F.array(F.lit(0)))
-
-    def row(above: Column, x: Column) -> Column:
-        def cell(done: Column, at: Column) -> Column:
-            left = F.element_at(done, -1)
-            cost = F.when(F.element_at(b, at).eqNullSafe(x), 0).otherwise(1)
-            return F.concat(done, F.array(F.least(left + 1, F.element_at(above, at + 1) + 1, F.element_at(above, at) + cost)))
+    """Levenshtein distance of two arrays; nulls in them are alike. Each distinct element becomes a character of its own, and levenshtein() compares the two texts of these, in two rows of memory."""
+    plain = lambda c: F.transform(c, lambda x: F.coalesce(F.concat(F.lit("v"), x.cast("string")), F.lit("n")))
+    both = F.struct(plain(a).alias("a"), plain(b).alias("b"))
+    known = lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(F.concat(s["a"], s["b"])).alias("k"))
 
-        start = F.array(F.element_at(above, 1) + 1)
-        return F.when(F.size(b) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), start, cell)).otherwise(start)
+    def coded(tokens: Column, k: Column) -> Column:
+        at = lambda t: F.array_position(k, t)
+        point = lambda t: F.lpad(F.hex(F.when(at(t) >= 0xD800, at(t) + 0x800).otherwise(at(t))), 8, "0")  # noqa: E731  the gap of surrogates is left out
+        return F.decode(F.unhex(F.array_join(F.transform(tokens, point), "")), "UTF-32")
 
-    return F.element_at(F.aggregate(a, first, row), -1)
+    # transform() over one element works out each part once
+    bound = F.transform(F.transform(F.array(both), known), lambda s: F.levenshtein(coded(s["a"], s["k"]), coded(s["b"], s["k"])))
+    return F.when(a.isNotNull() & b.isNotNull(), F.get(bound, F.lit(0)))
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:
@@ -50,6 +54,43 @@ def teds(expected: Column, found: Column) -> Column:
     return F.when(both_empty, 1.0).otherwise(clamp(1.0 - edit_distance(a, b) / F.greatest(F.size(a), F.size(b)), 0.0, 1.0))
 
 
+def _tokens(value) -> list[str]:
+    """The tags and values of a JSON value in order: keys sorted, an opening and a closing tag for each, and for each list."""
+    out, waiting = [], [value]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, dict):
+            for key in sorted(x, reverse=True):
+                waiting += [(f"</{key}>",), x[key], (f"<{key}>",)]
+        elif isinstance(x, list):
+            waiting += [("</list>",), *reversed(x), ("<list>",)]
+        else:
+            out.append(str(x).strip())
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_tokens(texts: pd.Series) -> pd.Series:
+    """Structure tokens of JSON texts, nested to any depth; null for what is no JSON."""
+
+    def read(text: str | None) -> list[str] | None:
+        try:
+            return None if text is None else _tokens(json.loads(text))
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(read)
+
+
+def teds_of_json(expected: Column, found: Column) -> Column:
+    """teds() of two tables written as JSON of any shape; null if either is none. Two without any token are alike."""
+    a, b = json_tokens(expected), json_tokens(found)
+    longest = F.greatest(F.size(a), F.size(b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(longest == 0, 1.0).otherwise(clamp(1.0 - edit_distance(a, b) / longest, 0.0, 1.0)))
+
+
 def calibrated(raw: Column, offset: Column) -> Column:
     return clamp(raw - offset, 0.0, 1.0)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.metrics import LINK_BAR, TEDS_BAR, WER_BAR, ndcg_at, recall_at, reciprocal_rank, teds, wer
+from quire.functions.metrics import LINK_BAR, TEDS_BAR, WER_BAR, ndcg_at, recall_at, reciprocal_rank, teds, teds_of_json, wer
 
 #: Severities that block a release.
 BLOCKING = ("critical", "blocker")
@@ -59,9 +59,10 @@ def ece(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
 
 
 def evaluate_samples(samples: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """sample_id, wer, teds, f1, passed. samples: sample_id, reference, hypothesis, expected_grid, found_grid; what isn't expected is perfect. links: sample_id, f1."""
+    """sample_id, wer, teds, f1, passed. samples: sample_id, reference, hypothesis, expected_grid, found_grid (nested arrays, or texts of JSON of any shape; what is no JSON has teds 0); what isn't expected is perfect. links: sample_id, f1."""
     rows = samples.withColumn("wer", F.when(F.col("reference").isNull(), 0.0).otherwise(wer(F.col("reference"), F.coalesce("hypothesis", F.lit("")))))
-    rows = rows.withColumn("teds", F.when(F.col("expected_grid").isNull(), 1.0).otherwise(teds(F.col("expected_grid"), F.coalesce("found_grid", F.array().cast("array<array<string>>")))))
+    found = teds_of_json(F.col("expected_grid"), F.coalesce("found_grid", F.lit("[]"))) if dict(samples.dtypes)["expected_grid"] == "string" else teds(F.col("expected_grid"), F.coalesce("found_grid", F.array().cast("array<array<string>>")))
+    rows = rows.withColumn("teds", F.when(F.col("expected_grid").isNull(), 1.0).otherwise(F.coalesce(found, F.lit(0.0))))
     rows = rows.join(links.select("sample_id", "f1"), "sample_id", "left") if links is not None else rows.withColumn("f1", F.lit(None).cast("double"))
     rows = rows.withColumn("f1", F.coalesce("f1", F.lit(1.0)))
     return rows.select("sample_id", "wer", "teds", "f1", ((F.col("teds") >= TEDS_BAR) & (F.col("f1") >= LINK_BAR) & (F.col("wer") <= WER_BAR)).alias("passed"))
