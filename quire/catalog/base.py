@@ -9,7 +9,9 @@ from quire.model import CONTAINER, NODE, PARAGRAPH
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in fewer splits than there are cores, as those of one small file do, are dealt out to all of them."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

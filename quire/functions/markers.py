@@ -150,7 +150,7 @@ TOC_KINDS = "Section|Chapter|Appendix|Part|Глава|Раздел|Прилож
 def toc_lines(c: Column) -> Column:
     """The entries of a line into which a scanner has glued several: cut before a section word or a number with a dot."""
     parts = F.split(strip(c), rf"(?iuU)\s+(?=(?:{TOC_KINDS})\b|\d+\.\d)")
-    return F.filter(F.transform(parts, strip), lambda p: p != "")
+    return F.filter(parts, lambda p: p != "")
 
 
 #: What ends such an entry (blanks or two dots, and a page), and what begins it (a word, a number).
@@ -159,19 +159,20 @@ TOC_FRONT = rf"(?iuU)^({TOC_KINDS})?\s*([A-Z0-9]+(?:\.\d+)*)?\s*"
 
 
 def toc_line(c: Column) -> Column:
-    """level, number, title, page, display of one such entry; its page is printed, from 1, and null if roman. The level is one more than the number has dots. Both ends are taken off, and the title is what is left."""
+    """level, number, title, page, display of one such entry; its page is printed, from 1, and null if roman. The level is one more than the number has dots. Both ends are taken off, and the title is what is left.
+
+    What isn't an entry has a null body, and all that follows from it is null; so no part stands in a branch of its own, and each is worked out once.
+    """
     text = strip(c)
-    body = F.regexp_replace(text, TOC_TAIL, "")
+    body = F.when(text.rlike(TOC_TAIL), F.regexp_replace(text, TOC_TAIL, ""))
     kind, number = F.regexp_extract(body, TOC_FRONT, 1), F.regexp_extract(body, TOC_FRONT, 2)
     title = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, TOC_FRONT, ""), r"^[ .·—-]+|[ .·—-]+$", ""), r"(?U)^\s+|\s+$", "")
+    some = lambda x: F.nullif(x, F.lit(""))
+    prefix = F.concat_ws(" ", some(kind), some(number))
     page = F.regexp_extract(text, TOC_TAIL, 1).try_cast("int")
-    prefix = F.concat_ws(" ", F.nullif(kind, F.lit("")), F.nullif(number, F.lit("")))
-    name = F.concat_ws(". ", F.nullif(prefix, F.lit("")), F.nullif(title, F.lit("")))
-    shown = F.concat_ws(" … ", F.when(name != "", name).otherwise(text), page.cast("string"))
-    level = F.char_length(F.regexp_replace(number, r"[^.]", "")) + 1
-    found = F.struct(level.alias("level"), F.nullif(prefix, F.lit("")).alias("number"), title.alias("title"), page.alias("page"), shown.alias("display"))
-    bare = F.struct(F.lit(1).alias("level"), F.lit(None).cast("string").alias("number"), text.alias("title"), F.lit(None).cast("int").alias("page"), text.alias("display"))
-    return F.when(text.rlike(TOC_TAIL), found).otherwise(bare)
+    display = F.concat_ws(" … ", F.coalesce(some(F.concat_ws(". ", some(prefix), some(title))), text), page.cast("string"))
+    level = F.coalesce(F.char_length(F.regexp_replace(number, r"[^.]", "")) + 1, F.lit(1))
+    return F.struct(level.alias("level"), some(prefix).alias("number"), F.coalesce(title, text).alias("title"), page.alias("page"), display.alias("display"))
 
 
 def caption(c: Column) -> Column:
