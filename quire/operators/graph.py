@@ -62,21 +62,48 @@ def first_by_track(edges: DataFrame, k: int = 100) -> DataFrame:
     return edges.withColumn("_k", F.row_number().over(Window.partitionBy("track").orderBy("seq"))).filter(F.col("_k") <= k).drop("_k")
 
 
-def on_cycles(edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
+TRACK = 200_000  # edges of a track that one task peels at once
+
+
+def _peeled(track: pd.DataFrame) -> pd.DataFrame:
+    """The edges of a track that are left when nodes without a way in, then those without a way out, are taken off; each edge is looked at twice."""
+    for into, out in (("target_id", "source_id"), ("source_id", "target_id")):
+        after: dict = {}
+        for at, (x, y) in enumerate(zip(track[out], track[into])):
+            after.setdefault(x, []).append((at, y))
+        ways = track[into].value_counts(dropna=False).to_dict()
+        gone, loose = [], [x for x in after if x not in ways]
+        while loose:
+            for at, y in after.get(loose.pop(), ()):
+                gone.append(at)
+                ways[y] -= 1
+                if not ways[y]:
+                    loose.append(y)
+        track = track.drop(track.index[gone])
+    return track
+
+
+def on_cycles(edges: DataFrame, track_edges: int = TRACK) -> DataFrame:
     """Edges of each track that lie on a cycle or between cycles: what is left when nodes without a way in, and those without a way out, are peeled off again and again.
 
-    edges: track, source_id, target_id. Each round is written to the shared folder. A chain takes rounds by its length.
+    edges: track, source_id, target_id. A track of at most `track_edges` is peeled in one task, however long its chains. Of larger ones a layer goes with each round, written to the shared folder, until nothing more goes.
     """
-    left, n = staged(edges, "edges"), -1
-    for _ in range(max_steps):
-        if (now := left.count()) == n or now == 0:
-            return left
+    rows = staged(edges, "edges")
+    large = rows.groupBy(F.col("track").alias("_lt")).count().filter(F.col("count") > track_edges).select("_lt")
+    large = staged(large, "large-tracks")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    same = F.col("track").eqNullSafe(F.col("_lt"))
+    left = rows.join(large, same, "left_anti").groupBy("track").applyInPandas(_peeled, shape)
+    if large.isEmpty():
+        return staged(left, "cyclic-edges")
+    rest, n = staged(rows.join(large, same, "left_semi"), "edges"), -1
+    while (now := rest.count()) not in (n, 0):
         n = now
-        starts = left.select(F.col("track").alias("_t"), F.col("source_id").alias("_n")).distinct()
-        ends = left.select(F.col("track").alias("_u"), F.col("target_id").alias("_m")).distinct()
-        left = left.join(starts, (F.col("track") == F.col("_t")) & (F.col("target_id") == F.col("_n")), "left_semi")
-        left = staged(left.join(ends, (F.col("track") == F.col("_u")) & (F.col("source_id") == F.col("_m")), "left_semi"), "edges")
-    raise ValueError(f"a chain of over {max_steps} edges")
+        starts = rest.select(F.col("track").alias("_t"), F.col("source_id").alias("_n")).distinct()
+        ends = rest.select(F.col("track").alias("_u"), F.col("target_id").alias("_m")).distinct()
+        rest = rest.join(starts, F.col("track").eqNullSafe(F.col("_t")) & F.col("target_id").eqNullSafe(F.col("_n")), "left_semi")
+        rest = staged(rest.join(ends, F.col("track").eqNullSafe(F.col("_u")) & F.col("source_id").eqNullSafe(F.col("_m")), "left_semi"), "edges")
+    return staged(left.unionByName(rest), "cyclic-edges")
 
 
 def assert_acyclic(edges: DataFrame) -> None:
@@ -84,25 +111,51 @@ def assert_acyclic(edges: DataFrame) -> None:
         raise ValueError(f"cyclic reading path through {bad[0].source_id}")
 
 
+class _Order:
+    """A topological order that is kept while edges come (Pearce and Kelly): an edge against it only moves the nodes between its ends."""
+
+    def __init__(self) -> None:
+        self.at: dict = {}
+        self.after: dict = {}
+        self.before: dict = {}
+
+    def _reached(self, start, ways: dict, beyond) -> list:
+        seen, waiting = {start}, [start]
+        while waiting:
+            for y in ways.get(waiting.pop(), ()):
+                if y not in seen and beyond(self.at[y]):
+                    seen.add(y)
+                    waiting.append(y)
+        return sorted(seen, key=self.at.get)
+
+    def accept(self, source, target) -> bool:
+        """Whether the edge closes no cycle with those before; then it's taken in."""
+        for x in (source, target):
+            self.at.setdefault(x, len(self.at))
+        low, high = self.at[target], self.at[source]
+        if low == high:
+            return False
+        if low < high:
+            ahead = self._reached(target, self.after, lambda k: k <= high)
+            if self.at[ahead[-1]] == high:
+                return False
+            moved = self._reached(source, self.before, lambda k: k > low) + ahead
+            for x, k in zip(moved, sorted(self.at[x] for x in moved)):
+                self.at[x] = k
+        self.after.setdefault(source, []).append(target)
+        self.before.setdefault(target, []).append(source)
+        return True
+
+
 def accept_steps(edges: DataFrame) -> DataFrame:
     """edges with accepted: per document and track, in the order of seq, a step that closes a cycle with the accepted ones, or a loop, is refused.
 
-    Each decision hangs on all before, so a document's track is one group, folded in Python.
+    Each decision hangs on all before, so a document's track is one group, folded in Python with a topological order that each step mends where it must.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, after, ok = group.sort_values("seq"), {}, []
-        for source, target in zip(group["source_id"], group["target_id"]):
-            seen, stack = set(), [target]
-            while stack and source not in seen:
-                x = stack.pop()
-                if x not in seen:
-                    seen.add(x)
-                    stack += after.get(x, ())
-            ok.append(source not in seen)
-            if ok[-1]:
-                after.setdefault(source, []).append(target)
-        return group.assign(accepted=ok)
+        group, order = group.sort_values("seq"), _Order()
+        return group.assign(accepted=[order.accept(s, t) for s, t in zip(group["source_id"], group["target_id"])])
 
     rows = edges.select("doc_id", "track", "seq", "source_id", "target_id", "confidence")
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
