@@ -84,7 +84,7 @@ def audit_chain_check(spark, sf_dir):
 def audit_log_built(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("log_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("at"), F.lit("bot").alias("actor"), F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("target"), F.col("props").alias("payload"))
     log = artifacts.audit_rows(e)
-    return log.groupBy("log_id").agg(F.count("*").alias("lines")).join(artifacts.broken_links(log).groupBy("log_id").agg(F.count("*").alias("broken")), "log_id", "left").fillna(0)
+    return log.select("log_id", F.col("seq").cast("long").alias("seq"), "prev_hash", F.sha2("line", 256).alias("hash"))
 
 
 def _vectors(spark, sf_dir):
@@ -222,7 +222,11 @@ ORACLE_SQL = {
     "event_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS starts, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "limited_announcements": "WITH l AS (SELECT user_id, floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) < 3600 AND lag(event_type) OVER w <> event_type AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT user_id AS runner_id, count(*) FILTER (limited) AS limited FROM l GROUP BY 1",
     "audit_chain_check": "WITH s AS (SELECT user_id, event_id, row_number() OVER w AS seq, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id AS log_id, seq FROM s WHERE before % 97 = 0",
-    "audit_log_built": "SELECT user_id AS log_id, count(*) AS lines, 0::BIGINT AS broken FROM events GROUP BY 1",
+    "audit_log_built": """WITH RECURSIVE e AS (SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq,
+                '{"at":"' || lpad(event_id::VARCHAR, 12, '0') || '","actor":"bot","action":"' || event_type || '","target":"' || user_id || '","payload_hash":"' || sha256(props) || '","prev_hash":"' AS head FROM events),
+            c AS (SELECT log_id, seq, repeat('0', 64) AS prev_hash, sha256(head || repeat('0', 64) || '"}') AS hash FROM e WHERE seq = 1
+                UNION ALL SELECT e.log_id, e.seq, c.hash, sha256(e.head || c.hash || '"}') FROM c JOIN e ON e.log_id = c.log_id AND e.seq = c.seq + 1)
+        SELECT log_id, seq, prev_hash, hash FROM c""",
     "retrieval_quality": f"""WITH {RANKED}, top AS (SELECT * FROM r WHERE rank <= 10), w AS (SELECT query_id, count(*) FILTER (il = ql) AS want FROM s GROUP BY 1),
             g AS (SELECT query_id, count(*) FILTER (il = ql) AS hits, coalesce(max(1.0::DOUBLE / rank) FILTER (il = ql), 0) AS mrr, coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (il = ql), 0) AS dcg FROM top GROUP BY 1)
         SELECT query_id, round(CASE WHEN want = 0 THEN 0 ELSE hits / want::DOUBLE END, 6) AS recall, round(mrr, 6) AS mrr, round(CASE WHEN want = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, least(want, 10) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))) END, 6) AS ndcg FROM g JOIN w USING (query_id)""",

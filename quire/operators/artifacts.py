@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,17 +67,29 @@ def same_build(a: DataFrame, b: DataFrame, fields: tuple[str, ...]) -> DataFrame
 def audit_rows(events: DataFrame) -> DataFrame:
     """log_id, seq, line, prev_hash: each line of a log with the hash of the line before, which is part of it.
 
-    A line's hash hangs on all lines before it, so a log is folded in order, in the JVM. events: log_id, at, actor, action, target, payload.
+    A line's hash hangs on all lines before it, so a log is one task's; its rows come sorted, and only the last hash is carried on, so a log of any length fits. events: log_id, at, actor, action, target, payload. Null fields are left out of a line; null logs are one.
     """
-    ordered = events.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("at", "actor", "action", "target", F.sha2("payload", 256).alias("payload_hash")))).alias("e"))
-    shape = "struct<prev:string,out:array<struct<line:string,prev_hash:string>>>"
-
-    def step(s: Column, x: Column) -> Column:
-        line = F.to_json(F.struct(x["at"].alias("at"), x["actor"].alias("actor"), x["action"].alias("action"), x["target"].alias("target"), x["payload_hash"].alias("payload_hash"), s["prev"].alias("prev_hash")))
-        return F.struct(F.sha2(line, 256).alias("prev"), F.concat(s["out"], F.array(F.struct(line.alias("line"), s["prev"].alias("prev_hash")))).alias("out")).cast(shape)
-
-    start = F.struct(F.lit(GENESIS).alias("prev"), F.array().cast("array<struct<line:string,prev_hash:string>>").alias("out")).cast(shape)
-    return ordered.select("log_id", F.posexplode(F.aggregate("e", start, step)["out"]).alias("seq", "r")).select("log_id", (F.col("seq") + 1).alias("seq"), "r.line", "r.prev_hash")
+    fields = F.struct("at", "actor", "action", "target", F.sha2("payload", 256).alias("payload_hash"))
+    order = [F.col("log_id"), F.col("e.at"), F.col("e.actor"), F.col("e.action"), F.col("e.target"), F.col("e.payload_hash")]
+    rows = events.select("log_id", fields.alias("e")).repartition("log_id").sortWithinPartitions(*order).select("log_id", F.to_json("e").alias("head"))
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log, prev, seq = None, GENESIS, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, out = batch["log_id"], []
+            keys = ids.astype(object).where(ids.notna(), None)
+            for key, head in zip(keys, batch["head"]):
+                if key != log or not seq:
+                    log, prev, seq = key, GENESIS, 0
+                line = f"{head[:-1]}{',' if len(head) > 2 else ''}\"prev_hash\":\"{prev}\"}}"
+                seq += 1
+                out.append((seq, line, prev))
+                prev = hashlib.sha256(line.encode()).hexdigest()
+            yield pd.DataFrame({"log_id": ids, **dict(zip(("seq", "line", "prev_hash"), zip(*out)))})
+
+    return rows.mapInPandas(chained, f"log_id {events.schema['log_id'].dataType.simpleString()}, seq int, line string, prev_hash string")
 
 
 def broken_links(log: DataFrame) -> DataFrame:
