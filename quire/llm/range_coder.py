@@ -27,8 +27,7 @@ MAX_IDS = 1 << (UNITS - 1)  # so that each id has a unit of order 0
 HEAD = struct.Struct("<4sIIIIII")  # magic, ids, vocabulary, lanes, words, crc32 of the ids as unsigned 32-bit integers, crc32 of what follows
 MAGIC = b"QRC1"
 _MASK = np.uint64((1 << TOP) - 1)
-_DOWN = np.arange(16, dtype=np.uint8) >> 1
-_UP = np.minimum(np.arange(16) + 1, 15).astype(np.uint8)
+_UP = np.minimum(np.arange(16) + 1, 15)
 
 
 class _Model:
@@ -37,8 +36,7 @@ class _Model:
     def __init__(self, vocabulary: int, n: int):
         self.none = vocabulary
         self.bits = max(8, min(SLOTS.bit_length() - 1, (4 * n).bit_length()))
-        self.next1, self.sure1 = np.full(vocabulary + 1, self.none, np.int64), np.zeros(vocabulary + 1, np.uint8)
-        self.next2, self.sure2 = np.full(1 << self.bits, self.none, np.int64), np.zeros(1 << self.bits, np.uint8)
+        self.table1, self.table2 = (np.full(size, self.none << 4, np.int64) for size in (vocabulary + 1, 1 << self.bits))
         self.counts = np.ones(vocabulary, np.int64)
         self.right = np.tile(np.array([2, 1, 1], np.int64), (512, 1))  # by confidences and agreement: misses, hits of order 2, hits of order 1
         self.met, self.missed, self.steps = [], [], 0
@@ -50,27 +48,27 @@ class _Model:
         self.starts = np.zeros(len(self.counts) + 1, np.int64)
         self.starts[1:] = total * spare // total[-1] + np.arange(1, len(self.counts) + 1)
         self.shares = np.maximum(self.right * ((1 << SHARES) - 64) // self.right.sum(axis=1, keepdims=True), 1)
-        self.shares[:, 0] = (1 << SHARES) - self.shares[:, 1] - self.shares[:, 2]
+        self.share2, self.share1 = self.shares[:, 1].copy(), self.shares[:, 2].copy()
+        self.share0 = (1 << SHARES) - self.share2 - self.share1
 
     def expect(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
         """Predictions of order 2 and 1, their shares and that of order 0; keeps where they come from."""
         self.at1 = last
         self.at2 = (((last * 40_503 + before * 2_654_435_761) & 0xFFFFFFFF) * 2_246_822_519 & 0xFFFFFFFF) >> (32 - self.bits)
-        self.p2, self.p1 = self.next2[self.at2], self.next1[last]
-        self.c2, self.c1 = self.sure2[self.at2], self.sure1[last]
-        self.bucket = (self.c2.astype(np.int64) << 4) + self.c1 + ((self.p1 == self.p2).astype(np.int64) << 8)
-        shares = self.shares[self.bucket]
-        return self.p2, self.p1, shares[:, 1], shares[:, 2], shares[:, 0]
+        two, one = self.table2.take(self.at2), self.table1.take(last)  # an id and its confidence in four bits
+        self.p2, self.p1, self.c2, self.c1 = two >> 4, one >> 4, two & 15, one & 15
+        self.bucket = (self.c2 << 4) + self.c1 + ((self.p1 == self.p2).astype(np.int64) << 8)
+        return self.p2, self.p1, self.share2.take(self.bucket), self.share1.take(self.bucket), self.share0.take(self.bucket)
 
     def learn(self, ids: np.ndarray) -> None:
         hit2, hit1 = ids == self.p2, ids == self.p1
-        outcome = np.where(hit2, 1, np.where(hit1, 2, 0))
+        outcome = hit2 + 2 * (hit1 & ~hit2)
         self.met.append(self.bucket * 3 + outcome)
         self.missed.append(ids[outcome == 0])
-        for hit, sure, at, c, p, table in ((hit2, self.sure2, self.at2, self.c2, self.p2, self.next2), (hit1, self.sure1, self.at1, self.c1, self.p1, self.next1)):
-            weak = ~hit & (c <= 1)
-            table[at] = np.where(weak, ids, p)
-            sure[at] = np.where(hit, _UP[c], np.where(weak, 1, _DOWN[c]))
+        fresh = (ids << 4) + 1
+        for hit, table, at, c, p in ((hit2, self.table2, self.at2, self.c2, self.p2), (hit1, self.table1, self.at1, self.c1, self.p1)):
+            kept = (p << 4) + np.where(hit, _UP.take(c), c >> 1)
+            table[at] = np.where(hit | (c > 1), kept, fresh)
         self.steps += 1
         if self.steps % EVERY == 0:
             self.right += np.bincount(np.concatenate(self.met), minlength=1536).reshape(512, 3)
@@ -113,9 +111,10 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         x = ids[first[:k] + step]
         p2, p1, w2, w1, w0 = model.expect(before[:k], last[:k])
         in2, in1 = x == p2, x == p1
-        zero = model.starts[x]
-        start = np.where(in2, 0, np.where(in1, w2 << UNITS, ((w2 + w1) << UNITS) + w0 * zero))
-        width = np.where(in2, w2 << UNITS, np.where(in1, w1 << UNITS, w0 * (model.starts[x + 1] - zero)))
+        zero = model.starts.take(x)
+        edge2 = w2 << UNITS
+        start = np.where(in2, 0, np.where(in1, edge2, edge2 + (w1 << UNITS) + w0 * zero))
+        width = np.where(in2, edge2, np.where(in1, w1 << UNITS, w0 * (model.starts.take(x + 1) - zero)))
         unit = span[:k] >> np.uint64(SHARES + UNITS)
         sums = low[:k] + unit * start.astype(np.uint64)
         ranges = unit * width.astype(np.uint64)
@@ -178,12 +177,13 @@ def decode(block: bytes) -> np.ndarray:
         unit = span[:k] >> np.uint64(SHARES + UNITS)
         v = np.minimum((code[:k] // unit).astype(np.int64), (1 << (SHARES + UNITS)) - 1)
         edge2, edge1 = w2 << UNITS, (w2 + w1) << UNITS
-        x0 = np.searchsorted(model.starts, np.maximum(v - edge1, 0) // w0, side="right") - 1
         in2, in1 = v < edge2, v < edge1
-        x = np.where(in2, p2, np.where(in1, p1, x0))
-        zero = model.starts[x0]
+        x = np.where(in2, p2, p1)
+        rare = np.flatnonzero(~in1)
+        x[rare] = np.searchsorted(model.starts, (v[rare] - edge1[rare]) // w0[rare], side="right") - 1
+        zero = model.starts.take(x)
         start = np.where(in2, 0, np.where(in1, edge2, edge1 + w0 * zero))
-        width = np.where(in2, edge2, np.where(in1, w1 << UNITS, w0 * (model.starts[x0 + 1] - zero)))
+        width = np.where(in2, edge2, np.where(in1, w1 << UNITS, w0 * (model.starts.take(x + 1, mode="clip") - zero)))
         rest, ranges = code[:k] - unit * start.astype(np.uint64), unit * width.astype(np.uint64)
         short = np.flatnonzero(ranges < np.uint64(1 << LOW))
         while len(short):

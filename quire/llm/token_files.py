@@ -25,7 +25,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,18 +39,21 @@ from quire.llm.shared import staged
 from quire.storage import new_path
 
 BLOCK = 1 << 20  # ids a block
-AT_ONCE = 1 << 20  # characters that are encoded at once
-KNOWN = 1 << 19  # runs that a worker keeps
+AT_ONCE = 1 << 21  # characters that are encoded at once
+KNOWN = 1 << 20  # runs that a worker keeps
 END_ID = 2
 _START, _BLOCK, _END = struct.Struct("<4sI"), struct.Struct("<cIII"), struct.Struct("<cQQI")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"  # all are letters, composed, and in lower case letters too
-_CLEAN = rf"(?<![^\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f])[{_LETTERS}]++(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)"
-_RUNS = re.compile(rf"{_CLEAN}|(?:(?!{_CLEAN})[^ \t\n\r])+")
+_BLANK, _LETTER, _PLAIN, _QUOTE = 1, 2, 3, 4
+_KINDS = np.zeros(256, np.uint8)  # 0: bytes of other characters
+_KINDS[:128] = _PLAIN
+_KINDS[[ord(c) for c in " \t\n\r"]], _KINDS[ord("'")] = _BLANK, _QUOTE
+_KINDS[65:91] = _KINDS[97:123] = _LETTER
+_NO_LETTERS = (0xC397, 0xC3B7, 0xC4B0)  # between U+00C0 and U+017F: the signs of times and division, and the one capital that two characters are in lower case
 MANIFEST = T.StructType([T.StructField(n, T.StringType() if n == "file" else T.LongType()) for n in ("part", "file", "n_docs", "n_ids", "n_bytes")])
 
 
 class Encoder:
-    """Ids of whole texts, as bytes of unsigned 32-bit integers."""
+    """Ids of whole texts."""
 
     def __init__(self, path: str, whole: bool = False):
         import os
@@ -68,15 +70,51 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
         alone = [self.whole or any(m in t for m in self.marks) for t in texts]
-        runs = [[] if a else _RUNS.findall(t) for t, a in zip(texts, alone)]
+        cut, units, upto = _cut(["" if a else t for t, a in zip(texts, alone)])
         if len(self.known) > KNOWN:
             self.known = {}
-        fresh = list(set(chain.from_iterable(runs)) - self.known.keys())
-        self.known.update(zip(fresh, self._encoded(fresh)))
-        known = self.known.__getitem__
-        return [self._encoded([t])[0] if a else b"".join(map(known, r)) for t, a, r in zip(texts, alone, runs)]
+        known = self.known
+        fresh = [u for u in units if u not in known]
+        for k in range(0, len(fresh), 4096):  # as words of one input, which is cheaper than an input each
+            some = fresh[k : k + 4096]
+            made = self.library.encode([u.decode() for u in some], is_pretokenized=True, add_special_tokens=False)
+            stops = 4 * np.cumsum(np.bincount(np.array(made.word_ids, np.int64), minlength=len(some)))
+            data = np.array(made.ids, "<u4").tobytes()
+            known.update(zip(some, (data[i:j] for i, j in zip([0, *stops[:-1]], stops))))
+        found = [known[u] for u in units]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[cut]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(first[cut] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.concatenate([[0], ends])[upto]
+        return [np.frombuffer(self._encoded([t])[0], "<u4") if a else ids[at[k] : at[k + 1]] for k, (t, a) in enumerate(zip(texts, alone))]
+
+
+def _cut(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The runs of texts: for each run the number of its distinct text, these texts, and how many runs come before each text and after the last."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    kind = _KINDS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
+    lead = lead[~np.isin(data[lead].astype(np.int64) * 256 + data[lead + 1], _NO_LETTERS)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    letter = np.concatenate([[False], kind == _LETTER, [False]])
+    start, stop = np.flatnonzero(letter[1:] & ~letter[:-1]), np.flatnonzero(~letter[1:] & letter[:-1])
+    before, after = np.where(start > 0, kind[start - 1], _BLANK), kind[np.minimum(stop, len(kind) - 1)]
+    clean = ((before == _BLANK) | (before == _PLAIN)) & (after != 0)
+    blank = kind == _BLANK
+    begins = np.concatenate([[True], blank[:-1]])
+    begins[start[clean]] = begins[stop[clean]] = True
+    begins &= ~blank
+    at = np.flatnonzero(begins)
+    said = np.cumsum(~blank)
+    offsets = np.append(said[at] - 1, said[-1]).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank].tobytes())]).dictionary_encode()
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    return runs.indices.to_numpy(), runs.dictionary.to_pylist(), np.searchsorted(at, np.concatenate([[0], ends]))
 
 
 @cache
@@ -194,7 +232,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             for start, stop in _groups(texts):
                 out = out or _Writer(name, max(encode.vocabulary, (end_id or 0) + 1), block)
                 for doc_id, coded in zip(ids.slice(start, stop - start).to_pylist(), encode(texts[start:stop])):
-                    out.add(doc_id, np.concatenate([np.frombuffer(coded, "<u4"), tail]))
+                    out.add(doc_id, np.concatenate([coded, tail]))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [out.n_docs], "n_ids": [out.n_ids], "n_bytes": [out.n_bytes]})
