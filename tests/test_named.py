@@ -64,3 +64,13 @@ def test_title_page_is_made_of_its_lines(spark):
     a = made.attrs
     assert (a["book_title"], a["authors"], a["publisher"], a["edition"], a["page_role"]) == ("COMPUTER ARCHITECTURE", "COMPUTER ARCHITECTURE; John Smith", "Springer Press", "2nd edition", "title")
     assert made.spans == ["\n".join(lines)]
+
+
+def test_cells_of_tables_enter_the_queue(spark):
+    grid = '[["fine", "  too   much \\t white   space  "], ["also fine", null], []]'
+    rows = nodes(spark, [{"node_id": "t", "path": [0], "kind": "table", "attrs": {"grid": grid}, "ext_conf": 0.95, "conf": 0.95}, {"node_id": "u", "path": [1], "kind": "table", "attrs": {"grid": "no list"}}, {"node_id": "v", "path": [2], "kind": "table"}, {"node_id": "w", "path": [3], "kind": "table", "attrs": {"grid": grid}, "is_tombstoned": True}])
+    parts = {r.part: (r.node_id, r.conf) for r in review.cell_parts(rows).collect()}
+    assert set(parts) == {"cell/0/0", "cell/0/1", "cell/1/0", "cell/1/1"} and {n for n, _ in parts.values()} == {"t"}
+    assert parts["cell/0/0"][1] == 0.95 and parts["cell/0/1"][1] < 0.95
+    flagged = {r.node_id for r in review.flag(rows, threshold=0.95, parts=review.cell_parts(rows)).collect()}
+    assert "t/cell/0/1" in flagged and "t/cell/0/0" not in flagged
