@@ -35,11 +35,16 @@ def chunk_text() -> Column:
     )
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast: files and shuffles of ids are some fifty times smaller than the rows in memory, so Spark's sizes would let a table of millions of rows onto the driver."""
+    return df.hint("merge")
+
+
 def list_text(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, text of lists: items joined by line, a bullet or the item's number; a tombstoned item leaves a gap in the numbers."""
     items = nodes.filter("kind = 'list_item'").withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("path"))).filter(~F.col("is_tombstoned") & (strip(text_spaced()) != ""))
     style = nodes.filter("kind = 'list'").select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("attrs")["list_style"].alias("_style"))
-    items = items.join(style, (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_n")))
+    items = items.join(shuffled(style), (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_n")))
     line = F.concat(F.when(F.col("_style").isin("ordered", "alpha", "roman"), F.concat(F.col("_i").cast("string"), F.lit(". "))).otherwise("- "), strip(text_spaced()))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", line.alias("line")))), lambda x: x["line"]), "\n")
     return items.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(joined.alias("list_text"))
@@ -69,10 +74,10 @@ def _starts_by_pointers(rows: DataFrame, max_tokens: int) -> DataFrame:
     jump = staged(rows.withColumn("to", step).select("doc_id", "i", F.when(F.col("to") <= F.col("last"), F.col("to")).alias("to")), "pointers")
     marked = staged(rows.filter("before = 0").select("doc_id", "i"), "starts")
     while not jump.filter("to IS NOT NULL").isEmpty():
-        reached = marked.join(jump, ["doc_id", "i"]).filter("to IS NOT NULL").select("doc_id", F.col("to").alias("i"))
+        reached = marked.join(shuffled(jump), ["doc_id", "i"]).filter("to IS NOT NULL").select("doc_id", F.col("to").alias("i"))
         marked = staged(marked.unionByName(reached), "starts")
         on = jump.select(F.col("doc_id").alias("_d"), F.col("i").alias("_i"), F.col("to").alias("_to"))
-        jump = staged(jump.filter("to IS NOT NULL").join(on, (F.col("doc_id") == F.col("_d")) & (F.col("to") == F.col("_i"))).select("doc_id", "i", F.col("_to").alias("to")), "pointers")
+        jump = staged(jump.filter("to IS NOT NULL").join(shuffled(on), (F.col("doc_id") == F.col("_d")) & (F.col("to") == F.col("_i"))).select("doc_id", "i", F.col("_to").alias("to")), "pointers")
     return marked
 
 
@@ -95,9 +100,9 @@ def pack(leaves: DataFrame, max_tokens: int = MAX_TOKENS, fold: int = FOLD) -> D
     if not (longer := long.filter(F.col("n") > fold)).isEmpty():
         starts = starts.unionByName(_starts_by_pointers(longer, max_tokens))
     starts = starts.select(F.col("doc_id").alias("_d"), F.col("i").alias("_i"))
-    marked = rows.join(starts, (F.col("doc_id") == F.col("_d")) & (F.col("i") == F.col("_i")), "left")
+    marked = rows.join(shuffled(starts), (F.col("doc_id") == F.col("_d")) & (F.col("i") == F.col("_i")), "left")
     chunk = F.sum((F.col("head") | F.col("_i").isNotNull()).cast("int")).over(Window.partitionBy("doc_id").orderBy("i")) - 1
-    return leaves.join(marked.select("doc_id", "node_id", chunk.cast("int").alias("chunk")), ["doc_id", "node_id"])
+    return leaves.join(shuffled(marked.select("doc_id", "node_id", chunk.cast("int").alias("chunk"))), ["doc_id", "node_id"])
 
 
 def page_list(pages: Column) -> Column:
@@ -122,11 +127,11 @@ def section_paths(nodes: DataFrame) -> DataFrame:
     steps = 1
     while steps < 2 * most and not boxes.filter("at IS NOT NULL").isEmpty():
         up = boxes.select(F.col("doc_id").alias("_d"), F.col("id").alias("_i"), F.col("at").alias("_at"), F.col("sections").alias("_s"))
-        found = boxes.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("at") == F.col("_i")), "left")
+        found = boxes.join(shuffled(up), (F.col("doc_id") == F.col("_d")) & (F.col("at") == F.col("_i")), "left")
         boxes = staged(found.select("doc_id", "id", F.col("_at").alias("at"), F.when(F.col("_i").isNotNull(), F.concat("_s", "sections")).otherwise(F.col("sections")).alias("sections")), "containers")
         steps *= 2
     above = boxes.select(F.col("doc_id").alias("_d"), F.col("id").alias("_i"), "sections")
-    rows = nodes.select("doc_id", "node_id", "parent_id").join(above, (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_i")), "left")
+    rows = nodes.select("doc_id", "node_id", "parent_id").join(shuffled(above), (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_i")), "left")
     return rows.select("doc_id", "node_id", F.coalesce("sections", F.array().cast("array<string>")).alias("sections"))
 
 
@@ -147,8 +152,8 @@ def build_chunks(nodes: DataFrame, docs: DataFrame, edges: DataFrame | None = No
     nodes: a node table; docs: doc_id, title. Chunks without text are left out. A chunk without a page is on page 1.
     """
     alive = live(nodes)
-    leaves = alive.filter(~F.col("kind").isin(CONTAINER, "list_item")).join(list_text(nodes), ["doc_id", "node_id"], "left")
-    leaves = leaves.withColumn("_text", F.coalesce("list_text", chunk_text())).join(section_paths(nodes), ["doc_id", "node_id"])
+    leaves = alive.filter(~F.col("kind").isin(CONTAINER, "list_item")).join(shuffled(list_text(nodes)), ["doc_id", "node_id"], "left")
+    leaves = leaves.withColumn("_text", F.coalesce("list_text", chunk_text())).join(shuffled(section_paths(nodes)), ["doc_id", "node_id"])
     leaves = leaves.select("doc_id", "node_id", "path", "kind", "page", "_text", "sections", F.col("kind").isin(*ATOMIC).alias("is_atomic"), F.concat_ws("\u0001", "sections").alias("section"), F.greatest(F.lit(1), token_estimate(F.col("_text"))).alias("tokens"), chunk_language().alias("language"))
     packed = pack(leaves, max_tokens)
     parts = F.array_sort(F.collect_list(F.struct("path", "node_id", "kind", F.col("_text").alias("text"), "page", "sections", "language")))
@@ -161,7 +166,7 @@ def build_chunks(nodes: DataFrame, docs: DataFrame, edges: DataFrame | None = No
         F.transform("p", lambda x: x["node_id"]).alias("node_ids"), F.get("p", F.lit(0))["sections"].alias("sections"), F.get("p", F.lit(0))["language"].alias("language"),
         F.transform(F.filter("p", lambda x: x["kind"] == "figure"), lambda x: x["node_id"]).alias("own_figures"), F.transform(F.filter("p", lambda x: x["kind"] == "table"), lambda x: x["node_id"]).alias("own_tables"),
     ).filter("text <> ''")
-    chunks = chunks.join(docs.select("doc_id", F.col("title").alias("_title")), "doc_id", "left")
+    chunks = chunks.join(shuffled(docs.select("doc_id", F.col("title").alias("_title"))), "doc_id", "left")
     chunks = chunks.withColumn("chunk_id", made_id("chunk", F.col("doc_id"), F.get("node_ids", F.lit(0)))).withColumn("tokens", token_estimate(F.col("text")))
     chunks = chunks.withColumn("header", breadcrumb(F.coalesce("_title", F.lit("")), F.col("sections"), F.col("pages"))).drop("_title")
     if edges is not None and entities is not None:

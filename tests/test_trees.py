@@ -105,3 +105,18 @@ def test_page_ranges_equal_recursion(spark, seed):
         rows.append({"node_id": f"n{k}", "parent_id": up["node_id"], "path": [*up["path"], k], "kind": rng.choice(["container", "paragraph", "list"]), "page": rng.choice([None, rng.randint(0, 30)]), "is_tombstoned": rng.random() < 0.1})
     got = sorted(((r.node_id, r.first_page, r.last_page) for r in evaluation.page_ranges(nodes(spark, rows)).collect()), key=str)
     assert got == ranges(rows)
+
+
+def test_tables_that_grow_with_the_nodes_are_not_broadcast(spark, monkeypatch):
+    plans, staged = [], chunks.staged
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, label)
+
+    monkeypatch.setattr(chunks, "staged", seen)
+    table = nodes(spark, chain(20))
+    docs = table.select("doc_id").distinct().withColumn("title", F.lit("Book"))
+    plans.append(chunks.section_paths(table)._jdf.queryExecution().executedPlan().toString())
+    plans.append(chunks.build_chunks(table, docs)._jdf.queryExecution().executedPlan().toString())
+    assert any("Join" in p for p in plans[:-2]) and not any("Broadcast" in p for p in plans)
