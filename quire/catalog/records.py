@@ -9,6 +9,7 @@ from quire.catalog.base import LINES, line_nodes, number, table
 from quire.catalog.text import MEASURES
 from quire.functions.text import least_confidence
 from quire.operators import artifacts, evaluation, review, rules
+from quire.storage import staged
 from quire.streaming import jobs
 
 
@@ -95,7 +96,7 @@ def _vectors(spark, sf_dir):
 def retrieval_quality(spark, sf_dir):
     """Items of a query's label are relevant: ranked pairs are compared by label, and what is wanted is counted by label."""
     v, queries = _vectors(spark, sf_dir)
-    ranked = evaluation.nearest_neighbours(v, queries, 10)
+    ranked = staged(evaluation.nearest_neighbours(v, queries, 10), "ranked")  # read twice
     label = lambda name: v.select(F.col("vec_id").alias(f"{name}_id"), F.col("label").alias(name))
     relevant = ranked.join(label("item"), "item_id").join(label("query"), "query_id").filter("item = query").select("query_id", "item_id")
     wanted = queries.join(v.groupBy("label").agg((F.count("*") - 1).alias("want")), "label").select(F.col("vec_id").alias("query_id"), "want")

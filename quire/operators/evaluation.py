@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.metrics import LINK_BAR, TEDS_BAR, WER_BAR, ndcg_at, recall_at, reciprocal_rank, teds, teds_of_json, wer
+from quire.operators import vector_index
 
 #: Severities that block a release.
 BLOCKING = ("critical", "blocker")
@@ -134,21 +137,36 @@ def memory_in_use(models: DataFrame) -> DataFrame:
     return loaded.groupBy("runner_id").agg(F.sum("vram_mb").alias("vram_mb"), F.min_by("model", "last_used").alias("lru"))
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, item_id, rank by cosine, ties by id, over every vector but the query itself. queries: a stated set; vectors: vec_id, embedding.
+def _units(column: pd.Series, width: int) -> np.ndarray:
+    """Unit vectors; those without a direction (null, zero, not finite) are not numbers."""
+    if any(v is not None and len(v) != width for v in column):
+        raise ValueError(f"vectors must all have {width} numbers")
+    rows = np.array([np.full(width, np.nan) if v is None else v for v in column], dtype=np.float64).reshape(len(column), width)
+    with np.errstate(all="ignore"):
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
-    Each vector meets the queries in a nested loop; the best k of each task go on.
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int, part: int = vector_index.PART, held: int = vector_index.QUERIES) -> DataFrame:
+    """query_id, item_id, rank by cosine, ties by id, over every vector but the query itself. queries: a stated set; vectors: vec_id, embedding. What has no direction comes last, by id.
+
+    Exact: each part of the vectors meets each part of the queries in a task of its own, which scores them by blocks, and the best k of each task go on. The work is the product of both, memory that of two parts.
     """
-    cast = lambda c: F.transform(c, lambda v: v.cast("double"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda c: F.sqrt(dot(c, c))
-    v = vectors.select(F.col("vec_id").alias("item_id"), cast("embedding").alias("v"))
-    v = v.withColumn("nv", norm(F.col("v")))
-    q = queries.select(F.col("vec_id").alias("query_id"), cast("embedding").alias("q"))
-    q = q.withColumn("nq", norm(F.col("q")))
-    both = v.join(q, F.col("item_id") != F.col("query_id")).withColumn("score", F.round(dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), 9))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "item_id", "rank")
+    kind, query_kind = vectors.schema["vec_id"].dataType.simpleString(), queries.schema["vec_id"].dataType.simpleString()
+    parts, chunks = max(1, -(-vectors.count() // part)), max(1, -(-queries.count() // held))
+    dealt = lambda df, name, n, other, m: df.filter("vec_id IS NOT NULL").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(F.col("vec_id").cast("string")), F.lit(n)).cast("int").alias(name), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    rows, asked = dealt(vectors, "part", parts, "chunk", chunks), dealt(queries, "chunk", chunks, "part", parts)
+
+    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        left = left.sort_values("id")
+        ids, query_ids = left["id"].to_numpy(), right["id"].to_numpy()
+        width = max((len(v) for side in (left, right) for v in side["v"] if v is not None), default=0)
+        q, at, score = vector_index.best_rows(ids, _units(left["v"], width), query_ids, _units(right["v"], width), k)
+        return pd.DataFrame({"query_id": query_ids[q], "item_id": ids[at], "score": score})
+
+    keys = ["part", "chunk"]
+    return vector_index.ranked(rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(scored, f"query_id {query_kind}, item_id {kind}, score double"), k)
 
 
 def running_total(df: DataFrame, key: str, order: str, change: Column) -> DataFrame:

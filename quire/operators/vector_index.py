@@ -1,7 +1,7 @@
 """Nearest vectors by an inverted index: cells around fitted centres, of which a query probes the nearest.
 
-Centres are fitted on a bounded sample of distinct rows; every row of the table is in one cell. A cell with many rows is dealt out in parts, and so are the queries that probe it, so no task holds more than PART rows against
-QUERIES queries. How many cells a query must probe for a recall is measured against the exact result on a bounded sample of queries (probes_for). With all cells probed the result is exact.
+Centres are fitted on a bounded sample of distinct rows; every row of the table is in one cell. A cell with many rows is dealt out in parts, and cells and parts stand on shelves of fewer than two times PART rows. A query goes once to each shelf
+with a cell that it probes, so no task holds more than a shelf against QUERIES queries, and it scores them by blocks. How many cells a query must probe for a recall is measured against the exact result on a bounded sample of queries (probes_for). With all cells probed the result is exact.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from quire.storage import staged
 
 SAMPLE = 20_000  # rows that centres are fitted on, at most
 TRIED = 200  # queries that probes are chosen by, at most
-PART, QUERIES = 20_000, 2_000  # rows of a cell, and queries, that one task holds at once
+PART, QUERIES = 20_000, 10_000  # rows of a part, and queries, that one task holds at once
+BLOCK = 512, 4096  # queries and rows that are scored at once, 16 MB
+SENT = 20_000  # rows of queries that are sent on at once
 ROUNDS = 10
 
 
@@ -53,63 +55,130 @@ def centres(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE,
     return found
 
 
-def _celled(vectors: DataFrame, found: np.ndarray, probes: int) -> DataFrame:
-    """id, v (unit), cell: a row for each of the nearest cells."""
+def _near(rows: pd.DataFrame, found: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vectors of some rows, and their nearest cells."""
     width = found.shape[1]
+    if any(len(v) != width for v in rows["v"]):
+        raise ValueError(f"vectors must have {width} numbers, as those of the index")
+    v = _unit(np.array(rows["v"].tolist()))
+    return v, np.argsort(-(v @ found.T), axis=1, kind="stable")[:, :probes]
+
+
+def _celled(vectors: DataFrame, found: np.ndarray) -> DataFrame:
+    """id, v (unit), cell: the nearest one."""
 
     def deal(batches):
         for rows in batches:
-            if not len(rows):
-                continue
-            if any(len(v) != width for v in rows["v"]):
-                raise ValueError(f"vectors must have {width} numbers, as those of the index")
-            v = _unit(np.array(rows["v"].tolist()))
-            near = np.argsort(-(v @ found.T), axis=1, kind="stable")[:, :probes]
-            n = near.shape[1]
-            yield pd.DataFrame({"id": np.repeat(rows["vec_id"].to_numpy(), n), "v": list(np.repeat(v, n, axis=0)), "cell": near.ravel()})
+            if len(rows):
+                v, near = _near(rows, found, 1)
+                yield pd.DataFrame({"id": rows["vec_id"].to_numpy(), "v": list(v), "cell": near[:, 0]})
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
     return _usable(vectors).mapInPandas(deal, f"id {kind}, v array<double>, cell int")
 
 
 def build(vectors: DataFrame, found: np.ndarray, part: int = PART) -> DataFrame:
-    """The index: id, v, cell, part, parts; written to the shared folder. vectors: vec_id, embedding. Rows without a direction (null, zero, not finite) aren't in it."""
-    rows = staged(_celled(vectors, found, 1), "cells")
-    parts = rows.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))  # a row for each cell
-    dealt = rows.join(F.broadcast(parts), F.col("cell") == F.col("c")).drop("c")
-    return staged(dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "vector-index")
+    """The index: id, v, cell, part, parts, shelf; written to the shared folder. vectors: vec_id, embedding. Rows without a direction (null, zero, not finite) aren't in it."""
+    rows = staged(_celled(vectors, found), "cells")
+    n = rows.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("n"), F.ceil(F.count("*") / part).cast("int").alias("parts"))  # a row for each cell
+    each = n.select("c", "parts", (F.col("n") / F.col("parts")).alias("n"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    before = F.sum("n").over(Window.orderBy("c", "p")) - F.col("n")
+    shelves = each.select("c", "p", "parts", F.floor(before / part + 1e-9).cast("int").alias("shelf"))
+    shelves = shelves.groupBy("c", "parts").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "shelf"))), lambda x: x["shelf"]).alias("shelves"))
+    dealt = rows.join(F.broadcast(shelves), F.col("cell") == F.col("c")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return staged(dealt.select("id", "v", "cell", "part", "parts", F.get("shelves", F.col("part")).alias("shelf")), "vector-index")
+
+
+def best_rows(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, row, score: for each query the k rows of the greatest products, rounded to 9 places, ties by id, but for rows of its own id. ids ascend. Rows and queries that aren't finite have -inf.
+
+    Blocks of BLOCK are scored one after another, and of each only what beats the k best so far is kept. allowed: gives, for places of queries and of rows, which pairs count.
+    """
+    low, high = np.searchsorted(ids, query_ids, "left"), np.searchsorted(ids, query_ids, "right")
+    odd_rows, odd_queries = ~np.isfinite(rows).all(axis=1), ~np.isfinite(queries).all(axis=1)
+    rows, queries = np.where(odd_rows[:, None], 0.0, rows), np.where(odd_queries[:, None], 0.0, queries)
+    out = []
+    for a in range(0, len(queries), BLOCK[0]):
+        some = slice(a, min(a + BLOCK[0], len(queries)))
+        n = some.stop - a
+        q, at, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        bar, full = np.full(n, -np.inf), np.zeros(n, dtype=bool)
+        for c in range(0, len(rows), BLOCK[1]):
+            these = slice(c, min(c + BLOCK[1], len(rows)))
+            z = queries[some] @ rows[these].T
+            z[:, odd_rows[these]] = -np.inf
+            z[odd_queries[some]] = -np.inf
+            if allowed is not None:
+                z[~allowed(some, these)] = np.nan
+            for i in np.flatnonzero((low[some] < high[some]) & (low[some] < these.stop) & (high[some] > c)):
+                z[i, max(low[a + i] - c, 0) : max(high[a + i] - c, 0)] = np.nan
+            open_ = np.flatnonzero(~full)
+            if len(open_):
+                last = min(k, z.shape[1]) - 1
+                least = -np.partition(-z[open_], last, axis=1)[:, last]  # what is left out comes last
+                bar[open_] = np.where(np.isnan(least), -np.inf, least - 1e-9)
+            new_q, new_at = np.nonzero(z >= bar[:, None])
+            if not len(new_q):
+                continue
+            q, at, score = np.concatenate((q, new_q)), np.concatenate((at, new_at + c)), np.concatenate((score, np.round(z[new_q, new_at], 9)))
+            order = np.lexsort((at, -score, q))
+            q, at, score = q[order], at[order], score[order]
+            starts = np.searchsorted(q, np.arange(n))
+            kept = np.arange(len(q)) - starts[q] < k
+            q, at, score = q[kept], at[kept], score[kept]
+            ends = np.searchsorted(q, np.arange(n), "right")
+            full = np.bincount(q, minlength=n) >= k
+            bar[full] = score[ends[full] - 1] + 2.5e-10  # an equal score of a later id loses
+        out.append((q + a, at, score))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+
+
+def ranked(made: DataFrame, k: int) -> DataFrame:
+    """query_id, item_id, rank of query_id, item_id, score."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return made.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "item_id", "rank")
 
 
 def search(index: DataFrame, found: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """query_id, item_id, rank: the k nearest by cosine among the rows of the probed cells, ties by id, but for the query itself. queries: vec_id, embedding.
 
-    Scores are rounded to 9 places, as in nearest_neighbours(). Each part of a cell gives k rows for each of its queries.
+    Scores are rounded to 9 places, as in nearest_neighbours(). Each shelf gives k rows for each of its queries, which come with the cells they probe as bits.
     """
     kind, query_kind = index.schema["id"].dataType.simpleString(), queries.schema["vec_id"].dataType.simpleString()
-    parts = index.select(F.col("cell").alias("c"), "parts").distinct()
-    asked = _celled(queries, found, probes).join(F.broadcast(parts), F.col("cell") == F.col("c"))
-    asked = asked.select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    chunk = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.ceil(F.col("n") / QUERIES)).cast("long")).cast("int")
-    n = asked.groupBy(F.col("cell").alias("c")).agg(F.count_distinct("id").alias("n"))
-    asked = asked.join(F.broadcast(n), F.col("cell") == F.col("c")).withColumn("chunk", chunk).drop("c", "n")
-    chunks = asked.select(F.col("cell").alias("c"), F.col("chunk").alias("h")).distinct()
-    rows = index.join(F.broadcast(chunks), F.col("cell") == F.col("c")).select("id", "v", "cell", "part", F.col("h").alias("chunk"))
+    stands = index.select("cell", "shelf").distinct().collect()  # a row for each cell and part
+    member = np.zeros((len(found), 1 + max((r.shelf for r in stands), default=0)), dtype=np.float32)
+    for r in stands:
+        member[r.cell, r.shelf] = 1
+
+    def deal(batches):
+        for batch in batches:
+            size = max(1, SENT // member.shape[1])
+            for i in range(0, len(batch), size):
+                rows = batch.iloc[i : i + size]
+                v, near = _near(rows, found, probes)
+                probed = np.zeros((len(rows), len(found)), dtype=bool)
+                np.put_along_axis(probed, near, True, axis=1)
+                bits = np.array([x.tobytes() for x in np.packbits(probed, axis=1)], dtype=object)
+                q, shelf = np.nonzero(probed.astype(np.float32) @ member)
+                yield pd.DataFrame({"id": rows["vec_id"].to_numpy()[q], "v": list(v[q]), "probed": bits[q], "shelf": shelf.astype(np.int32)})
+
+    asked = _usable(queries).mapInPandas(deal, f"id {query_kind}, v array<double>, probed binary, shelf int")
+    chunks = max(1, -(-queries.count() // QUERIES))
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int"))
+    rows = index.select("id", "v", "cell", "shelf", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
         left = left.sort_values("id")
-        ids = left["id"].to_numpy()
-        score = np.round(np.array(right["v"].tolist()) @ np.array(left["v"].tolist()).T, 9)
-        score[right["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        made = pd.DataFrame({"query_id": np.repeat(right["id"].to_numpy(), best.shape[1]), "item_id": ids[best].ravel(), "score": np.take_along_axis(score, best, axis=1).ravel()})
-        return made[made["score"] > -np.inf]
-
-    keys = ["cell", "part", "chunk"]
-    made = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(scored, f"query_id {query_kind}, item_id {kind}, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return made.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "item_id", "rank")
+        ids, query_ids, cell = left["id"].to_numpy(), right["id"].to_numpy(), left["cell"].to_numpy()
+        bits = np.frombuffer(b"".join(right["probed"]), dtype=np.uint8).reshape(len(right), -1)
+        allowed = lambda some, these: np.unpackbits(bits[some], axis=1)[:, cell[these]].astype(bool)
+        q, at, score = best_rows(ids, np.array(left["v"].tolist()), query_ids, np.array(right["v"].tolist()), k, None if probes >= len(found) else allowed)
+        return pd.DataFrame({"query_id": query_ids[q], "item_id": ids[at], "score": score})
+
+    keys = ["shelf", "chunk"]
+    return ranked(rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(scored, f"query_id {query_kind}, item_id {kind}, score double"), k)
 
 
 def recall_of(got: DataFrame, exact: DataFrame) -> float:

@@ -64,3 +64,28 @@ def test_empty_and_other_widths(spark):
     assert vi.search(index, found, none, 3, 1).collect() == []
     with pytest.raises(Exception, match="must have 2 numbers"):
         vi.search(index, found, spark.createDataFrame([(3, [1.0])], "vec_id long, embedding array<double>"), 3, 1).collect()
+
+
+def test_exact_neighbours_by_parts_equal_plain_sorting(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, (rng.normal(size=8) if k % 3 else np.eye(8)[k % 2]).tolist()) for k in range(300)] + [(400, None), (401, [0.0] * 8)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = evaluation.nearest_neighbours(v, v.filter("vec_id % 20 = 0"), 7, part=90, held=6)
+    unit = {k: np.array(x) / np.linalg.norm(x) for k, x in rows[:300]}
+    score = lambda q, k: round(float(unit[q] @ unit[k]), 9) if q in unit and k in unit else -np.inf
+    want = [(q, n + 1, k) for q in [*range(0, 300, 20), 400] for n, k in enumerate(sorted((k for k, _ in rows if k != q), key=lambda k: (-score(q, k), k))[:7])]
+    assert triples(found) == sorted(want)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_scores_are_held_by_blocks_and_queries_go_once_to_a_shelf(spark, monkeypatch):
+    monkeypatch.setattr(vi, "BLOCK", (3, 5))
+    rng = np.random.default_rng(6)
+    rows, queries = rng.normal(size=(40, 4)), rng.normal(size=(11, 4))
+    q, at, score = vi.best_rows(np.arange(40), rows, np.arange(100, 111), queries, 4)
+    exact = np.round(queries @ rows.T, 9)
+    assert at.reshape(11, 4).tolist() == np.argsort(-exact, axis=1, kind="stable")[:, :4].tolist() and q.tolist() == np.repeat(np.arange(11), 4).tolist()
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    index = vi.build(v, vi.centres(v, 20), part=10)
+    shelves = index.groupBy("shelf").agg(F.count_distinct("cell").alias("cells"), F.count("*").alias("n")).collect()
+    assert len(shelves) <= 5 and max(r.cells for r in shelves) > 1 and max(r.n for r in shelves) < 20
