@@ -1,11 +1,14 @@
 import json
 import random
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from quire.model import nodes
 from quire.operators import analyzers as a
+from quire import storage
 from quire.plans.runner import DEFAULT, Operator, run_pipeline, validate
 
 
@@ -211,3 +214,12 @@ def test_layout_does_not_matter(spark):
     one = a.captions(a.callouts(a.lists(df)))
     two = a.captions(a.callouts(a.lists(df.orderBy(F.desc("path")).repartition(3))))
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_runner_leaves_the_last_table_alone(spark):
+    def folders():
+        return set(glob.glob(f"{storage.shared_folder(spark)}/quire-{spark.sparkContext.applicationId}/*"))
+
+    df, before = tree(spark, ["• one", "• two", "Note: x", "Figure 1-2 y"]), folders()
+    out = run_pipeline(df, DEFAULT)
+    assert [f.split("/")[-1].rsplit("-", 1)[0] for f in folders() - before] == [DEFAULT[-1].name] and out.nodes.count() == df.count() + 1
