@@ -6,8 +6,8 @@ have embeddings and output weights of their own; the others share those of their
 share of the bin's tokens in the corpus. The sum of log P(word | words on both sides) over all tokens scores a document.
 
 A text is tokenised once: its words as 32-bit codes (24 bits of a hash, and the ending's bin in the last 8) are written to the shared folder. All counts are of the whole corpus. The network trains in numpy on
-the executors: in each round every task masks an eighth of its tokens, other ones in each round, takes gradient steps (Adagrad) from the common weights, and sends its weights; their mean, by numbers of masked
-tokens and summed up in two steps, is the next round's start. A quarter of all places are predicted in training; a document of n words has none of them with a probability of (3/4)^n. Work and traffic follow the size of the corpus.
+the executors: in each round every task masks a part of its tokens, other ones in each round, takes gradient steps (Adagrad) from the common weights, and sends its weights; their mean, by numbers of masked
+tokens and summed up in two steps, is the next round's start. The rounds' parts make up the whole corpus: each place of each document is predicted once in training. Work and traffic follow the size of the corpus.
 
 The driver holds the vocabulary, the weights (some 1.2 MB) and the counts of rare words, which share SLOTS slots at most (16 MB) by their hash once there are more of them.
 """
@@ -28,9 +28,10 @@ from quire.llm.shared import discard, packed, staged, unpacked
 
 KNOWN, BINS, CLASSES, SLOTS = 4096, 256, 64, 1 << 22
 AROUND = (-2, -1, 1, 2)
-HIDDEN, ROUNDS, SHARE, BATCH, RATE, START, SEED = 32, 2, 8, 2048, 0.1, 0.01, 42
+HIDDEN, ROUNDS, SHARE, BATCH, RATE, START, SEED = 32, 2, 8, 8192, 0.1, 0.01, 42
 CACHE, CHUNK, PIECES, GROUPS = 300_000, 1 << 14, 32, 64  # words held; tokens of a piece of work; pieces of the weights, groups of tasks that are summed up
 STEPS_OF_2 = 16
+NEAR = 512  # rows of a softmax at a time, which stay in the cache
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
@@ -176,37 +177,50 @@ class Network:
         """Of -log P summed over the examples, by weight; that of e is of the rows that come second."""
         w, width = self.w, self.w["u"].shape[1]
         order, ends = _by_class(y // width)
-        y, x = y[order], x[order]
-        e = [w["e"][x[:, o]] for o in range(len(AROUND))]
-        h = np.tanh(sum(a @ t for a, t in zip(e, w["t"])) + w["b"])
-        p = _error(h, w["c"], w["cb"], y // width)
-        g = {"c": h.T @ p, "cb": p.sum(0), "u": np.zeros_like(w["u"]), "ub": np.zeros_like(w["ub"])}
-        back = p @ w["c"].T
+        y = y[order]
+        ids = np.flatnonzero(np.bincount(x.reshape(-1)))
+        number = np.zeros(len(w["e"]), dtype=np.uint16 if len(ids) <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+        number[ids] = np.arange(len(ids))
+        near, e = [number[c] for c in np.take(x.T, order, axis=1)], w["e"][ids]
+        h = np.tanh(sum(np.take(e @ t, c, axis=0) for c, t in zip(near, w["t"])) + w["b"])
+        g, back = {k: np.zeros_like(w[k]) for k in ("c", "cb", "u", "ub")}, np.empty_like(h)
+        for i in range(0, len(y), NEAR):
+            part = slice(i, i + NEAR)
+            p = _error(h[part], w["c"], w["cb"], y[part] // width)
+            g["c"] += h[part].T @ p
+            g["cb"] += np.ones(len(p), dtype=p.dtype) @ p
+            np.matmul(p, w["c"].T, out=back[part])
         for k, a, b in ends:
             p = _error(h[a:b], w["u"][k].T, w["ub"][k], y[a:b] - k * width)
-            g["u"][k], g["ub"][k] = p.T @ h[a:b], p.sum(0)
+            g["u"][k], g["ub"][k] = p.T @ h[a:b], np.ones(b - a, dtype=p.dtype) @ p
             back[a:b] += p @ w["u"][k]
         back *= 1 - h * h
-        g["t"], g["b"] = np.stack([a.T @ back for a in e]), back.sum(0)
-        ids = x.T.reshape(-1)
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g["e"] = np.add.reduceat(np.concatenate([back @ t.T for t in w["t"]])[order], first)
-        return g, ids[order][first]
+        g["t"], g["b"], g["e"] = np.empty_like(w["t"]), back.sum(0), np.zeros_like(e)
+        for o, c in enumerate(near):  # summed by id, so the matrices multiply a row for each id and not for each place
+            order = np.argsort(c, kind="stable")
+            first = np.flatnonzero(np.diff(c[order].astype(np.int64), prepend=-1))
+            at, sums = c[order[first]], np.add.reduceat(np.take(back, order, axis=0), first)
+            g["t"][o] = e[at].T @ sums
+            g["e"][at] += sums @ w["t"][o].T
+        return g, ids
 
 
 def _log_of(h: np.ndarray, c: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The logarithm of the softmax at one column of each row. The biases are those of probabilities, so exp() has room."""
-    z = h @ c + bias
+    if len(h) > NEAR:
+        return np.concatenate([_log_of(h[i : i + NEAR], c, bias, at[i : i + NEAR]) for i in range(0, len(h), NEAR)])
+    z = h @ c
+    z += bias
     mine = z[np.arange(len(z)), at]
     return mine - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=z.dtype))
 
 
 def _error(h: np.ndarray, c: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The softmax less 1 at one column of each row."""
-    p = h @ c + bias
+    p = h @ c
+    p += bias
     np.exp(p, out=p)
-    p /= (p @ np.ones(p.shape[1], dtype=p.dtype))[:, None]
+    p *= (1 / (p @ np.ones(p.shape[1], dtype=p.dtype)))[:, None]
     p[np.arange(len(p)), at] -= 1
     return p
 
@@ -235,16 +249,17 @@ class Trainer:
             self.network.w[k][at] -= self.rate * g / np.sqrt(self.sums[k][at])
 
 
-def masked(codes: np.ndarray, round_: int) -> np.ndarray:
-    """The share of the places that a round predicts, by a hash of the place and the words there and before."""
+def masked(codes: np.ndarray, round_: int, rounds: int = SHARE) -> np.ndarray:
+    """The places that a round predicts, by a hash of the place and the words there and before. SHARE parts are dealt out to the rounds, so that each place is in one of them; rounds beyond SHARE begin anew."""
     mixed = codes ^ np.arange(len(codes), dtype=np.uint32)
     mixed[1:] += codes[:-1] >> 7
     mixed = (mixed ^ (mixed >> 15)) * np.uint32(0x9E3779B1)
-    return (mixed >> 16) % SHARE == round_ % SHARE
+    parts = min(rounds, SHARE)
+    return (mixed >> 16) % SHARE % parts == round_ % parts
 
 
-def _round(tokens: DataFrame, vocabulary, network, round_: int) -> np.ndarray | None:
-    """The mean of the weights of all tasks after their steps; None if there is no token."""
+def _round(tokens: DataFrame, vocabulary, network, round_: int, rounds: int) -> tuple[np.ndarray | None, int]:
+    """The mean of the weights of all tasks after their steps, None if there is no token; and how many places they predicted."""
 
     def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -255,7 +270,7 @@ def _round(tokens: DataFrame, vocabulary, network, round_: int) -> np.ndarray |
             texts = [stored(t) for t in batch["codes"]]
             for some in chunks(texts):
                 y, x = windows([v.ids(texts[k])[0] for k in some], v.edge)
-                here = np.concatenate([masked(texts[k], round_) for k in some]).nonzero()[0]
+                here = np.concatenate([masked(texts[k], round_, rounds) for k in some]).nonzero()[0]
                 rng.shuffle(here)
                 y, x = np.concatenate((kept[0], y[here])), np.concatenate((kept[1], x[here]))
                 whole = len(y) // BATCH * BATCH
@@ -276,14 +291,14 @@ def _round(tokens: DataFrame, vocabulary, network, round_: int) -> np.ndarray |
     sent = tokens.select("codes").mapInPandas(trained, schema).groupBy("piece", "group").applyInPandas(summed, schema)
     sent = sent.withColumn("group", F.lit(0)).groupBy("piece").applyInPandas(summed, schema)
     rows = sorted(sent.collect(), key=lambda r: r.piece)  # one set of weights
-    return np.concatenate([np.frombuffer(r.sums, dtype=np.float32).astype(np.float64) / r.n for r in rows]) if rows else None
+    return (np.concatenate([np.frombuffer(r.sums, dtype=np.float32).astype(np.float64) / r.n for r in rows]) if rows else None), max((r.n for r in rows), default=0)
 
 
 class Model:
-    """A vocabulary and a trained network."""
+    """A vocabulary and a network, and how many places it was trained on."""
 
-    def __init__(self, vocabulary: Vocabulary, network: Network) -> None:
-        self.vocabulary, self.network, self.tables = vocabulary, network, network.tables()
+    def __init__(self, vocabulary: Vocabulary, network: Network, trained: int = 0) -> None:
+        self.vocabulary, self.network, self.tables, self.trained = vocabulary, network, network.tables(), trained
 
     def score_codes(self, texts: list[np.ndarray]) -> np.ndarray:
         """The sums of log P over the texts."""
@@ -330,16 +345,15 @@ def fit(tokens: DataFrame, rounds: int = ROUNDS) -> Model:
     counts = staged(word_counts(tokens), "words")
     vocabulary = Vocabulary.of(counts)
     discard(counts)
-    network, sent = Network.start(vocabulary), context.broadcast(vocabulary)
+    network, sent, trained = Network.start(vocabulary), context.broadcast(vocabulary), 0
     for k in range(rounds):
         now = context.broadcast(network)
-        mean = _round(tokens, sent, now, k)
+        mean, n = _round(tokens, sent, now, k, rounds)
         now.destroy()
-        if mean is None:
-            break
-        network = network.of(mean)
+        if mean is not None:  # a few words may all fall to another round
+            network, trained = network.of(mean), trained + n
     sent.destroy()
-    return Model(vocabulary, network)
+    return Model(vocabulary, network, trained)
 
 
 def scored(df: DataFrame, text_col: str = "text", keep_text: bool = True, rounds: int = ROUNDS) -> DataFrame:

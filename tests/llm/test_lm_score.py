@@ -57,6 +57,15 @@ def test_each_word_is_masked_in_one_of_the_rounds():
     assert (seen == 1).all() and all(400 < lm_score.masked(codes, k).sum() < 900 for k in range(lm_score.SHARE))
 
 
+def test_every_place_is_trained_on(spark):
+    rows = list(zip(range(70), texts(70), "c" * 70)) + [(99, "rare", "c"), (98, None, "c")]
+    tokens = lm_score.tokenised(frame(spark, rows))
+    assert lm_score.fit(tokens).trained == lm_score.fit(tokens, rounds=3).trained == sum(len((t or "").split()) for _, t, _ in rows)
+    codes = lm_score.codes_of(" ".join(random.Random(1).choices("abcdefgh", k=5000)))
+    for rounds in (1, 2, 3, 8):
+        assert (sum(lm_score.masked(codes, k, rounds).astype(int) for k in range(rounds)) == 1).all()
+
+
 def test_probabilities_sum_up_to_one():
     v = vocabulary()
     net = shaken(lm_score.Network.start(v))
