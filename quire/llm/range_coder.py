@@ -18,16 +18,16 @@ import zlib
 
 import numpy as np
 
-LANES, LANE_IDS = 2048, 256  # lanes at most, and ids a lane at least
+LANES, LANE_IDS = 4096, 256  # lanes at most, and ids a lane at least
 EVERY = 8  # steps between updates of rates and counts
-SLOTS = 1 << 20  # of contexts of order 2
+SLOTS = 1 << 21  # of contexts of order 2
 TOP, LOW, WORD = 60, 44, 16  # bits of the coder's window, of the least range, of a word written
 SHARES, UNITS = 12, 20  # bits: the shares of the three orders, and order 0 within its own
 MAX_IDS = 1 << (UNITS - 1)  # so that each id has a unit of order 0
 HEAD = struct.Struct("<4sIIIIII")  # magic, ids, vocabulary, lanes, words, crc32 of the ids as unsigned 32-bit integers, crc32 of what follows
 MAGIC = b"QRC1"
 _MASK = np.uint64((1 << TOP) - 1)
-_UP = np.minimum(np.arange(16) + 1, 15)
+_UP = np.minimum(np.arange(16) + 1, 15).astype(np.int32)
 
 
 class _Model:
@@ -36,7 +36,7 @@ class _Model:
     def __init__(self, vocabulary: int, n: int):
         self.none = vocabulary
         self.bits = max(8, min(SLOTS.bit_length() - 1, (4 * n).bit_length()))
-        self.table1, self.table2 = (np.full(size, self.none << 4, np.int64) for size in (vocabulary + 1, 1 << self.bits))
+        self.table1, self.table2 = (np.full(size, self.none << 4, np.int32) for size in (vocabulary + 1, 1 << self.bits))
         self.counts = np.ones(vocabulary, np.int64)
         self.right = np.tile(np.array([2, 1, 1], np.int64), (512, 1))  # by confidences and agreement: misses, hits of order 2, hits of order 1
         self.met, self.missed, self.steps = [], [], 0
@@ -45,19 +45,19 @@ class _Model:
     def _refresh(self) -> None:
         total = np.cumsum(self.counts)
         spare = (1 << UNITS) - len(self.counts)  # one unit each, and the rest by count
-        self.starts = np.zeros(len(self.counts) + 1, np.int64)
+        self.starts = np.zeros(len(self.counts) + 1, np.uint64)
         self.starts[1:] = total * spare // total[-1] + np.arange(1, len(self.counts) + 1)
         self.shares = np.maximum(self.right * ((1 << SHARES) - 64) // self.right.sum(axis=1, keepdims=True), 1)
-        self.share2, self.share1 = self.shares[:, 1].copy(), self.shares[:, 2].copy()
-        self.share0 = (1 << SHARES) - self.share2 - self.share1
+        share2, share1 = self.shares[:, 1], self.shares[:, 2]
+        self.share2, self.share1, self.share0 = (x.astype(np.uint64) for x in (share2, share1, (1 << SHARES) - share2 - share1))
 
     def expect(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
         """Predictions of order 2 and 1, their shares and that of order 0; keeps where they come from."""
         self.at1 = last
-        self.at2 = (((last * 40_503 + before * 2_654_435_761) & 0xFFFFFFFF) * 2_246_822_519 & 0xFFFFFFFF) >> (32 - self.bits)
+        self.at2 = ((last.view(np.uint32) * np.uint32(40_503) + before.view(np.uint32) * np.uint32(2_654_435_761)) * np.uint32(2_246_822_519) >> np.uint32(32 - self.bits)).astype(np.intp)
         two, one = self.table2.take(self.at2), self.table1.take(last)  # an id and its confidence in four bits
         self.p2, self.p1, self.c2, self.c1 = two >> 4, one >> 4, two & 15, one & 15
-        self.bucket = (self.c2 << 4) + self.c1 + ((self.p1 == self.p2).astype(np.int64) << 8)
+        self.bucket = ((self.c2 << 4) + self.c1 + ((self.p1 == self.p2).astype(np.int32) << 8)).astype(np.intp)
         return self.p2, self.p1, self.share2.take(self.bucket), self.share1.take(self.bucket), self.share0.take(self.bucket)
 
     def learn(self, ids: np.ndarray) -> None:
@@ -83,6 +83,14 @@ def _lanes(n: int) -> tuple[int, int, int]:
     return lanes, n // lanes, n % lanes
 
 
+def _by_step(lanes: int, steps: int, more: int) -> np.ndarray:
+    """A row a lane, a column a step: 0, or -1 where a lane has no id."""
+    line = np.zeros((lanes, steps + (more > 0)), np.int32)
+    if more:
+        line[more:, -1] = -1
+    return line
+
+
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """A block of these ids, each below the vocabulary's size, which is at most MAX_IDS."""
     ids = np.ascontiguousarray(ids, dtype=np.int64)
@@ -90,12 +98,13 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     if not 0 < vocabulary <= MAX_IDS or n and not (0 <= ids.min() and ids.max() < vocabulary):
         raise ValueError("ids must lie in a vocabulary of at most %d" % MAX_IDS)
     lanes, steps, more = _lanes(n)
-    sizes = steps + (np.arange(lanes) < more)
-    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     model = _Model(vocabulary, n)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << TOP, np.uint64)
-    words, at = np.zeros((lanes, 3 * (steps + 1) + 2), np.uint32), np.zeros(lanes, np.int64)
-    last = before = np.full(lanes, vocabulary, np.int64)
+    words, at = np.zeros((lanes, 3 * (steps + 1) + 2), np.uint32, order="F"), np.zeros(lanes, np.int64)  # what lanes write at one time lies close together
+    last = before = np.full(lanes, vocabulary, np.int32)
+    units, line = np.uint64(UNITS), _by_step(lanes, steps, more)
+    line[line >= 0] = ids
+    line = np.ascontiguousarray(line.T)
 
     def carry(who: np.ndarray) -> None:
         where = at[who] - 1
@@ -108,16 +117,16 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
 
     for step in range(steps + (more > 0)):
         k = lanes if step < steps else more
-        x = ids[first[:k] + step]
+        x = line[step, :k]
         p2, p1, w2, w1, w0 = model.expect(before[:k], last[:k])
         in2, in1 = x == p2, x == p1
         zero = model.starts.take(x)
-        edge2 = w2 << UNITS
-        start = np.where(in2, 0, np.where(in1, edge2, edge2 + (w1 << UNITS) + w0 * zero))
-        width = np.where(in2, edge2, np.where(in1, w1 << UNITS, w0 * (model.starts.take(x + 1) - zero)))
+        edge2, wide1 = w2 << units, w1 << units
+        start = np.where(in2, np.uint64(0), np.where(in1, edge2, edge2 + wide1 + w0 * zero))
+        width = np.where(in2, edge2, np.where(in1, wide1, w0 * (model.starts.take(x + 1) - zero)))
         unit = span[:k] >> np.uint64(SHARES + UNITS)
-        sums = low[:k] + unit * start.astype(np.uint64)
-        ranges = unit * width.astype(np.uint64)
+        sums = low[:k] + unit * start
+        ranges = unit * width
         over = np.flatnonzero(sums >> np.uint64(TOP))
         if len(over):
             carry(over)
@@ -138,7 +147,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         carry(over)
         words[np.arange(lanes), at] = ((low & _MASK) >> np.uint64(LOW)).astype(np.uint32)
         at += 1
-    body = at.astype("<u4").tobytes() + words[np.arange(words.shape[1]) < at[:, None]].astype("<u2").tobytes()
+    body = at.astype("<u4").tobytes() + np.ascontiguousarray(words)[np.arange(words.shape[1]) < at[:, None]].astype("<u2").tobytes()
     return HEAD.pack(MAGIC, n, vocabulary, lanes, int(at.sum()), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
 
@@ -153,9 +162,8 @@ def decode(block: bytes) -> np.ndarray:
     ends = np.cumsum(np.frombuffer(body, "<u4", lanes).astype(np.int64))
     words = np.concatenate([np.frombuffer(body, "<u2", n_words, 4 * lanes), np.zeros(4, np.uint16)]).astype(np.uint64)
     lanes, steps, more = _lanes(n)
-    sizes = steps + (np.arange(lanes) < more)
-    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    model, out = _Model(vocabulary, n), np.zeros(n, np.int64)
+    model, kept, units = _Model(vocabulary, n), _by_step(lanes, steps, more) >= 0, np.uint64(UNITS)
+    out = np.zeros(kept.shape[::-1], np.uint32)
     at = np.concatenate([[0], ends[:-1]])
 
     def word(who: np.ndarray) -> np.ndarray:
@@ -170,21 +178,22 @@ def decode(block: bytes) -> np.ndarray:
     half = word(everyone)  # the window ends within this word
     code |= half >> np.uint64(4)
     tail = half & np.uint64(15)  # its last 4 bits come next
-    last = before = np.full(lanes, vocabulary, np.int64)
+    last = before = np.full(lanes, vocabulary, np.int32)
     for step in range(steps + (more > 0)):
         k = lanes if step < steps else more
         p2, p1, w2, w1, w0 = model.expect(before[:k], last[:k])
         unit = span[:k] >> np.uint64(SHARES + UNITS)
-        v = np.minimum((code[:k] // unit).astype(np.int64), (1 << (SHARES + UNITS)) - 1)
-        edge2, edge1 = w2 << UNITS, (w2 + w1) << UNITS
+        v = np.minimum(code[:k] // unit, np.uint64((1 << (SHARES + UNITS)) - 1))
+        edge2, wide1 = w2 << units, w1 << units
+        edge1 = edge2 + wide1
         in2, in1 = v < edge2, v < edge1
         x = np.where(in2, p2, p1)
         rare = np.flatnonzero(~in1)
         x[rare] = np.searchsorted(model.starts, (v[rare] - edge1[rare]) // w0[rare], side="right") - 1
         zero = model.starts.take(x)
-        start = np.where(in2, 0, np.where(in1, edge2, edge1 + w0 * zero))
-        width = np.where(in2, edge2, np.where(in1, w1 << UNITS, w0 * (model.starts.take(x + 1, mode="clip") - zero)))
-        rest, ranges = code[:k] - unit * start.astype(np.uint64), unit * width.astype(np.uint64)
+        start = np.where(in2, np.uint64(0), np.where(in1, edge2, edge1 + w0 * zero))
+        width = np.where(in2, edge2, np.where(in1, wide1, w0 * (model.starts.take(x + 1, mode="clip") - zero)))
+        rest, ranges = code[:k] - unit * start, unit * width
         short = np.flatnonzero(ranges < np.uint64(1 << LOW))
         while len(short):
             got = word(short)
@@ -193,10 +202,10 @@ def decode(block: bytes) -> np.ndarray:
             ranges[short] <<= np.uint64(WORD)
             short = short[ranges[short] < np.uint64(1 << LOW)]
         code[:k], span[:k] = rest, ranges
-        out[first[:k] + step] = x
+        out[step, :k] = x
         model.learn(x)
         before, last = last, np.concatenate([x, last[k:]]) if k < lanes else x
-    ids = out.astype("<u4")
+    ids = np.ascontiguousarray(out.T)[kept].astype("<u4")
     if zlib.crc32(ids.tobytes()) != id_crc:
         raise ValueError("a block of token ids does not match its checksum")
     return ids

@@ -38,7 +38,7 @@ from quire.llm import range_coder
 from quire.llm.shared import staged
 from quire.storage import new_path
 
-BLOCK = 1 << 20  # ids a block
+BLOCK = 1 << 21  # ids a block
 AT_ONCE = 1 << 21  # characters that are encoded at once
 KNOWN = 1 << 20  # runs that a worker keeps
 END_ID = 2
@@ -84,11 +84,11 @@ class Encoder:
             data = np.array(made.ids, "<u4").tobytes()
             known.update(zip(some, (data[i:j] for i, j in zip([0, *stops[:-1]], stops))))
         found = [known[u] for u in units]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
-        each = sizes[cut]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(first[cut] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) >> 2
+        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+        each = sizes.take(cut)
+        ends = np.cumsum(each, dtype=np.int32)  # a group of texts has fewer ids than bytes, and fewer than 2^31 of these
+        ids = flat.take(np.repeat(first.take(cut) - ends + each, each) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32))
         at = np.concatenate([[0], ends])[upto]
         return [np.frombuffer(self._encoded([t])[0], "<u4") if a else ids[at[k] : at[k + 1]] for k, (t, a) in enumerate(zip(texts, alone))]
 
@@ -97,7 +97,7 @@ def _cut(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """The runs of texts: for each run the number of its distinct text, these texts, and how many runs come before each text and after the last."""
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    kind = _KINDS[data]
+    kind = _KINDS.take(data)
     lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
     lead = lead[~np.isin(data[lead].astype(np.int64) * 256 + data[lead + 1], _NO_LETTERS)]
     kind[lead] = kind[lead + 1] = _LETTER
@@ -110,7 +110,7 @@ def _cut(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     begins[start[clean]] = begins[stop[clean]] = True
     begins &= ~blank
     at = np.flatnonzero(begins)
-    said = np.cumsum(~blank)
+    said = np.cumsum(~blank, dtype=np.int32)
     offsets = np.append(said[at] - 1, said[-1]).astype(np.int32)
     runs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank].tobytes())]).dictionary_encode()
     ends = np.cumsum([len(r) + 1 for r in raw])

@@ -28,6 +28,13 @@ def test_block_round_trip(n, vocabulary):
         assert (range_coder.decode(range_coder.encode(ids, vocabulary)) == ids).all()
 
 
+def test_wide_blocks_come_back_whole():
+    ids = np.minimum(np.random.default_rng(6).zipf(1.3, 4096 * 257 + 77), range_coder.MAX_IDS) - 1
+    block = range_coder.encode(ids, range_coder.MAX_IDS)
+    assert range_coder.HEAD.unpack_from(block)[3] == 4096  # lanes, some of which have an id more
+    assert (range_coder.decode(block) == ids).all() and token_files.BLOCK // range_coder.LANES == 512
+
+
 def test_prediction_pays():
     ids = np.tile(np.random.default_rng(1).integers(0, 49_408, 1000), 60)
     assert len(range_coder.encode(ids, 49_408)) < len(ids) / 2
