@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +32,25 @@ AROUND = (-2, -1, 1, 2)
 HIDDEN, ROUNDS, SHARE, BATCH, RATE, START, SEED = 32, 2, 8, 8192, 0.1, 0.01, 42
 CACHE, CHUNK, PIECES, GROUPS = 300_000, 1 << 14, 32, 64  # words held; tokens of a piece of work; pieces of the weights, groups of tasks that are summed up
 STEPS_OF_2 = 16
-NEAR = 512  # rows of a softmax at a time, which stay in the cache
+NEAR = 2048  # rows of a softmax at a time, which stay in the cache
+RUN, RUNS = 8, 1024  # rows of a number that are summed up side by side; such runs at a time
+
+AT_ONCE = 1 << 20  # characters that are cut at once
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+_SPACE, _WORD, _SIGN = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)  # 0: bytes of other characters
+_KINDS[:128] = [_SPACE if chr(c).isspace() else _WORD if chr(c).isalnum() or chr(c) == "_" else _SIGN for c in range(128)]
 
 
 class _Codes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= CACHE:
             self.clear()
-        self[word] = code = (xxhash.xxh64_intdigest(word) >> 40) << 8 | zlib.crc32(word[-2:].encode()) % BINS
+        ending = word[-2:] if word.isascii() else word.decode()[-2:].encode()
+        self[word] = code = (xxhash.xxh64_intdigest(word) >> 40) << 8 | zlib.crc32(ending) % BINS
         return code
 
 
@@ -50,8 +58,53 @@ _codes = _Codes()
 
 
 def codes_of(text: str | None) -> np.ndarray:
-    parts = [np.fromiter(map(_codes.__getitem__, _TOKEN.findall(piece.lower())), dtype=np.uint32) for piece in text_pieces(text or "")]
-    return np.concatenate([*parts, np.zeros(0, dtype=np.uint32)])
+    return codes_of_texts([text])[0]
+
+
+def codes_of_texts(texts: list[str | None]) -> list[np.ndarray]:
+    out, held, size = [[np.zeros(0, dtype=np.uint32)] for _ in texts], [], 0
+
+    def flush() -> None:
+        for (k, _), codes in zip(held, _codes_of_pieces([piece for _, piece in held])):
+            out[k].append(codes)
+
+    for k, text in enumerate(texts):
+        for piece in text_pieces(text or ""):
+            held.append((k, piece))
+            size += len(piece)
+            if size >= AT_ONCE:
+                flush()
+                held, size = [], 0
+    if held:
+        flush()
+    return [np.concatenate(parts) for parts in out]
+
+
+def _codes_of_pieces(pieces: list[str]) -> list[np.ndarray]:
+    """Cut by kinds of bytes, and each distinct word of the pieces looked up once; pieces with characters beyond ASCII and the letters up to U+017F are cut by the pattern."""
+    raw = [p.lower().encode() for p in pieces]
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    kind = _KINDS.take(data)
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
+    lead = lead[(data[lead] != 0xC3) | (data[lead + 1] & 0xDF != 0x97)]  # the signs of times and division are no letters
+    kind[lead] = kind[lead + 1] = _WORD
+    others = np.unique(np.searchsorted(ends, np.flatnonzero(kind == 0), side="right")).tolist()
+    for k in others:
+        kind[ends[k] - len(raw[k]) - 1 : ends[k]] = _SPACE
+    word, begins = kind == _WORD, kind == _SIGN
+    begins[0] |= word[0]
+    begins[1:] |= word[1:] & ~word[:-1]
+    at, solid = np.flatnonzero(begins), kind != _SPACE
+    said = np.cumsum(solid, dtype=np.int32)
+    offsets = np.append(said[at] - 1, said[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]).dictionary_encode()
+    distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    codes = np.fromiter(map(_codes.__getitem__, distinct), np.uint32, len(distinct)).take(words.indices.to_numpy())
+    out = np.split(codes, np.searchsorted(at, ends[:-1]))
+    for k in others:
+        out[k] = np.array([_codes[t.encode()] for t in _TOKEN.findall(raw[k].decode())], dtype=np.uint32)
+    return out
 
 
 def stored(data: bytes) -> np.ndarray:
@@ -71,6 +124,8 @@ class Vocabulary:
         place = rank % CLASSES * self.width + rank // CLASSES
         codes = np.array([w[0] for w in words], dtype=np.uint32)
         self.known, self.known_ids, self.bin_ids = np.sort(codes), place[: len(words)][np.argsort(codes)], place[len(words) :]
+        first = np.searchsorted(self.known, np.arange((1 << 16) + 1, dtype=np.uint64) << 16)  # of the words whose codes begin with these 16 bits
+        self.first, self.several = np.minimum(first[:-1], max(0, len(words) - 1)).astype(np.int32), np.diff(first) > 1
         self.edge = CLASSES * self.width
         self.counts = np.zeros(self.edge)
         self.counts[place] = n + 0.5
@@ -100,9 +155,13 @@ class Vocabulary:
         """The ids of the words, and which are not known by name."""
         if not len(self.known):
             return self.bin_ids[codes & (BINS - 1)], np.ones(len(codes), dtype=bool)
-        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-        other = self.known[at] != codes
-        return np.where(other, self.bin_ids[codes & (BINS - 1)], self.known_ids[at]), other
+        head = codes >> 16
+        at = self.first.take(head)
+        other = self.known.take(at) != codes
+        rest = np.flatnonzero(other & self.several.take(head))
+        at[rest] = np.minimum(np.searchsorted(self.known, codes[rest]), len(self.known) - 1)
+        other[rest] = self.known[at[rest]] != codes[rest]
+        return np.where(other, self.bin_ids.take(codes & (BINS - 1)), self.known_ids.take(at)), other
 
     def within_bin(self, codes: np.ndarray) -> np.ndarray:
         """log P(word | its bin)."""
@@ -122,12 +181,14 @@ def chunks(texts: list[np.ndarray], size: int = CHUNK) -> Iterator[list[int]]:
         yield held
 
 
-def windows(texts: list[np.ndarray], edge: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words and, a column a place around it, of their neighbours."""
+def windows(texts: list[np.ndarray], edge: int, here: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, or of those at the places `here`, and, a row a place around them, of their neighbours."""
     pad = np.full(2, edge, dtype=np.int64)
     line = np.concatenate([pad, *(x for t in texts for x in (t, pad))])
     at = np.flatnonzero(line != edge)
-    return line[at], line[at[:, None] + np.array(AROUND)]
+    if here is not None:
+        at = at[here]
+    return line[at], np.stack([line.take(at + o) for o in AROUND])
 
 
 class Network:
@@ -156,81 +217,155 @@ class Network:
         ends = np.cumsum([v.size for v in self.w.values()])[:-1]
         return Network({k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(self.w.items(), np.split(flat, ends))})
 
-    def tables(self) -> np.ndarray:
-        """The embeddings times each place's matrix."""
-        return np.stack([self.w["e"] @ t for t in self.w["t"]])
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What places are predicted by: the embeddings times each place's matrix, and the weights of classes and of words with the biases as a last row."""
+        return _placed(self.w["e"], self.w), *self._biased()
 
-    def log_probability(self, y: np.ndarray, x: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    def _biased(self) -> tuple[np.ndarray, np.ndarray]:
+        c, u = np.concatenate((self.w["c"], self.w["cb"][None])), np.empty((CLASSES, len(self.w["b"]) + 1, self.w["u"].shape[1]), self.w["u"].dtype)
+        u[:, :-1], u[:, -1] = self.w["u"].transpose(0, 2, 1), self.w["ub"]
+        return c, u
+
+    def log_probability(self, y: np.ndarray, x: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """log P(y | x) for ids y and their neighbours x."""
-        w, width = self.w, self.w["u"].shape[1]
-        order, ends = _by_class(y // width)
-        y, x = y[order], np.take(x.T, order, axis=1)
-        h = np.tanh(sum(np.take(tables[o], x[o], axis=0) for o in range(len(AROUND))) + w["b"])
-        logs = _log_of(h, w["c"], w["cb"], y // width)
-        for k, a, b in ends:
-            logs[a:b] += _log_of(h[a:b], w["u"][k].T, w["ub"][k], y[a:b] - k * width)
+        rows, c, u = tables
+        kind, of, order, groups = _by_class(y, u.shape[2])
+        h = _hidden(rows, x.T.take(order, axis=1) * len(AROUND))
+        logs, logs_within = np.empty_like(h[:, 0]), np.empty_like(h[:, 0])
+        for i in range(0, len(y), NEAR):
+            part = slice(i, i + NEAR)
+            _log_of(h[part] @ c, kind[part], logs[part])
+        for group in groups:
+            part = slice(group[0][1], group[-1][2])
+            _log_of(_within(h, u, group), of[part], logs_within[part])
         out = np.empty_like(logs)
-        out[order] = logs
+        out[order] = logs + logs_within
         return out
 
     def gradient(self, y: np.ndarray, x: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of -log P summed over the examples, by weight; that of e is of the rows that come second."""
-        w, width = self.w, self.w["u"].shape[1]
-        order, ends = _by_class(y // width)
-        y = y[order]
+        w = self.w
+        c, u = self._biased()
+        kind, of, order, groups = _by_class(y, u.shape[2])
         ids = np.flatnonzero(np.bincount(x.reshape(-1)))
-        number = np.zeros(len(w["e"]), dtype=np.uint16 if len(ids) <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
-        number[ids] = np.arange(len(ids))
-        near, e = [number[c] for c in np.take(x.T, order, axis=1)], w["e"][ids]
-        h = np.tanh(sum(np.take(e @ t, c, axis=0) for c, t in zip(near, w["t"])) + w["b"])
-        g, back = {k: np.zeros_like(w[k]) for k in ("c", "cb", "u", "ub")}, np.empty_like(h)
+        number = np.zeros(len(w["e"]), dtype=np.uint16 if len(ids) * len(AROUND) <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+        number[ids] = np.arange(len(ids)) * len(AROUND)
+        near, e = number.take(x.T.take(order, axis=1)), w["e"][ids]
+        rows, sides = _placed(e, w), _sides(w)
+        h1 = _hidden(rows, near.astype(np.intp))
+        h = np.ascontiguousarray(h1[:, :-1])
+        back = np.empty_like(h)
+        g, down = {k: np.zeros_like(w[k]) for k in ("cb", "u", "ub")}, np.ascontiguousarray(w["c"].T)
+        by_class = np.zeros_like(down)
         for i in range(0, len(y), NEAR):
             part = slice(i, i + NEAR)
-            p = _error(h[part], w["c"], w["cb"], y[part] // width)
-            g["c"] += h[part].T @ p
+            p = _error(h1[part] @ c, kind[part])
+            by_class += p.T @ h[part]
             g["cb"] += np.ones(len(p), dtype=p.dtype) @ p
-            np.matmul(p, w["c"].T, out=back[part])
-        for k, a, b in ends:
-            p = _error(h[a:b], w["u"][k].T, w["ub"][k], y[a:b] - k * width)
-            g["u"][k], g["ub"][k] = p.T @ h[a:b], np.ones(b - a, dtype=p.dtype) @ p
-            back[a:b] += p @ w["u"][k]
-        back *= 1 - h * h
-        g["t"], g["b"], g["e"] = np.empty_like(w["t"]), back.sum(0), np.zeros_like(e)
-        for o, c in enumerate(near):  # summed by id, so the matrices multiply a row for each id and not for each place
-            order = np.argsort(c, kind="stable")
-            first = np.flatnonzero(np.diff(c[order].astype(np.int64), prepend=-1))
-            at, sums = c[order[first]], np.add.reduceat(np.take(back, order, axis=0), first)
-            g["t"][o] = e[at].T @ sums
-            g["e"][at] += sums @ w["t"][o].T
+            np.matmul(p, down, out=back[part])
+        for group in groups:
+            i, j = group[0][1], group[-1][2]
+            p, more, ones = _error(_within(h1, u, group), of[i:j]), np.empty_like(h[i:j]), np.ones(j - i, dtype=h.dtype)
+            for k, a, b in group:
+                mine = p[a - i : b - i]
+                np.matmul(mine.T, h[a:b], out=g["u"][k])
+                np.matmul(ones[: b - a], mine, out=g["ub"][k])
+                np.matmul(mine, w["u"][k], out=more[a - i : b - i])
+            back[i:j] += more
+        h *= h
+        back *= np.subtract(1, h, out=h)
+        near += np.arange(len(AROUND), dtype=near.dtype)[:, None]
+        sums = _summed(near.reshape(-1), back, len(rows)).reshape(len(ids), -1)  # by id and place, so the matrices multiply a row for each id and not for each place
+        g["c"], g["b"], g["e"] = by_class.T, np.ones(len(back), dtype=back.dtype) @ back, sums @ sides.T
+        g["t"] = (e.T @ sums).reshape(len(w["b"]), len(AROUND), -1).transpose(1, 0, 2)
         return g, ids
 
 
-def _log_of(h: np.ndarray, c: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax at one column of each row. The biases are those of probabilities, so exp() has room."""
-    if len(h) > NEAR:
-        return np.concatenate([_log_of(h[i : i + NEAR], c, bias, at[i : i + NEAR]) for i in range(0, len(h), NEAR)])
-    z = h @ c
-    z += bias
-    mine = z[np.arange(len(z)), at]
-    return mine - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=z.dtype))
+def _sides(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The matrices of the places beside each other."""
+    return w["t"].transpose(1, 0, 2).reshape(len(w["b"]), -1)
 
 
-def _error(h: np.ndarray, c: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The softmax less 1 at one column of each row."""
-    p = h @ c
-    p += bias
-    np.exp(p, out=p)
-    p *= (1 / (p @ np.ones(p.shape[1], dtype=p.dtype)))[:, None]
-    p[np.arange(len(p)), at] -= 1
-    return p
+def _placed(e: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """Embeddings times each place's matrix, a row for each id and place; those of the first place have the bias."""
+    made = e @ _sides(w)
+    made[:, : len(w["b"])] += w["b"]
+    return made.reshape(-1, len(w["b"]))
 
 
-def _by_class(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order by class, and where each class begins and ends in it."""
-    of = of.astype(np.uint8)
-    order = np.argsort(of, kind="stable")
-    ends = np.concatenate(([0], np.bincount(of, minlength=CLASSES).cumsum())).tolist()
-    return order, [(k, ends[k], ends[k + 1]) for k in range(CLASSES) if ends[k + 1] > ends[k]]
+def _hidden(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The hidden layer from the neighbours' first rows, with a last column of ones for the biases."""
+    n, h = x.shape[1], np.ones((x.shape[1], rows.shape[1] + 1), rows.dtype)
+    for i in range(0, n, NEAR):
+        part = x[:, i : i + NEAR]
+        z = rows.take(part[0], axis=0)
+        for o in range(1, len(AROUND)):
+            z += rows.take(part[o] + o, axis=0)
+        np.tanh(z, out=h[i : i + NEAR, :-1])
+    return h
+
+
+def _within(h: np.ndarray, u: np.ndarray, group: list[tuple[int, int, int]]) -> np.ndarray:
+    """The logits of words of the classes of a group."""
+    i, z = group[0][1], np.empty((group[-1][2] - group[0][1], u.shape[2]), h.dtype)
+    for k, a, b in group:
+        np.matmul(h[a:b], u[k], out=z[a - i : b - i])
+    return z
+
+
+def _log_of(z: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+    """The logarithm of the softmax at one column of each row. The biases are those of probabilities, so exp() has room."""
+    out[:] = z.reshape(-1).take(np.arange(len(z)) * z.shape[1] + at)
+    out -= np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=z.dtype))
+
+
+def _error(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The softmax less 1 at one column of each row."""
+    np.exp(z, out=z)
+    z *= (1 / (z @ np.ones(z.shape[1], dtype=z.dtype)))[:, None]
+    z.reshape(-1)[np.arange(len(z)) * z.shape[1] + at] -= 1
+    return z
+
+
+def _summed(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of rows by the numbers `of` them, which are below n; `of` goes through the rows again and again. Runs of at most RUN rows of one number are summed up side by side, then the runs of numbers with more of them."""
+    order, size = np.argsort(of, kind="stable"), np.bincount(of, minlength=n)
+    order %= len(rows)
+    runs = (size + RUN - 1) // RUN
+    ends = runs.cumsum()
+    number = np.repeat(np.arange(n), runs)
+    past = (np.arange(len(number)) - (ends - runs)[number]) * RUN
+    length = np.minimum(size[number] - past, RUN).astype(np.int8)
+    by = np.argsort(-length, kind="stable")
+    at, longer = ((size.cumsum() - size)[number] + past)[by], len(number) - np.bincount(length, minlength=RUN + 1).cumsum()
+    part, more = np.empty((len(by), rows.shape[1]), rows.dtype), np.empty((RUNS, rows.shape[1]), rows.dtype)
+    for i in range(0, len(by), RUNS):  # slices that stay in the cache
+        here = part[i : i + RUNS]
+        rows.take(order.take(at[i : i + RUNS]), axis=0, out=here, mode="clip")
+        for k in range(1, RUN):
+            n_here = max(0, min(longer[k] - i, RUNS))
+            here[:n_here] += rows.take(order.take(at[i : i + n_here] + k), axis=0, out=more[:n_here], mode="clip")
+    place = np.empty(len(by), dtype=np.intp)
+    place[by] = np.arange(len(by))
+    out, one, more = np.zeros((n, rows.shape[1]), rows.dtype), np.flatnonzero(runs == 1), np.flatnonzero(runs > 1)
+    out[one] = part.take(place[ends[one] - 1], axis=0)
+    if len(more):
+        out[more] = np.add.reduceat(part.take(place[runs[number] > 1], axis=0), runs[more].cumsum() - runs[more])
+    return out
+
+
+def _by_class(y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, int, int]]]]:
+    """Classes and places within them in the order by class, that order, and groups of classes of some NEAR examples: where each class begins and ends."""
+    kind = y // width
+    order = np.argsort(kind.astype(np.uint8), kind="stable")
+    ends = np.concatenate(([0], np.bincount(kind, minlength=CLASSES).cumsum())).tolist()
+    kind, groups = kind.take(order), []
+    for k in range(CLASSES):
+        if ends[k + 1] > ends[k]:
+            if not groups or ends[k + 1] - groups[-1][0][1] > NEAR:
+                groups.append([])
+            groups[-1].append((k, ends[k], ends[k + 1]))
+    return kind, y.take(order) - kind * width, order, groups
 
 
 class Trainer:
@@ -244,15 +379,26 @@ class Trainer:
         self.n += len(y)
         grad, rows = self.network.gradient(y, x)
         for k, g in grad.items():
-            at = rows if k == "e" else ...
-            self.sums[k][at] += g * g
-            self.network.w[k][at] -= self.rate * g / np.sqrt(self.sums[k][at])
-
-
-def masked(codes: np.ndarray, round_: int, rounds: int = SHARE) -> np.ndarray:
-    """The places that a round predicts, by a hash of the place and the words there and before. SHARE parts are dealt out to the rounds, so that each place is in one of them; rounds beyond SHARE begin anew."""
-    mixed = codes ^ np.arange(len(codes), dtype=np.uint32)
-    mixed[1:] += codes[:-1] >> 7
+            w, sums = self.network.w[k], self.sums[k][rows] if k == "e" else self.sums[k]
+            sums += g * g
+            g = g * self.rate
+            g /= np.sqrt(sums)
+            if k == "e":
+                self.sums[k][rows] = sums
+                w[rows] -= g
+            else:
+                w -= g
+
+
+def masked(codes: np.ndarray, round_: int, rounds: int = SHARE, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The places that a round predicts, by a hash of the place and the words there and before, of one text or of texts of these lengths. SHARE parts are dealt out to the rounds, so that each place is in one of them; rounds beyond SHARE begin anew."""
+    place, before = np.arange(len(codes), dtype=np.uint32), np.zeros(len(codes), dtype=np.uint32)
+    before[1:] = codes[:-1] >> 7
+    if lengths is not None:
+        first = lengths.cumsum() - lengths
+        before[first[lengths > 0]] = 0
+        place -= np.repeat(first, lengths).astype(np.uint32)
+    mixed = (codes ^ place) + before
     mixed = (mixed ^ (mixed >> 15)) * np.uint32(0x9E3779B1)
     parts = min(rounds, SHARE)
     return (mixed >> 16) % SHARE % parts == round_ % parts
@@ -265,20 +411,21 @@ def _round(tokens: DataFrame, vocabulary, network, round_: int, rounds: int) ->
         from pyspark import TaskContext
 
         trainer, task, v = Trainer(network.value), TaskContext.get().partitionId(), vocabulary.value
-        rng, kept = np.random.default_rng((SEED, round_, task)), (np.zeros(0, dtype=np.int64), np.zeros((0, len(AROUND)), dtype=np.int64))
+        rng, kept = np.random.default_rng((SEED, round_, task)), (np.zeros(0, dtype=np.int64), np.zeros((len(AROUND), 0), dtype=np.int64))
         for batch in batches:
             texts = [stored(t) for t in batch["codes"]]
             for some in chunks(texts):
-                y, x = windows([v.ids(texts[k])[0] for k in some], v.edge)
-                here = np.concatenate([masked(texts[k], round_, rounds) for k in some]).nonzero()[0]
+                codes, lengths = np.concatenate([texts[k] for k in some]), np.array([len(texts[k]) for k in some])
+                here = masked(codes, round_, rounds, lengths).nonzero()[0]
                 rng.shuffle(here)
-                y, x = np.concatenate((kept[0], y[here])), np.concatenate((kept[1], x[here]))
+                y, x = windows(np.split(v.ids(codes)[0], lengths.cumsum()[:-1]), v.edge, here)
+                y, x = np.concatenate((kept[0], y)), np.concatenate((kept[1], x), axis=1)
                 whole = len(y) // BATCH * BATCH
                 for i in range(0, whole, BATCH):
-                    trainer.step(y[i : i + BATCH], x[i : i + BATCH])
-                kept = y[whole:], x[whole:]
+                    trainer.step(y[i : i + BATCH], x[:, i : i + BATCH].T)
+                kept = y[whole:], x[:, whole:]
         if len(kept[0]):
-            trainer.step(*kept)
+            trainer.step(kept[0], kept[1].T)
         if trainer.n:
             parts = np.array_split(trainer.network.flat().astype(np.float64) * trainer.n, PIECES)
             yield pd.DataFrame({"piece": range(PIECES), "group": task % GROUPS, "n": trainer.n, "sums": [p.astype(np.float32).tobytes() for p in parts]})
@@ -308,7 +455,7 @@ class Model:
             ids, other = self.vocabulary.ids(codes)
             lengths = np.array([len(texts[k]) for k in some])
             y, x = windows(np.split(ids, lengths.cumsum()[:-1]), self.vocabulary.edge)
-            logs = np.concatenate([self.network.log_probability(y[i : i + CHUNK], x[i : i + CHUNK], self.tables).astype(np.float64) for i in range(0, len(y), CHUNK)] or [np.zeros(0)])
+            logs = np.concatenate([self.network.log_probability(y[i : i + CHUNK], x[:, i : i + CHUNK].T, self.tables).astype(np.float64) for i in range(0, len(y), CHUNK)] or [np.zeros(0)])
             logs[other] += self.vocabulary.within_bin(codes[other])
             out[some] = np.bincount(np.repeat(np.arange(len(some)), lengths), weights=logs, minlength=len(some))
         return out
@@ -323,7 +470,7 @@ def tokenised(df: DataFrame, text_col: str = "text", keep_text: bool = True) ->
 
     @F.pandas_udf("binary")
     def read(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: codes_of(t).tobytes())
+        return pd.Series([codes.tobytes() for codes in codes_of_texts(texts.tolist())], dtype=object)
 
     return staged(packed(df, () if keep_text else (text_col,), codes=read(F.coalesce(F.col(text_col), F.lit("")))), "tokens")
 

@@ -169,3 +169,24 @@ def test_words_are_cut_at_white_space_alone(monkeypatch):
     want = lm_score.codes_of(text)
     monkeypatch.setattr(lm_score, "text_pieces", lambda t, f=lm_score.text_pieces: f(t, 17))
     assert (lm_score.codes_of(text) == want).all()
+
+
+def test_texts_are_cut_together_as_by_the_pattern():
+    rng = random.Random(8)
+    atoms = [chr(c) for c in [*range(0x250), 0x2019, 0x3A3, 0x4E2D, 0x2028, 0x301, 0x963, 0x1F600]] + ["word", "Été", "x_1", "a×b", "c÷"] * 40
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", None, "".join(chr(c) for c in range(0x180))]
+    got = lm_score.codes_of_texts(texts)
+    want = [[lm_score._codes[w.encode()] for w in re.findall(r"\w+|[^\w\s]", (t or "").lower())] for t in texts]
+    assert [g.tolist() for g in got] == want
+
+
+def test_rows_are_summed_by_number_and_masks_are_alike_in_chunks():
+    rng = np.random.default_rng(9)
+    of, rows = np.minimum(rng.zipf(1.3, 4 * 900) - 1, 299).astype(np.uint16), rng.normal(size=(900, 5))
+    want = np.zeros((300, 5))
+    np.add.at(want, of, np.tile(rows, (4, 1)))
+    assert np.allclose(lm_score._summed(of, rows, 300), want)
+    lengths = np.array([0, 700, 1, 0, 299, 0])
+    codes = rng.integers(0, 2**32, 1000, dtype=np.uint32)
+    apart = np.concatenate([lm_score.masked(c, 3) for c in np.split(codes, lengths.cumsum()[:-1])])
+    assert (lm_score.masked(codes, 3, lengths=lengths) == apart).all()
