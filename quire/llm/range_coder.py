@@ -23,11 +23,11 @@ EVERY = 8  # steps between updates of rates and counts
 SLOTS = 1 << 21  # of contexts of order 2
 TOP, LOW, WORD = 60, 44, 16  # bits of the coder's window, of the least range, of a word written
 SHARES, UNITS = 12, 20  # bits: the shares of the three orders, and order 0 within its own
+PAST = 4  # words that a lane is read beyond its end, at most
 MAX_IDS = 1 << (UNITS - 1)  # so that each id has a unit of order 0
 HEAD = struct.Struct("<4sIIIIII")  # magic, ids, vocabulary, lanes, words, crc32 of the ids as unsigned 32-bit integers, crc32 of what follows
 MAGIC = b"QRC1"
 _MASK = np.uint64((1 << TOP) - 1)
-_UP = np.minimum(np.arange(16) + 1, 15).astype(np.int32)
 
 
 class _Model:
@@ -52,22 +52,22 @@ class _Model:
         self.share2, self.share1, self.share0 = (x.astype(np.uint64) for x in (share2, share1, (1 << SHARES) - share2 - share1))
 
     def expect(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Predictions of order 2 and 1, their shares and that of order 0; keeps where they come from."""
-        self.at1 = last
+        """Predictions of order 2 and 1 and their shares; keeps where they come from."""
+        self.at1 = last.astype(np.intp)
         self.at2 = ((last.view(np.uint32) * np.uint32(40_503) + before.view(np.uint32) * np.uint32(2_654_435_761)) * np.uint32(2_246_822_519) >> np.uint32(32 - self.bits)).astype(np.intp)
-        two, one = self.table2.take(self.at2), self.table1.take(last)  # an id and its confidence in four bits
+        self.two, self.one = two, one = self.table2.take(self.at2), self.table1.take(self.at1)  # an id and its confidence in four bits
         self.p2, self.p1, self.c2, self.c1 = two >> 4, one >> 4, two & 15, one & 15
-        self.bucket = ((self.c2 << 4) + self.c1 + ((self.p1 == self.p2).astype(np.int32) << 8)).astype(np.intp)
-        return self.p2, self.p1, self.share2.take(self.bucket), self.share1.take(self.bucket), self.share0.take(self.bucket)
-
-    def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1 = ids == self.p2, ids == self.p1
-        outcome = hit2 + 2 * (hit1 & ~hit2)
-        self.met.append(self.bucket * 3 + outcome)
-        self.missed.append(ids[outcome == 0])
+        self.row = (self.c2 << 4) + self.c1 + ((self.p1 == self.p2).astype(np.int32) << 8)
+        self.bucket = self.row.astype(np.intp)
+        return self.p2, self.p1, self.share2.take(self.bucket), self.share1.take(self.bucket)
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, missed: np.ndarray) -> None:
+        """The ids that came, which of them order 2 and order 1 predicted, and those that neither did."""
+        self.met.append(self.row * 3 + (hit2.view(np.int8) + ((hit1 > hit2).view(np.int8) << 1)).astype(np.int32))
+        self.missed.append(missed)
         fresh = (ids << 4) + 1
-        for hit, table, at, c, p in ((hit2, self.table2, self.at2, self.c2, self.p2), (hit1, self.table1, self.at1, self.c1, self.p1)):
-            kept = (p << 4) + np.where(hit, _UP.take(c), c >> 1)
+        for hit, table, at, c, old in ((hit2, self.table2, self.at2, self.c2, self.two), (hit1, self.table1, self.at1, self.c1, self.one)):
+            kept = np.where(hit, old + np.minimum(15 - c, 1), old - ((c + 1) >> 1))  # confidence one up, to 15, or halved
             table[at] = np.where(hit | (c > 1), kept, fresh)
         self.steps += 1
         if self.steps % EVERY == 0:
@@ -77,6 +77,19 @@ class _Model:
             self._refresh()
 
 
+    def of_units(self, units: np.ndarray) -> np.ndarray:
+        """The ids that these units of order 0 belong to: the last one that starts at or before each. They are looked for in ascending order, which stays in the cache."""
+        key = np.sort(units << np.uint64(32) | np.arange(len(units), dtype=np.uint64))  # with their places, which is quicker than argsort
+        out = np.empty(len(units), np.int32)
+        out[(key & np.uint64((1 << 32) - 1)).view(np.int64)] = np.searchsorted(self.starts, key >> np.uint64(32), side="right") - 1
+        return out
+
+    def rare(self, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start within order 0's share, and width, of the ids at some places of the vector."""
+        zero, share = self.starts.take(ids), self.share0.take(self.bucket.take(at))
+        return share * zero, share * (self.starts.take(ids + 1) - zero)
+
+
 def _lanes(n: int) -> tuple[int, int, int]:
     """Lanes, full steps of all of them, and lanes that have one id more."""
     lanes = max(1, min(LANES, n // LANE_IDS))
@@ -100,54 +113,59 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     lanes, steps, more = _lanes(n)
     model = _Model(vocabulary, n)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << TOP, np.uint64)
-    words, at = np.zeros((lanes, 3 * (steps + 1) + 2), np.uint32, order="F"), np.zeros(lanes, np.int64)  # what lanes write at one time lies close together
+    words, at = np.zeros((3 * (steps + 1) + 2) * lanes, np.uint32), np.zeros(lanes, np.int64)  # what lanes write at one time lies close together
     last = before = np.full(lanes, vocabulary, np.int32)
-    units, line = np.uint64(UNITS), _by_step(lanes, steps, more)
+    units, none, line = np.uint64(UNITS), np.zeros(lanes, np.uint64), _by_step(lanes, steps, more)
     line[line >= 0] = ids
     line = np.ascontiguousarray(line.T)
 
     def carry(who: np.ndarray) -> None:
-        where = at[who] - 1
-        while len(who):
-            words[who, where] += 1
-            over = words[who, where] >> WORD > 0
-            who, where = who[over], where[over]
-            words[who, where] &= (1 << WORD) - 1
-            where = where - 1
+        where = (at[who] - 1) * lanes + who
+        while len(where):
+            words[where] += 1
+            where = where[words[where] >> WORD > 0]
+            words[where] &= (1 << WORD) - 1
+            where -= lanes
 
     for step in range(steps + (more > 0)):
         k = lanes if step < steps else more
         x = line[step, :k]
-        p2, p1, w2, w1, w0 = model.expect(before[:k], last[:k])
+        p2, p1, w2, w1 = model.expect(before[:k], last[:k])
         in2, in1 = x == p2, x == p1
-        zero = model.starts.take(x)
         edge2, wide1 = w2 << units, w1 << units
-        start = np.where(in2, np.uint64(0), np.where(in1, edge2, edge2 + wide1 + w0 * zero))
-        width = np.where(in2, edge2, np.where(in1, wide1, w0 * (model.starts.take(x + 1) - zero)))
+        start, width = np.where(in2, none[:k], edge2), np.where(in2, edge2, wide1)
+        rare = np.flatnonzero(~(in2 | in1))
+        missed = x.take(rare)
+        past, wide = model.rare(rare, missed)
+        start[rare] = (edge2 + wide1).take(rare) + past
+        width[rare] = wide
         unit = span[:k] >> np.uint64(SHARES + UNITS)
         sums = low[:k] + unit * start
         ranges = unit * width
-        over = np.flatnonzero(sums >> np.uint64(TOP))
+        over = np.flatnonzero(sums > _MASK)
         if len(over):
             carry(over)
             sums &= _MASK
         short = np.flatnonzero(ranges < np.uint64(1 << LOW))
         while len(short):
-            words[short, at[short]] = (sums[short] >> np.uint64(LOW)).astype(np.uint32)
-            at[short] += 1
-            sums[short] = (sums[short] << np.uint64(WORD)) & _MASK
-            ranges[short] <<= np.uint64(WORD)
-            short = short[ranges[short] < np.uint64(1 << LOW)]
+            now, where, wide = sums.take(short), at.take(short), ranges.take(short) << np.uint64(WORD)
+            words[where * lanes + short] = (now >> np.uint64(LOW)).astype(np.uint32)
+            at[short] = where + 1
+            sums[short] = (now << np.uint64(WORD)) & _MASK
+            ranges[short] = wide
+            short = short[wide < np.uint64(1 << LOW)]
         low[:k], span[:k] = sums, ranges
-        model.learn(x)
+        model.learn(x, in2, in1, missed)
         before, last = last, np.concatenate([x, last[k:]]) if k < lanes else x
     if n:  # one word that lies in what is left of each lane's range
         low += np.uint64((1 << LOW) - 1)
-        over = np.flatnonzero(low >> np.uint64(TOP))
+        over = np.flatnonzero(low > _MASK)
         carry(over)
-        words[np.arange(lanes), at] = ((low & _MASK) >> np.uint64(LOW)).astype(np.uint32)
+        words[at * lanes + np.arange(lanes)] = (low & _MASK) >> np.uint64(LOW)
         at += 1
-    body = at.astype("<u4").tobytes() + np.ascontiguousarray(words)[np.arange(words.shape[1]) < at[:, None]].astype("<u2").tobytes()
+    used = int(at.max())
+    by_lane = np.ascontiguousarray(words[: used * lanes].reshape(used, lanes).T.astype("<u2"))
+    body = at.astype("<u4").tobytes() + by_lane[np.arange(used) < at[:, None]].tobytes()
     return HEAD.pack(MAGIC, n, vocabulary, lanes, int(at.sum()), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
 
@@ -159,17 +177,22 @@ def decode(block: bytes) -> np.ndarray:
     body = memoryview(block)[HEAD.size :]
     if len(body) != 4 * lanes + 2 * n_words or zlib.crc32(body) != body_crc or (lanes, _lanes(n)[0]) != (_lanes(n)[0], lanes):
         raise ValueError("a block of token ids is torn or changed")
-    ends = np.cumsum(np.frombuffer(body, "<u4", lanes).astype(np.int64))
-    words = np.concatenate([np.frombuffer(body, "<u2", n_words, 4 * lanes), np.zeros(4, np.uint16)]).astype(np.uint64)
+    held = np.frombuffer(body, "<u4", lanes).astype(np.int64)
+    if held.sum() != n_words:
+        raise ValueError("a block of token ids is torn or changed")
+    first = held.cumsum() - held + PAST * np.arange(lanes)
+    words = np.zeros(n_words + PAST * lanes, np.uint64)  # past its end a lane is zeros
+    none = np.zeros(lanes, np.uint64)
+    words[np.arange(n_words) + np.repeat(PAST * np.arange(lanes), held)] = np.frombuffer(body, "<u2", n_words, 4 * lanes)
     lanes, steps, more = _lanes(n)
     model, kept, units = _Model(vocabulary, n), _by_step(lanes, steps, more) >= 0, np.uint64(UNITS)
     out = np.zeros(kept.shape[::-1], np.uint32)
-    at = np.concatenate([[0], ends[:-1]])
+    at = first
 
     def word(who: np.ndarray) -> np.ndarray:
-        got = np.where(at[who] < ends[who], words[at[who]], np.uint64(0))  # past its end a lane is zeros
-        at[who] = np.minimum(at[who] + 1, ends[who])
-        return got
+        where = at.take(who)
+        at[who] = where + 1
+        return words.take(where, mode="clip")
 
     span, code = np.full(lanes, 1 << TOP, np.uint64), np.zeros(lanes, np.uint64)  # code: what is read, less the low end of the range
     everyone = np.arange(lanes)
@@ -181,29 +204,31 @@ def decode(block: bytes) -> np.ndarray:
     last = before = np.full(lanes, vocabulary, np.int32)
     for step in range(steps + (more > 0)):
         k = lanes if step < steps else more
-        p2, p1, w2, w1, w0 = model.expect(before[:k], last[:k])
+        p2, p1, w2, w1 = model.expect(before[:k], last[:k])
         unit = span[:k] >> np.uint64(SHARES + UNITS)
         v = np.minimum(code[:k] // unit, np.uint64((1 << (SHARES + UNITS)) - 1))
         edge2, wide1 = w2 << units, w1 << units
         edge1 = edge2 + wide1
         in2, in1 = v < edge2, v < edge1
         x = np.where(in2, p2, p1)
+        start, width = np.where(in2, none[:k], edge2), np.where(in2, edge2, wide1)
         rare = np.flatnonzero(~in1)
-        x[rare] = np.searchsorted(model.starts, (v[rare] - edge1[rare]) // w0[rare], side="right") - 1
-        zero = model.starts.take(x)
-        start = np.where(in2, np.uint64(0), np.where(in1, edge2, edge1 + w0 * zero))
-        width = np.where(in2, edge2, np.where(in1, wide1, w0 * (model.starts.take(x + 1, mode="clip") - zero)))
+        edge = edge1.take(rare)
+        x[rare] = missed = model.of_units((v.take(rare) - edge) // model.share0.take(model.bucket.take(rare)))
+        past, wide = model.rare(rare, missed)
+        start[rare] = edge + past
+        width[rare] = wide
         rest, ranges = code[:k] - unit * start, unit * width
         short = np.flatnonzero(ranges < np.uint64(1 << LOW))
         while len(short):
-            got = word(short)
-            rest[short] = (rest[short] << np.uint64(WORD)) | (tail[short] << np.uint64(12)) | (got >> np.uint64(4))
+            got, wide = word(short), ranges.take(short) << np.uint64(WORD)
+            rest[short] = (rest.take(short) << np.uint64(WORD)) | (tail.take(short) << np.uint64(12)) | (got >> np.uint64(4))
             tail[short] = got & np.uint64(15)
-            ranges[short] <<= np.uint64(WORD)
-            short = short[ranges[short] < np.uint64(1 << LOW)]
+            ranges[short] = wide
+            short = short[wide < np.uint64(1 << LOW)]
         code[:k], span[:k] = rest, ranges
         out[step, :k] = x
-        model.learn(x)
+        model.learn(x, in2, x == p1, missed)
         before, last = last, np.concatenate([x, last[k:]]) if k < lanes else x
     ids = np.ascontiguousarray(out.T)[kept].astype("<u4")
     if zlib.crc32(ids.tobytes()) != id_crc:

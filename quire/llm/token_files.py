@@ -48,7 +48,9 @@ _KINDS = np.zeros(256, np.uint8)  # 0: bytes of other characters
 _KINDS[:128] = _PLAIN
 _KINDS[[ord(c) for c in " \t\n\r"]], _KINDS[ord("'")] = _BLANK, _QUOTE
 _KINDS[65:91] = _KINDS[97:123] = _LETTER
+_OF_LETTERS = bytes([*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
 _NO_LETTERS = (0xC397, 0xC3B7, 0xC4B0)  # between U+00C0 and U+017F: the signs of times and division, and the one capital that two characters are in lower case
+_NO_LETTER_BYTES = tuple(c.to_bytes(2) for c in _NO_LETTERS)
 MANIFEST = T.StructType([T.StructField(n, T.StringType() if n == "file" else T.LongType()) for n in ("part", "file", "n_docs", "n_ids", "n_bytes")])
 
 
@@ -65,25 +67,46 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        vocabulary, suffix = self.library.get_vocab(with_added_tokens=True), getattr(self.library.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        if suffix:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.marks = tuple({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, units: list[bytes]) -> list[bytes]:
+        """Encodes runs of plain letters as words of one text, cut where the ids of ends of words are, and returns the other runs."""
+        words, others = [], []
+        for u in units:
+            (words if u.isalpha() or not u.translate(None, _OF_LETTERS) and not any(c in u for c in _NO_LETTER_BYTES) else others).append(u)
+        for k in range(0, len(words), 1024):
+            some = words[k : k + 1024]
+            ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.last.take(ids)) + 1
+            if len(stops) != len(some) or stops[-1] != len(ids):  # a tokenizer without such ids
+                others += some
+                continue
+            data, stops = ids.tobytes(), (4 * stops).tolist()
+            self.known.update(zip(some, (data[i:j] for i, j in zip([0, *stops[:-1]], stops))))
+        return others
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         alone = [self.whole or any(m in t for m in self.marks) for t in texts]
         cut, units, upto = _cut(["" if a else t for t, a in zip(texts, alone)])
         if len(self.known) > KNOWN:
             self.known = {}
         known = self.known
-        fresh = [u for u in units if u not in known]
+        found = list(map(known.get, units))
+        fresh = self._learn([u for u, ids in zip(units, found) if ids is None])
         for k in range(0, len(fresh), 4096):  # as words of one input, which is cheaper than an input each
             some = fresh[k : k + 4096]
             made = self.library.encode([u.decode() for u in some], is_pretokenized=True, add_special_tokens=False)
             stops = 4 * np.cumsum(np.bincount(np.array(made.word_ids, np.int64), minlength=len(some)))
             data = np.array(made.ids, "<u4").tobytes()
             known.update(zip(some, (data[i:j] for i, j in zip([0, *stops[:-1]], stops))))
-        found = [known[u] for u in units]
+        found = [ids or known[u] for u, ids in zip(units, found)]
         sizes = np.fromiter(map(len, found), np.int32, len(found)) >> 2
         flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
         each = sizes.take(cut)
@@ -114,7 +137,7 @@ def _cut(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     offsets = np.append(said[at] - 1, said[-1]).astype(np.int32)
     runs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank].tobytes())]).dictionary_encode()
     ends = np.cumsum([len(r) + 1 for r in raw])
-    return runs.indices.to_numpy(), runs.dictionary.to_pylist(), np.searchsorted(at, np.concatenate([[0], ends]))
+    return runs.indices.to_numpy(), runs.dictionary.to_numpy(zero_copy_only=False).tolist(), np.searchsorted(at, np.concatenate([[0], ends]))
 
 
 @cache

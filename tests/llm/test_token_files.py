@@ -116,3 +116,20 @@ def test_torn_files_are_errors(spark, tmp_path):
 
 def test_empty(spark):
     assert token_files.documents_of(token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), MODEL)).collect() == []
+
+
+def test_new_words_are_encoded_together_and_cut_where_they_end():
+    rng = random.Random(5)
+    words = list(dict.fromkeys("".join(rng.choices("abcdeéÉßñĳŉſ", k=rng.randint(1, 9))) for _ in range(5000)))
+    odd = ["a×b", "c÷d", "İx", "µm", "x1", "'s"]
+    encoder = token_files.Encoder(MODEL)
+    assert encoder._learn([w.encode() for w in words[:2000] + odd + words[2000:]]) == [w.encode() for w in odd]
+    assert [np.frombuffer(encoder.known[w.encode()], "<u4").tolist() for w in words] == library_ids(words)
+
+
+def test_units_of_order_0_are_found():
+    for vocabulary in (1, 300, range_coder.MAX_IDS):
+        model = range_coder._Model(vocabulary, 5000)
+        units = np.random.default_rng(7).integers(0, 1 << range_coder.UNITS, 4096).astype(np.uint64)
+        got = model.of_units(units)
+        assert (model.starts[got] <= units).all() and (units < model.starts[got + 1]).all()
