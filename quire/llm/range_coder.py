@@ -8,38 +8,40 @@ all with one model, so a step is a handful of numpy operations on a vector of la
 * order 0: counts of the ids that no prediction met;
 * the mix: how often either prediction was right at each pair of confidences. The three orders share the range by these rates, and an id is coded in the share of the highest order that predicts it.
 
-The rates and the counts are brought up to date after every eighth step, the predictions after each one. All arithmetic is of integers, so every machine decodes alike.
+The predictions are brought up to date after each step, the rates and the counts after eight, and in longer intervals, of a quarter of the steps so far, once there are many. All arithmetic is of
+integers, so every machine decodes alike.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 LANES, LANE_IDS = 4096, 256  # lanes at most, and ids a lane at least
-EVERY = 8  # steps between updates of rates and counts
+EVERY = 8  # steps between updates of rates and counts, at least
 SLOTS = 1 << 21  # of contexts of order 2
-TOP, LOW, WORD = 60, 44, 16  # bits of the coder's window, of the least range, of a word written
+LOW, WORD = 48, 16  # bits of the least range, of a word written; the coder's window has 64
 SHARES, UNITS = 12, 20  # bits: the shares of the three orders, and order 0 within its own
 PAST = 4  # words that a lane is read beyond its end, at most
 MAX_IDS = 1 << (UNITS - 1)  # so that each id has a unit of order 0
 HEAD = struct.Struct("<4sIIIIII")  # magic, ids, vocabulary, lanes, words, crc32 of the ids as unsigned 32-bit integers, crc32 of what follows
-MAGIC = b"QRC1"
-_MASK = np.uint64((1 << TOP) - 1)
+MAGIC = b"QRC2"
+_LEAST, _WORD, _LOW, _UNIT = np.uint64(1 << LOW), np.uint64(WORD), np.uint64(LOW), np.uint64(SHARES + UNITS)
+_HALF, _ONES = np.uint64(32), np.uint64((1 << 32) - 1)
 
 
 class _Model:
-    """What the coder expects next, for a vector of contexts."""
+    """What the coder expects next, for a vector of contexts. Vectors of both orders hold order 2 and then order 1."""
 
     def __init__(self, vocabulary: int, n: int):
-        self.none = vocabulary
         self.bits = max(8, min(SLOTS.bit_length() - 1, (4 * n).bit_length()))
-        self.table1, self.table2 = (np.full(size, self.none << 4, np.int32) for size in (vocabulary + 1, 1 << self.bits))
+        self.table = np.full((1 << self.bits) + vocabulary + 1, vocabulary << 4, np.int32)  # contexts of order 2, then those of order 1: an id and its confidence in four bits
         self.counts = np.ones(vocabulary, np.int64)
-        self.right = np.tile(np.array([2, 1, 1], np.int64), (512, 1))  # by confidences and agreement: misses, hits of order 2, hits of order 1
-        self.met, self.missed, self.steps = [], [], 0
+        self.right = np.tile(np.array([1, 1, 2], np.int64), (512, 1))  # by confidences and agreement: hits of order 2, hits of order 1, misses
+        self.met, self.missed, self.steps, self.due = [], [], 0, EVERY
         self._refresh()
 
     def _refresh(self) -> None:
@@ -47,47 +49,56 @@ class _Model:
         spare = (1 << UNITS) - len(self.counts)  # one unit each, and the rest by count
         self.starts = np.zeros(len(self.counts) + 1, np.uint64)
         self.starts[1:] = total * spare // total[-1] + np.arange(1, len(self.counts) + 1)
-        self.shares = np.maximum(self.right * ((1 << SHARES) - 64) // self.right.sum(axis=1, keepdims=True), 1)
-        share2, share1 = self.shares[:, 1], self.shares[:, 2]
-        self.share2, self.share1, self.share0 = (x.astype(np.uint64) for x in (share2, share1, (1 << SHARES) - share2 - share1))
-
-    def expect(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Predictions of order 2 and 1 and their shares; keeps where they come from."""
-        self.at1 = last.astype(np.intp)
-        self.at2 = ((last.view(np.uint32) * np.uint32(40_503) + before.view(np.uint32) * np.uint32(2_654_435_761)) * np.uint32(2_246_822_519) >> np.uint32(32 - self.bits)).astype(np.intp)
-        self.two, self.one = two, one = self.table2.take(self.at2), self.table1.take(self.at1)  # an id and its confidence in four bits
-        self.p2, self.p1, self.c2, self.c1 = two >> 4, one >> 4, two & 15, one & 15
-        self.row = (self.c2 << 4) + self.c1 + ((self.p1 == self.p2).astype(np.int32) << 8)
-        self.bucket = self.row.astype(np.intp)
-        return self.p2, self.p1, self.share2.take(self.bucket), self.share1.take(self.bucket)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, missed: np.ndarray) -> None:
-        """The ids that came, which of them order 2 and order 1 predicted, and those that neither did."""
-        self.met.append(self.row * 3 + (hit2.view(np.int8) + ((hit1 > hit2).view(np.int8) << 1)).astype(np.int32))
+        self.spans, self.owners = self.starts[:-1] << np.uint64(32) | np.diff(self.starts), None  # start and width of an id, looked up at once
+        two, one = np.maximum(self.right[:, :2] * ((1 << SHARES) - 64) // self.right.sum(axis=1, keepdims=True), 1).astype(np.uint64).T
+        both, units = two + one, np.uint64(UNITS)
+        rare = np.uint64(1 << SHARES) - both
+        self.start = np.stack([two * 0, two << units, both << units, two * 0], axis=1).ravel()  # by bucket: row and outcome, of which there are three
+        self.width = np.stack([two << units, one << units, rare, two * 0], axis=1).ravel()  # order 0's is for one unit
+
+    def expect(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions of order 2 and 1, and the first of four buckets of each place; keeps where they come from."""
+        k = len(last)
+        self.at = at = np.empty(2 * k, np.intp)
+        at[:k] = (last.view(np.uint32) * np.uint32(40_503) + before.view(np.uint32) * np.uint32(2_654_435_761)) * np.uint32(2_246_822_519) >> np.uint32(32 - self.bits)
+        at[k:] = last
+        at[k:] += 1 << self.bits
+        self.old = old = self.table.take(at)
+        self.sure, guess = (old & 15).astype(np.uint8), (old >> 4).reshape(2, k)
+        row = (self.sure[:k] << 4 | self.sure[k:]).astype(np.intp)
+        row += (guess[0] == guess[1]).astype(np.intp) << 8
+        row <<= 2
+        return guess, row
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray, buckets: np.ndarray, missed: np.ndarray) -> None:
+        """The ids that came, which of them order 2 and order 1 predicted, where they were counted, and those that neither did."""
+        self.met.append(buckets)
         self.missed.append(missed)
+        k, sure, hit = len(ids), self.sure, hit.ravel().view(np.uint8)
+        change = ((sure < 15) & hit).view(np.int8) - (((sure + 1) >> 1) * (hit ^ 1)).view(np.int8)  # of a confidence: one up, to 15, by a hit, halved by a miss
+        new = change.astype(np.int32)
+        new += self.old
         fresh = (ids << 4) + 1
-        for hit, table, at, c, old in ((hit2, self.table2, self.at2, self.c2, self.two), (hit1, self.table1, self.at1, self.c1, self.one)):
-            kept = np.where(hit, old + np.minimum(15 - c, 1), old - ((c + 1) >> 1))  # confidence one up, to 15, or halved
-            table[at] = np.where(hit | (c > 1), kept, fresh)
+        lost = sure < 2  # a prediction of little confidence that was wrong
+        lost &= hit == 0
+        np.putmask(new[:k], lost[:k], fresh)
+        np.putmask(new[k:], lost[k:], fresh)
+        self.table[self.at] = new
         self.steps += 1
-        if self.steps % EVERY == 0:
-            self.right += np.bincount(np.concatenate(self.met), minlength=1536).reshape(512, 3)
+        if self.steps == self.due:
+            self.due += max(EVERY, self.steps // 4)
+            self.right += np.bincount(np.concatenate(self.met), minlength=2048).reshape(512, 4)[:, :3]
             self.counts += 24 * np.bincount(np.concatenate(self.missed), minlength=len(self.counts))
             self.met, self.missed = [], []
             self._refresh()
 
-
     def of_units(self, units: np.ndarray) -> np.ndarray:
-        """The ids that these units of order 0 belong to: the last one that starts at or before each. They are looked for in ascending order, which stays in the cache."""
-        key = np.sort(units << np.uint64(32) | np.arange(len(units), dtype=np.uint64))  # with their places, which is quicker than argsort
-        out = np.empty(len(units), np.int32)
-        out[(key & np.uint64((1 << 32) - 1)).view(np.int64)] = np.searchsorted(self.starts, key >> np.uint64(32), side="right") - 1
-        return out
-
-    def rare(self, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start within order 0's share, and width, of the ids at some places of the vector."""
-        zero, share = self.starts.take(ids), self.share0.take(self.bucket.take(at))
-        return share * zero, share * (self.starts.take(ids + 1) - zero)
+        """The ids that these units of order 0 belong to: the last one that starts at or before each."""
+        if self.owners is None:
+            begins = np.zeros(1 << UNITS, np.int32)
+            begins[self.starts[1:-1].view(np.int64)] = 1
+            self.owners = np.cumsum(begins, dtype=np.int32)
+        return self.owners.take(units.view(np.int64))
 
 
 def _lanes(n: int) -> tuple[int, int, int]:
@@ -96,77 +107,82 @@ def _lanes(n: int) -> tuple[int, int, int]:
     return lanes, n // lanes, n % lanes
 
 
-def _by_step(lanes: int, steps: int, more: int) -> np.ndarray:
-    """A row a lane, a column a step: 0, or -1 where a lane has no id."""
-    line = np.zeros((lanes, steps + (more > 0)), np.int32)
+def _by_step(ids: np.ndarray, table: np.ndarray, more: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two parts of a block and of its table of steps (a row a step, a column a lane) that belong together: lanes with one id more, and the others."""
+    lanes = table.shape[1]
+    steps = len(ids) // lanes
+    cut = more * (steps + 1)
     if more:
-        line[more:, -1] = -1
-    return line
+        yield ids[:cut].reshape(more, steps + 1), table[:, :more].T
+    yield ids[cut:].reshape(lanes - more, steps), table[:steps, more:].T
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """A block of these ids, each below the vocabulary's size, which is at most MAX_IDS."""
-    ids = np.ascontiguousarray(ids, dtype=np.int64)
+    ids = np.asarray(ids)
     n = len(ids)
     if not 0 < vocabulary <= MAX_IDS or n and not (0 <= ids.min() and ids.max() < vocabulary):
         raise ValueError("ids must lie in a vocabulary of at most %d" % MAX_IDS)
+    ids = np.ascontiguousarray(ids, "<u4")
     lanes, steps, more = _lanes(n)
     model = _Model(vocabulary, n)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << TOP, np.uint64)
-    words, at = np.zeros((3 * (steps + 1) + 2) * lanes, np.uint32), np.zeros(lanes, np.int64)  # what lanes write at one time lies close together
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    words, at = np.zeros((3 * (steps + 1) + 2) * lanes, np.uint32), np.arange(lanes)  # what lanes write at one time lies close together; at: where each writes next
     last = before = np.full(lanes, vocabulary, np.int32)
-    units, none, line = np.uint64(UNITS), np.zeros(lanes, np.uint64), _by_step(lanes, steps, more)
-    line[line >= 0] = ids
-    line = np.ascontiguousarray(line.T)
+    line = np.zeros((steps + (more > 0), lanes), np.int32)
+    for whole, by_step in _by_step(ids.view("<i4"), line, more):
+        by_step[:] = whole
 
     def carry(who: np.ndarray) -> None:
-        where = (at[who] - 1) * lanes + who
+        where = at[who] - lanes
         while len(where):
             words[where] += 1
             where = where[words[where] >> WORD > 0]
             words[where] &= (1 << WORD) - 1
             where -= lanes
 
-    for step in range(steps + (more > 0)):
+    for step in range(len(line)):
         k = lanes if step < steps else more
         x = line[step, :k]
-        p2, p1, w2, w1 = model.expect(before[:k], last[:k])
-        in2, in1 = x == p2, x == p1
-        edge2, wide1 = w2 << units, w1 << units
-        start, width = np.where(in2, none[:k], edge2), np.where(in2, edge2, wide1)
-        rare = np.flatnonzero(~(in2 | in1))
-        missed = x.take(rare)
-        past, wide = model.rare(rare, missed)
-        start[rare] = (edge2 + wide1).take(rare) + past
-        width[rare] = wide
-        unit = span[:k] >> np.uint64(SHARES + UNITS)
-        sums = low[:k] + unit * start
-        ranges = unit * width
-        over = np.flatnonzero(sums > _MASK)
+        guess, row = model.expect(before[:k], last[:k])
+        hit = guess == x
+        in2, in1 = hit.view(np.int8)
+        outcome = (2 - in1) * (1 - in2)  # 0: order 2's, 1: order 1's, 2: neither's
+        row += outcome
+        start, width = model.start.take(row), model.width.take(row)
+        rare = np.flatnonzero(outcome == 2)
+        missed, share = x.take(rare), width.take(rare)
+        found = model.spans.take(missed)
+        start[rare] = start.take(rare) + share * (found >> _HALF)
+        width[rare] = share * (found & _ONES)
+        unit = span[:k] >> _UNIT
+        start *= unit
+        width *= unit
+        start += low[:k]
+        over = np.flatnonzero(start < low[:k])
         if len(over):
             carry(over)
-            sums &= _MASK
-        short = np.flatnonzero(ranges < np.uint64(1 << LOW))
+        short = np.flatnonzero(width < _LEAST)
         while len(short):
-            now, where, wide = sums.take(short), at.take(short), ranges.take(short) << np.uint64(WORD)
-            words[where * lanes + short] = (now >> np.uint64(LOW)).astype(np.uint32)
-            at[short] = where + 1
-            sums[short] = (now << np.uint64(WORD)) & _MASK
-            ranges[short] = wide
-            short = short[wide < np.uint64(1 << LOW)]
-        low[:k], span[:k] = sums, ranges
-        model.learn(x, in2, in1, missed)
+            now, where, wide = start.take(short), at.take(short), width.take(short) << _WORD
+            words[where] = (now >> _LOW).astype(np.uint32)
+            at[short] = where + lanes
+            start[short] = now << _WORD
+            width[short] = wide
+            short = short[wide < _LEAST]
+        low[:k], span[:k] = start, width
+        model.learn(x, hit, row, missed)
         before, last = last, np.concatenate([x, last[k:]]) if k < lanes else x
     if n:  # one word that lies in what is left of each lane's range
-        low += np.uint64((1 << LOW) - 1)
-        over = np.flatnonzero(low > _MASK)
-        carry(over)
-        words[at * lanes + np.arange(lanes)] = (low & _MASK) >> np.uint64(LOW)
-        at += 1
-    used = int(at.max())
-    by_lane = np.ascontiguousarray(words[: used * lanes].reshape(used, lanes).T.astype("<u2"))
-    body = at.astype("<u4").tobytes() + by_lane[np.arange(used) < at[:, None]].tobytes()
-    return HEAD.pack(MAGIC, n, vocabulary, lanes, int(at.sum()), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+        end = low + (_LEAST - np.uint64(1))
+        carry(np.flatnonzero(end < low))
+        words[at] = end >> _LOW
+        at += lanes
+    held = at // lanes
+    used = int(held.max())
+    by_lane = np.ascontiguousarray(words[: used * lanes].astype("<u2").reshape(used, lanes).T)
+    body = held.astype("<u4").tobytes() + by_lane[np.arange(used) < held[:, None]].tobytes()
+    return HEAD.pack(MAGIC, n, vocabulary, lanes, int(held.sum()), zlib.crc32(ids), zlib.crc32(body)) + body
 
 
 def decode(block: bytes) -> np.ndarray:
@@ -180,57 +196,48 @@ def decode(block: bytes) -> np.ndarray:
     held = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     if held.sum() != n_words:
         raise ValueError("a block of token ids is torn or changed")
-    first = held.cumsum() - held + PAST * np.arange(lanes)
-    words = np.zeros(n_words + PAST * lanes, np.uint64)  # past its end a lane is zeros
-    none = np.zeros(lanes, np.uint64)
+    at = held.cumsum() - held + PAST * np.arange(lanes)
+    words = np.zeros(n_words + PAST * lanes, np.uint16)  # past its end a lane is zeros
     words[np.arange(n_words) + np.repeat(PAST * np.arange(lanes), held)] = np.frombuffer(body, "<u2", n_words, 4 * lanes)
     lanes, steps, more = _lanes(n)
-    model, kept, units = _Model(vocabulary, n), _by_step(lanes, steps, more) >= 0, np.uint64(UNITS)
-    out = np.zeros(kept.shape[::-1], np.uint32)
-    at = first
-
-    def word(who: np.ndarray) -> np.ndarray:
-        where = at.take(who)
-        at[who] = where + 1
-        return words.take(where, mode="clip")
-
-    span, code = np.full(lanes, 1 << TOP, np.uint64), np.zeros(lanes, np.uint64)  # code: what is read, less the low end of the range
-    everyone = np.arange(lanes)
-    for shift in (44, 28, 12):
-        code |= word(everyone) << np.uint64(shift)
-    half = word(everyone)  # the window ends within this word
-    code |= half >> np.uint64(4)
-    tail = half & np.uint64(15)  # its last 4 bits come next
+    model, most = _Model(vocabulary, n), np.uint64((1 << UNITS) - 1)
+    out = np.zeros((steps + (more > 0), lanes), np.int32)
+    span, code = np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.uint64)  # code: what is read, less the low end of the range
+    for shift in (48, 32, 16, 0):
+        code |= words.take(at, mode="clip").astype(np.uint64) << np.uint64(shift)
+        at += 1
     last = before = np.full(lanes, vocabulary, np.int32)
-    for step in range(steps + (more > 0)):
+    for step in range(len(out)):
         k = lanes if step < steps else more
-        p2, p1, w2, w1 = model.expect(before[:k], last[:k])
-        unit = span[:k] >> np.uint64(SHARES + UNITS)
-        v = np.minimum(code[:k] // unit, np.uint64((1 << (SHARES + UNITS)) - 1))
-        edge2, wide1 = w2 << units, w1 << units
-        edge1 = edge2 + wide1
-        in2, in1 = v < edge2, v < edge1
-        x = np.where(in2, p2, p1)
-        start, width = np.where(in2, none[:k], edge2), np.where(in2, edge2, wide1)
+        guess, row = model.expect(before[:k], last[:k])
+        unit, now = span[:k] >> _UNIT, code[:k]
+        edge2, edge1 = model.start.take(row + 1) * unit, model.start.take(row + 2) * unit
+        in2, in1 = now < edge2, now < edge1
+        x = np.where(in2, guess[0], guess[1])
         rare = np.flatnonzero(~in1)
-        edge = edge1.take(rare)
-        x[rare] = missed = model.of_units((v.take(rare) - edge) // model.share0.take(model.bucket.take(rare)))
-        past, wide = model.rare(rare, missed)
-        start[rare] = edge + past
-        width[rare] = wide
-        rest, ranges = code[:k] - unit * start, unit * width
-        short = np.flatnonzero(ranges < np.uint64(1 << LOW))
+        row += 2 - in1.view(np.int8) - in2.view(np.int8)
+        rest, width = now - edge2, edge1 - edge2
+        np.putmask(rest, in2, now)
+        np.putmask(width, in2, edge2)
+        share, above = unit.take(rare) * model.width.take(row.take(rare)), now.take(rare) - edge1.take(rare)
+        x[rare] = missed = model.of_units(np.minimum(above // share, most))
+        found = model.spans.take(missed)
+        rest[rare] = above - share * (found >> _HALF)
+        width[rare] = share * (found & _ONES)
+        short = np.flatnonzero(width < _LEAST)
         while len(short):
-            got, wide = word(short), ranges.take(short) << np.uint64(WORD)
-            rest[short] = (rest.take(short) << np.uint64(WORD)) | (tail.take(short) << np.uint64(12)) | (got >> np.uint64(4))
-            tail[short] = got & np.uint64(15)
-            ranges[short] = wide
-            short = short[wide < np.uint64(1 << LOW)]
-        code[:k], span[:k] = rest, ranges
+            where, wide = at.take(short), width.take(short) << _WORD
+            rest[short] = rest.take(short) << _WORD | words.take(where, mode="clip")
+            at[short] = where + 1
+            width[short] = wide
+            short = short[wide < _LEAST]
+        code[:k], span[:k] = rest, width
         out[step, :k] = x
-        model.learn(x, in2, x == p1, missed)
+        model.learn(x, guess == x, row, missed)
         before, last = last, np.concatenate([x, last[k:]]) if k < lanes else x
-    ids = np.ascontiguousarray(out.T)[kept].astype("<u4")
-    if zlib.crc32(ids.tobytes()) != id_crc:
+    ids = np.empty(n, "<u4")
+    for whole, by_step in _by_step(ids.view("<i4"), out, more):
+        whole[:] = by_step
+    if zlib.crc32(ids) != id_crc:
         raise ValueError("a block of token ids does not match its checksum")
     return ids

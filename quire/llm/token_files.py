@@ -14,6 +14,7 @@ Files go to any store that pyarrow.fs opens by URI (file, hdfs, s3, gs) under a
 The library sees each distinct run of letters once a worker: a run whose neighbours are ASCII characters that are neither letters nor, before it, an apostrophe, is encoded alone, and so is what stands between such
 runs and ASCII blanks. The tokenizer normalises character by character within such runs and cuts there before it merges, so the ids are those of the whole text. Texts with the first two characters of an added token go
 to the library whole. That holds for the tokenizer of the query (runs of letters, digits and others; blanks are dropped); other tokenizers take whole=True, which hands it whole texts.
+A run of letters is put in lower case before it's looked up, as far as U+00DE, and goes to the library's model past the normalizer and the pattern, which would change nothing else of it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,7 @@ from quire.llm.shared import staged
 from quire.storage import new_path
 
 BLOCK = 1 << 21  # ids a block
-AT_ONCE = 1 << 21  # characters that are encoded at once
+AT_ONCE = 1 << 22  # characters that are encoded at once
 KNOWN = 1 << 20  # runs that a worker keeps
 END_ID = 2
 _START, _BLOCK, _END = struct.Struct("<4sI"), struct.Struct("<cIII"), struct.Struct("<cQQI")
@@ -54,6 +56,39 @@ _NO_LETTER_BYTES = tuple(c.to_bytes(2) for c in _NO_LETTERS)
 MANIFEST = T.StructType([T.StructField(n, T.StringType() if n == "file" else T.LongType()) for n in ("part", "file", "n_docs", "n_ids", "n_bytes")])
 
 
+class _Known:
+    """Runs and their ids, which lie one after the other."""
+
+    def __init__(self):
+        self.numbers, self.ids, self.stops, self.new = {}, np.zeros(0, "<u4"), np.zeros(1, np.int32), []
+
+    def add(self, runs: list[bytes], ids: np.ndarray, stops: np.ndarray) -> None:
+        """stops: how many of the ids there are up to the end of each run. The runs are new and distinct."""
+        self.numbers.update(zip(runs, range(len(self.numbers), len(self.numbers) + len(runs))))
+        self.new.append((ids, stops))
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each number begin and those of the last end."""
+        if self.new:
+            before = np.cumsum([len(self.ids), *(len(ids) for ids, _ in self.new)])
+            self.stops = np.concatenate([self.stops, *((stops + b).astype(np.int32) for (_, stops), b in zip(self.new, before))])
+            self.ids, self.new = np.concatenate([self.ids, *(ids for ids, _ in self.new)]), []
+        return self.ids, self.stops
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __getitem__(self, run: bytes) -> np.ndarray:
+        k, (ids, stops) = self.numbers[run], self.tables()
+        return ids[stops[k] : stops[k + 1]]
+
+
+def _kinds(step) -> list[str]:
+    """The steps of a normalizer or a pre-tokenizer that is a sequence."""
+    said = json.loads(step.__getstate__()) if step else {}
+    return [s["type"] for s in said.get("normalizers", said.get("pretokenizers", []))]
+
+
 class Encoder:
     """Ids of whole texts."""
 
@@ -61,9 +96,9 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.whole, self.known = Tokenizer.from_file(path), whole, {}
+        self.library, self.whole, self.known = Tokenizer.from_file(path), whole, _Known()
         self.library.no_truncation()
         self.library.no_padding()
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
@@ -72,57 +107,70 @@ class Encoder:
         if suffix:
             self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.marks = tuple({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
+        self.of_words = [self.library, self.library]  # for words of ASCII letters, and of others
+        if (_kinds(self.library.normalizer), _kinds(self.library.pre_tokenizer)) == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):  # its steps leave words in lower case as they are, but for the signs of bytes
+            blanks = pre_tokenizers.WhitespaceSplit()
+            self.of_words = [Tokenizer(self.library.model), Tokenizer(self.library.model)]
+            self.of_words[0].pre_tokenizer = blanks
+            self.of_words[1].pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, units: list[bytes]) -> list[bytes]:
         """Encodes runs of plain letters as words of one text, cut where the ids of ends of words are, and returns the other runs."""
-        words, others = [], []
+        plain, accented, others = [], [], []
+        times, division, dotted = _NO_LETTER_BYTES
         for u in units:
-            (words if u.isalpha() or not u.translate(None, _OF_LETTERS) and not any(c in u for c in _NO_LETTER_BYTES) else others).append(u)
-        for k in range(0, len(words), 1024):
-            some = words[k : k + 1024]
-            ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.last.take(ids)) + 1
-            if len(stops) != len(some) or stops[-1] != len(ids):  # a tokenizer without such ids
-                others += some
-                continue
-            data, stops = ids.tobytes(), (4 * stops).tolist()
-            self.known.update(zip(some, (data[i:j] for i, j in zip([0, *stops[:-1]], stops))))
+            if u.isalpha():
+                plain.append(u)
+            else:
+                (others if u.translate(None, _OF_LETTERS) or times in u or division in u or dotted in u else accented).append(u)
+        for words, model in zip((plain, accented), self.of_words):
+            for k in range(0, len(words), 1024):
+                some = words[k : k + 1024]
+                text = b" ".join(some).decode()
+                ids = np.array(model.encode_batch_fast([text if model is self.library else text.lower()], add_special_tokens=False)[0].ids, "<u4")
+                stops = np.flatnonzero(self.last.take(ids)) + 1
+                if len(stops) != len(some) or stops[-1] != len(ids):  # a tokenizer without such ids
+                    others += some
+                else:
+                    self.known.add(some, ids, stops)
         return others
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         alone = [self.whole or any(m in t for m in self.marks) for t in texts]
         cut, units, upto = _cut(["" if a else t for t, a in zip(texts, alone)])
         if len(self.known) > KNOWN:
-            self.known = {}
+            self.known = _Known()
         known = self.known
-        found = list(map(known.get, units))
-        fresh = self._learn([u for u, ids in zip(units, found) if ids is None])
-        for k in range(0, len(fresh), 4096):  # as words of one input, which is cheaper than an input each
-            some = fresh[k : k + 4096]
+        numbers = np.fromiter(map(known.numbers.get, units, repeat(-1)), np.int32, len(units))
+        new = np.flatnonzero(numbers < 0)
+        fresh = [units[k] for k in new.tolist()]
+        others = self._learn(fresh)
+        for k in range(0, len(others), 4096):  # as words of one input, which is cheaper than an input each
+            some = others[k : k + 4096]
             made = self.library.encode([u.decode() for u in some], is_pretokenized=True, add_special_tokens=False)
-            stops = 4 * np.cumsum(np.bincount(np.array(made.word_ids, np.int64), minlength=len(some)))
-            data = np.array(made.ids, "<u4").tobytes()
-            known.update(zip(some, (data[i:j] for i, j in zip([0, *stops[:-1]], stops))))
-        found = [ids or known[u] for u, ids in zip(units, found)]
-        sizes = np.fromiter(map(len, found), np.int32, len(found)) >> 2
-        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
-        each = sizes.take(cut)
+            known.add(some, np.array(made.ids, "<u4"), np.cumsum(np.bincount(np.array(made.word_ids, np.int64), minlength=len(some))))
+        numbers[new] = [known.numbers[u] for u in fresh]
+        pool, stops = known.tables()
+        first, each = stops.take(numbers), np.diff(stops).take(numbers)
+        first, each = first.take(cut), each.take(cut)
         ends = np.cumsum(each, dtype=np.int32)  # a group of texts has fewer ids than bytes, and fewer than 2^31 of these
-        ids = flat.take(np.repeat(first.take(cut) - ends + each, each) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32))
+        where = np.repeat(first - ends + each, each)
+        where += np.arange(len(where), dtype=np.int32)
+        ids = pool.take(where)
         at = np.concatenate([[0], ends])[upto]
         return [np.frombuffer(self._encoded([t])[0], "<u4") if a else ids[at[k] : at[k + 1]] for k, (t, a) in enumerate(zip(texts, alone))]
 
 
 def _cut(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """The runs of texts: for each run the number of its distinct text, these texts, and how many runs come before each text and after the last."""
+    """The runs of texts: for each run the number of its distinct text, these texts, and how many runs come before each text and after the last. Runs of letters that stand alone are in lower case, as far as U+00DE."""
     raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    kind = _KINDS.take(data)
+    joined = bytearray(b"\n".join(raw) + b"\n")
+    data, kind = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_KINDS.tobytes()), np.uint8)
     lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
-    lead = lead[~np.isin(data[lead].astype(np.int64) * 256 + data[lead + 1], _NO_LETTERS)]
+    lead = lead[~np.isin(data[lead].astype(np.uint16) << 8 | data[lead + 1], _NO_LETTERS)]
     kind[lead] = kind[lead + 1] = _LETTER
     letter = np.concatenate([[False], kind == _LETTER, [False]])
     start, stop = np.flatnonzero(letter[1:] & ~letter[:-1]), np.flatnonzero(~letter[1:] & letter[:-1])
@@ -132,10 +180,14 @@ def _cut(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     begins = np.concatenate([[True], blank[:-1]])
     begins[start[clean]] = begins[stop[clean]] = True
     begins &= ~blank
+    marked = lead[data[lead] == 0xC3] + 1
+    capitals = np.concatenate([np.flatnonzero((data >= 65) & (data <= 90)), marked[data[marked] <= 0x9E]])
+    capitals = capitals[clean[np.searchsorted(start, capitals, side="right") - 1]]
+    data[capitals] += 32
     at = np.flatnonzero(begins)
-    said = np.cumsum(~blank, dtype=np.int32)
-    offsets = np.append(said[at] - 1, said[-1]).astype(np.int32)
-    runs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank].tobytes())]).dictionary_encode()
+    offsets = np.zeros(len(at) + 1, np.int32)
+    np.cumsum(np.flatnonzero((blank | begins)[1:] & ~blank[:-1]) + 1 - at, out=offsets[1:])  # by where each run ends; the last byte is a blank
+    runs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank])]).dictionary_encode()
     ends = np.cumsum([len(r) + 1 for r in raw])
     return runs.indices.to_numpy(), runs.dictionary.to_numpy(zero_copy_only=False).tolist(), np.searchsorted(at, np.concatenate([[0], ends]))
 

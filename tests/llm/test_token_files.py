@@ -133,3 +133,40 @@ def test_units_of_order_0_are_found():
         units = np.random.default_rng(7).integers(0, 1 << range_coder.UNITS, 4096).astype(np.uint64)
         got = model.of_units(units)
         assert (model.starts[got] <= units).all() and (units < model.starts[got + 1]).all()
+
+
+def test_a_word_is_learned_once_in_any_case():
+    encoder = token_files.Encoder(MODEL)
+    texts = ["The the THE tHE", "É é (Été) été"]
+    assert [ids.tolist() for ids in encoder(texts)] == library_ids(texts) and len(encoder.known) == 5  # with two brackets
+    odd = ["H\u0331 A\u030a K\u030c", "don't DON'T", "Ⅳ'THE ÀΣ ΣÀ"]
+    assert [ids.tolist() for ids in encoder(odd)] == library_ids(odd)
+
+
+def test_every_plain_letter_is_encoded_as_by_the_library():
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x180))]
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 3))) + letter + "".join(rng.choices("abcABCéÉ", k=rng.randint(0, 3))) for letter in letters for _ in range(20)]
+    texts += [" ".join(texts), *letters, *(f"{a}{b}" for a in letters for b in "\u0301\u0331'<.")]
+    encoder = token_files.Encoder(MODEL)
+    assert encoder.library not in encoder.of_words and [ids.tolist() for ids in encoder(texts)] == library_ids(texts)
+    encoder.of_words = [encoder.library] * 2  # of a tokenizer with other steps
+    encoder.known = token_files._Known()
+    assert [ids.tolist() for ids in encoder(texts)] == library_ids(texts)
+
+
+def test_counts_are_brought_up_to_date_in_growing_intervals(monkeypatch):
+    times = []
+    refresh = range_coder._Model._refresh
+    monkeypatch.setattr(range_coder._Model, "_refresh", lambda model: (times.append(1), refresh(model)))
+    ids = np.minimum(np.random.default_rng(9).zipf(1.3, 512 * 40), 50) - 1
+    block = range_coder.encode(ids, 50)
+    assert range_coder.HEAD.unpack_from(block)[3] == 80 and len(times) == 14  # lanes of 256 steps: at the start, five times after eight steps, then less often
+    assert (range_coder.decode(block) == ids).all() and len(times) == 28
+
+
+def test_carries_run_through_words_of_ones():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        ids = np.where(rng.random(3000) < 0.9, 49_407, rng.integers(0, 49_408, 3000))
+        assert (range_coder.decode(range_coder.encode(ids, 49_408)) == ids).all()
