@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import glob
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.model import nodes
 from quire.operators import analyzers as a
 from quire import storage
-from quire.plans.runner import DEFAULT, Operator, run_pipeline, validate
+from quire.plans.runner import DEFAULT, Operator, parts_for, run_pipeline, validate
 
 
 def tree(spark, children, **more):
@@ -223,3 +224,43 @@ def test_runner_leaves_the_last_table_alone(spark):
     df, before = tree(spark, ["• one", "• two", "Note: x", "Figure 1-2 y"]), folders()
     out = run_pipeline(df, DEFAULT)
     assert [f.split("/")[-1].rsplit("-", 1)[0] for f in folders() - before] == [DEFAULT[-1].name] and out.nodes.count() == df.count() + 1
+
+
+def test_runner_leaves_no_shuffle_files(spark):
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    disk, settings = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.getAll
+    df = tree(spark, ["• one", "• two", "Note: x", "Figure 1-2 y"])
+    before = files()
+    run_pipeline(df, (Operator("once", lambda t: t.dropDuplicates(["doc_id", "node_id"])),))
+    for _ in range(10):  # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.getAll == settings
+
+
+def test_runner_takes_documents_in_parts(spark):
+    def folders():
+        return set(glob.glob(f"{storage.shared_folder(spark)}/quire-{spark.sparkContext.applicationId}/*"))
+
+    rows = [r.asDict() | {"doc_id": f"d{k}"} for k in range(12) for r in tree(spark, ["• one", "• two", "Note: x", "Figure 1-2 y", "prose"][: 2 + k % 4]).collect()]
+    df, seen = nodes(spark, rows), []
+
+    def look(t):
+        seen.append({r.doc_id for r in t.select("doc_id").distinct().collect()})
+        return t
+
+    def fail(t):
+        if len(seen) > 4:
+            raise ValueError("late")
+        return look(t)
+
+    whole, before = run_pipeline(df, DEFAULT[:4]).nodes, folders()
+    out = run_pipeline(df, DEFAULT[:4], parts=3)
+    assert sorted(map(str, out.nodes.collect())) == sorted(map(str, whole.collect())) and len(folders() - before) == 3
+    out = run_pipeline(df, (Operator("look", look), Operator("fail", fail)), isolate=True, parts=3)  # fails at the last part
+    assert [len(s) for s in seen[:3]] != [12] * 3 and sum(map(len, seen[:3])) == 12 and set().union(*seen[:3]) == {f"d{k}" for k in range(12)}
+    assert out.failed == {"fail": "late"} and {tuple(r.applied) for r in out.nodes.collect()} == {("look",)} and out.nodes.count() == df.count()
+    assert parts_for(0) == 1 and parts_for(600, 256) == 3 and parts_for(10**6, 256) == 8
